@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, token_count, warc
+from . import bpe, mixing, neighbours, passages, suffixes, token_count, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,11 +43,33 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks), ranks, digests=True)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("bytes", 256).alias("kept_sha256"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_source_mixing": op3_source_mixing,
+    "op5_repeated_passages": op5_repeated_passages,
+    "op6_repeated_substrings": op6_repeated_substrings,
     "op8_warc_archive": op8_warc_archive,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE: dict[str, str] = {}
