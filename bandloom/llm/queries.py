@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neighbours, passages, suffixes, token_count, topk, warc
+from . import bpe, mixing, neardup, neighbours, passages, suffixes, token_count, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), scheme=neardup.Scheme(words=4))
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_source_mixing": op3_source_mixing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_repeated_substrings": op6_repeated_substrings,
     "op8_warc_archive": op8_warc_archive,
