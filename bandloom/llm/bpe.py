@@ -27,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import id_text, packed_lists, steps, utf8
 
@@ -280,8 +281,8 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], off - off[0]
 
 
-def decode(df: DataFrame, spec: bytes, *, id_col: str = "doc_id", ids_col: str = "ids", digests: bool = False) -> DataFrame:
-    """doc_id and the decoded bytes of each row of ids; digests: only n_tokens and SHA-256 of ids and bytes.
+def decode(df: DataFrame, spec: bytes, *, id_col: str = "doc_id", ids_col: str = "ids", digests: bool = False, keep_ids: bool = False) -> DataFrame:
+    """doc_id and the decoded bytes of each row of ids; digests: only n_tokens and SHA-256 of ids and bytes; keep_ids: the ids as well.
 
     Null ids count as none; an id that the ranks lack is an error.
     """
@@ -298,14 +299,13 @@ def decode(df: DataFrame, spec: bytes, *, id_col: str = "doc_id", ids_col: str =
             lim = off.tolist()
             rows = list(zip(lim[:-1], lim[1:], strict=True))
             if not digests:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(map(get, ids[s:e].tolist())) for s, e in rows], pa.binary())], ["doc_id", "bytes"])
+                back = pa.array([b"".join(map(get, ids[s:e].tolist())) for s, e in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if keep_ids else []), back], ["doc_id", *(["ids"] if keep_ids else []), "bytes"])
                 continue
             packed = ids.astype("<u4")
             one = [hashlib.sha256(packed[s:e].tobytes()).hexdigest() for s, e in rows]
             two = [hashlib.sha256(b"".join(map(get, ids[s:e].tolist()))).hexdigest() for s, e in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    from pyspark.sql import functions as F
-
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, bytes binary")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"doc_id long{', ids array<int>' * keep_ids}, bytes binary")

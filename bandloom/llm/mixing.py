@@ -95,3 +95,14 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     out = rows.withColumn("_bl_bin", place) if kept else narrow
     out = out.join(table, keys).withColumn("part", part.cast("long"))
     return out.select("doc_id", "source", "size", F.col("_bl_total").alias("source_size"), F.col("_bl_target").alias("target"), F.col("_bl_copies").alias("copies"), "part", (F.col("_bl_copies") * F.col("size") + F.col("part")).alias("taken"), *[F.col(f"_bl_c_{i}").alias(c) for i, c in enumerate(kept)])
+
+
+def expand(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row for each repetition that mix() gives, with text_col (carried) cut to its first words in a partial one.
+
+    The words of a cut text are joined by one blank; columns are those of mixed.
+    """
+    turns = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int")), F.when(F.col("part") > 0, F.array(F.when(F.col("part") >= F.col("size"), F.lit(-1).cast("long")).otherwise(F.col("part")))).otherwise(F.array().cast("array<long>")))
+    rows = mixed.withColumn("_bl_turn", F.explode(turns))
+    short = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.col("_bl_turn").cast("int")), " ")
+    return rows.withColumn(text_col, F.when(F.col("_bl_turn") < 0, F.col(text_col)).otherwise(short)).drop("_bl_turn")

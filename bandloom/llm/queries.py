@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, neighbours, passages, suffixes, token_count, topk, warc
+from . import bpe, mixing, neardup, neighbours, passages, quality, suffixes, token_count, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     warc.write_archive(_table(spark, sf_dir, "pages"), folder)
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_repeated_substrings": op6_repeated_substrings,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_warc_archive": op8_warc_archive,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_nearest_neighbours": op10_nearest_neighbours,

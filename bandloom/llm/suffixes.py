@@ -25,7 +25,7 @@ other columns are not read; texts of any length are handled whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -169,11 +169,18 @@ def repeated_windows(rule: Rule):
     return judge
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 24) -> DataFrame:
-    """doc_id, bytes (what is left), spans (maximal removed ranges of bytes), n_bytes and n_removed of each row."""
-    rows = keyed(df, id_col, text_col)
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 24, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, bytes (what is left), spans (maximal removed ranges of bytes), n_bytes and n_removed of each row.
+
+    as_text: a column text instead of bytes, without characters that a cut has
+    halved. carry: further columns to pass along under their names.
+    """
+    passed = [F.col(c).alias(f"_bl_{i}") for i, c in enumerate(carry)]
+    types = [f.dataType.simpleString() for f in df.select(*carry).schema.fields] if carry else []
+    rows = keyed(df, id_col, text_col, *passed)
     rule = Rule(length, gram, words=False, first_stays=False, buckets=bucket_count(rows))
     spans = covered(rows, rule, repeated_windows(rule))
+    names = ["doc_id", "text" if as_text else "bytes", "spans", "n_bytes", "n_removed", *carry]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,10 +194,12 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 left.append(b"".join([text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True)]))
                 ranges.append([{"s": x, "e": y} for x, y in zip(a, b, strict=True)])
                 removed.append(len(text) - len(left[-1]))
+            kept = pa.array([x.decode(errors="ignore") for x in left], pa.string()) if as_text else pa.array(left, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(left, pa.binary()), pa.array(ranges, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(np.diff(off)), pa.array(removed, pa.int64())],
-                ["doc_id", "bytes", "spans", "n_bytes", "n_removed"],
+                [batch.column(0), kept, pa.array(ranges, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(np.diff(off)), pa.array(removed, pa.int64()), *batch.columns[3:]],
+                names,
             )
 
-    joined = rows.join(spans.hint("shuffle_hash"), ["id", "fp"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(apply, "doc_id long, bytes binary, spans array<struct<s:int,e:int>>, n_bytes long, n_removed long")
+    joined = rows.join(spans.hint("shuffle_hash"), ["id", "fp"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "spans", *[f"_bl_{i}" for i in range(len(carry))])
+    kinds = ["long", "string" if as_text else "binary", "array<struct<s:int,e:int>>", "long", "long", *types]
+    return joined.mapInArrow(apply, ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds, strict=True)))

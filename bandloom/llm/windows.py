@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_codes, mix, prefix_hash, span_hash, spread, steps, utf8, word_spans
@@ -224,10 +224,10 @@ def covered(df: DataFrame, rule: Rule, judge: Judge) -> DataFrame:
     return marks.groupBy("id", "fp").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (null as the smallest), fp (tells texts with the same id apart) and text (null: empty)."""
+def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """id (null as the smallest), fp (tells texts with the same id apart) and text (null: empty), and more columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("id"), F.hash(text).alias("fp"), text.alias("text"))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("id"), F.hash(text).alias("fp"), text.alias("text"), *more)
 
 
 def union_spans(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
