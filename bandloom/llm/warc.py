@@ -68,8 +68,9 @@ def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     )
     rec.select("page_id", "digest", F.encode(head, "UTF-8").alias("header")).write.mode("overwrite").parquet(f"{folder}/headers")
     # the first record of each payload brings the bytes; equal rows meet in one task
-    keep = firsts.select(F.col("first").alias("f"), F.col("digest").alias("d"))
-    once = full.select("page_id", "digest", "payload").join(keep, F.col("page_id").eqNullSafe(F.col("f")) & (F.col("digest") == F.col("d")), "left_semi").dropDuplicates(["page_id", "digest"])
+    key = lambda c: F.coalesce(c, F.lit(-(2**63)).cast("long")).alias("key")
+    keep = firsts.select(key(F.col("first")), "digest")
+    once = full.select(key(F.col("page_id")), "digest", "payload").join(keep, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
     once.select("digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
