@@ -168,11 +168,10 @@ def _deal_step(rule: Rule, data: np.ndarray, off: np.ndarray, ids: np.ndarray, f
     sends = np.zeros(len(texts), bool)
     sends[chief] = True
     several = np.bincount(same)[same] > 1
-    if rule.first_stays:  # rows that share id and place with the earliest are not later than it
+    if rule.first_stays:  # rows that share id and place with the earliest are not later than it, and go along
         first_of = np.empty(len(number), np.int64)
         first_of[same[chief]] = chief
-        tied = (ids[row] == ids[row[first_of[same]]]) & (place == place[first_of[same]]) & ~sends
-        order = order[~tied[order]]
+        sends |= (ids[row] == ids[row[first_of[same]]]) & (place == place[first_of[same]])
     bucket = (mix(key) % np.uint64(rule.buckets)).astype(np.int64)
     order = order[np.lexsort((place[order], ids[row[order]], bucket[order]))]
     edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
@@ -181,7 +180,7 @@ def _deal_step(rule: Rule, data: np.ndarray, off: np.ndarray, ids: np.ndarray, f
     for s, e in zip(edge[:-1], edge[1:], strict=True):
         own = order[s:e]
         text = b"".join([texts[i] for i in own.tolist() if sends[i]])
-        seg = Segments(ids[row[own]], fp[row[own]], place[own], n[own], sizes[own], several[own], np.where(sends[own], key[own], 0), text)
+        seg = Segments(ids[row[own]], fp[row[own]], place[own], n[own], sizes[own], several[own], np.where(sends[own], key[own], np.uint64(0)), text)
         out_bucket.append(int(bucket[own[0]]))
         out_blob.append(seg.pack())
     yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
