@@ -178,7 +178,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     passed = [F.col(c).alias(f"_bl_{i}") for i, c in enumerate(carry)]
     types = [f.dataType.simpleString() for f in df.select(*carry).schema.fields] if carry else []
     rows = keyed(df, id_col, text_col, *passed)
-    rule = Rule(length, gram, words=False, first_stays=False, buckets=bucket_count(rows))
+    rule = Rule(length, gram, words=False, first_stays=False, keyed=True, buckets=bucket_count(rows))
     spans = covered(rows, rule, repeated_windows(rule))
     names = ["doc_id", "text" if as_text else "bytes", "spans", "n_bytes", "n_removed", *carry]
 

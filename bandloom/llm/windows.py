@@ -79,6 +79,8 @@ class Rule:
     words: bool
     #: True: of equal windows the earliest stays; False: all are repeated.
     first_stays: bool
+    #: Whether segments bring their minimiser along.
+    keyed: bool = False
     buckets: int = 64
     step_bytes: int = 6 << 20
     code: np.ndarray = field(default_factory=byte_codes)
@@ -180,7 +182,7 @@ def _deal_step(rule: Rule, data: np.ndarray, off: np.ndarray, ids: np.ndarray, f
     for s, e in zip(edge[:-1], edge[1:], strict=True):
         own = order[s:e]
         text = b"".join([texts[i] for i in own.tolist() if sends[i]])
-        seg = Segments(ids[row[own]], fp[row[own]], place[own], n[own], sizes[own], several[own], np.where(sends[own], key[own], np.uint64(0)), text)
+        seg = Segments(ids[row[own]], fp[row[own]], place[own], n[own], sizes[own], several[own], np.where(sends[own] & rule.keyed, key[own], np.uint64(0)), text)
         out_bucket.append(int(bucket[own[0]]))
         out_blob.append(seg.pack())
     yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
