@@ -61,10 +61,10 @@ def later_windows(rule: Rule):
     return judge
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 20, gram: int = 2) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 20, gram: int = 2, hot: float = 8.0) -> DataFrame:
     """doc_id, text (kept words joined by one blank), spans (removed ranges of words), n_words and n_removed of each row."""
     rows = keyed(df, id_col, text_col)
-    rule = Rule(length, gram, words=True, first_stays=True, buckets=bucket_count(rows))
+    rule = Rule(length, gram, words=True, first_stays=True, buckets=bucket_count(rows), hot=hot)
     spans = covered(rows, rule, later_windows(rule))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,7 +169,7 @@ def repeated_windows(rule: Rule):
     return judge
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 24, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 24, hot: float = 8.0, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, bytes (what is left), spans (maximal removed ranges of bytes), n_bytes and n_removed of each row.
 
     as_text: a column text instead of bytes, without characters that a cut has
@@ -178,7 +178,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     passed = [F.col(c).alias(f"_bl_{i}") for i, c in enumerate(carry)]
     types = [f.dataType.simpleString() for f in df.select(*carry).schema.fields] if carry else []
     rows = keyed(df, id_col, text_col, *passed)
-    rule = Rule(length, gram, words=False, first_stays=False, keyed=True, buckets=bucket_count(rows))
+    rule = Rule(length, gram, words=False, first_stays=False, keyed=True, buckets=bucket_count(rows), hot=hot)
     spans = covered(rows, rule, repeated_windows(rule))
     names = ["doc_id", "text" if as_text else "bytes", "spans", "n_bytes", "n_removed", *carry]
 

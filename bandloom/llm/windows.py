@@ -10,19 +10,26 @@ a task; what the merging has settled goes along as bare ranges.
 
 All segments of a step that go to one bucket make one row, a zstd-compressed
 blob. A bucket's rows are the only thing that a reducing task holds at once.
+
+A very common gram can be the minimiser of windows in a large share of all rows,
+whose contexts differ, so that merging does not help. The bytes for each bucket
+are therefore counted first, over all rows. Windows of a bucket with more than
+`hot` times its share are dealt one by one, by a hash of their whole content, to
+a second range of buckets; 128 bits of hash stand for such a window. Either way
+the bucket depends on the window's content alone, so equal windows still meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, mix, prefix_hash, span_hash, spread, steps, utf8, word_spans
+from .common import byte_codes, cut, mix, prefix_hash, span_hash, spread, steps, utf8, word_spans
 
 #: Stands for a null id inside; smaller than any id.
 NO_ID = -(2**63)
@@ -82,8 +89,22 @@ class Rule:
     #: Whether segments bring their minimiser along.
     keyed: bool = False
     buckets: int = 64
+    #: Buckets with more than `hot` times their share of bytes are spread window by window.
+    hot: float = 8.0
     step_bytes: int = 6 << 20
     code: np.ndarray = field(default_factory=byte_codes)
+    spread_over: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def window_hashes(self, data: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the content of the windows that begin at the given units."""
+        out = []
+        for seed in (2, 3):
+            run = prefix_hash(byte_codes(seed=seed)[data])
+            if self.words:
+                s, e, _ = word_spans(data, off)
+                run = prefix_hash(span_hash(run, s, e))
+            out.append(span_hash(run, at, at + self.length))
+        return out[0], out[1]
 
     def hashes(self, data: np.ndarray, off: np.ndarray):
         """Hash of each unit's gram, first unit of each row, and byte bounds of units in a text where one blank parts words."""
@@ -107,7 +128,7 @@ class Rule:
         return mix(g), first, clean.tobytes(), begin, begin + size
 
     def segments(self, data: np.ndarray, off: np.ndarray):
-        """Row, first window (in the row), windows, minimiser and bytes of each segment."""
+        """Row, first window (in the row), windows, minimiser and bytes of each segment, and the first unit of each row."""
         gram, first, raw, begin, end = self.hashes(data, off)
         units = np.diff(first)
         count = np.maximum(units - self.length + 1, 0)
@@ -132,7 +153,7 @@ class Rule:
         u = at[head]
         stop = u + n + self.length - 1
         lo, hi = (begin[u], end[stop - 1]) if self.words else (u, stop)
-        return row[head], place[head], n, least[head] & ~_LOW, raw, lo, hi
+        return row[head], place[head], n, least[head] & ~_LOW, raw, lo, hi, first
 
 
 def deal(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -148,44 +169,137 @@ def deal(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
+def loads(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (text) to (bucket, bytes): what each bucket would get, before equal segments are merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            got = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in steps(off):
+                part = rule.segments(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                if part is not None:
+                    got[0].append((mix(part[3]) % np.uint64(rule.buckets)).astype(np.int64))
+                    got[1].append(part[6] - part[5])
+            which, at = np.unique(np.concatenate(got[0]), return_inverse=True)
+            size = np.bincount(at, np.concatenate(got[1]), minlength=len(which)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(size)], ["bucket", "bytes"])
+
+    return run
+
+
+def hot_buckets(df: DataFrame, rule: Rule) -> np.ndarray:
+    """Buckets with more than `hot` times the mean: at most buckets / hot of them."""
+    sums = cut(df.select("text").mapInArrow(loads(rule), "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes")))
+    mean = F.broadcast(sums.agg((F.sum("bytes") / rule.buckets).alias("mean")))
+    rows = sums.join(mean, F.col("bytes") > F.col("mean") * rule.hot).select("bucket").collect()
+    return np.array(sorted(r["bucket"] for r in rows), np.int64)
+
+
 def _deal_step(rule: Rule, data: np.ndarray, off: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-    found = []
+    found, single = [], []
     for a, b in steps(off):
-        part = rule.segments(data[off[a] : off[b]], off[a : b + 1] - off[a])
-        if part is not None:
-            row, place, n, key, raw, lo, hi = part
-            texts = [raw[s:e] for s, e in zip(lo.tolist(), hi.tolist(), strict=True)]
-            found.append((row + a, place, n, key, texts))
-    if not found:
-        return
-    row, place, n, key = (np.concatenate([f[i] for f in found]) for i in range(4))
-    texts = [t for f in found for t in f[4]]
-    # equal segments of this step: the earliest carries the text
-    number: dict[bytes, int] = {}
-    same = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
-    order = np.lexsort((place, ids[row], same))
+        own, lim = data[off[a] : off[b]], off[a : b + 1] - off[a]
+        part = rule.segments(own, lim)
+        if part is None:
+            continue
+        row, place, n, key, raw, lo, hi, first = part
+        bucket = (mix(key) % np.uint64(rule.buckets)).astype(np.int64)
+        hot = np.isin(bucket, rule.spread_over)
+        if hot.any():
+            seg, step = spread(n[hot])
+            r, p = row[hot][seg], place[hot][seg] + step
+            single.append((r + a, p, *rule.window_hashes(own, lim, first[r] + p)))
+            row, place, n, key, bucket, lo, hi = (x[~hot] for x in (row, place, n, key, bucket, lo, hi))
+        texts = [raw[s:e] for s, e in zip(lo.tolist(), hi.tolist(), strict=True)]
+        found.append((row + a, place, n, key, bucket, texts))
+    out: dict[int, list[Segments]] = {}
+    if found:
+        _deal_segments(rule, found, ids, fp, out)
+    if single:
+        _deal_windows(rule, [np.concatenate(x) for x in zip(*single, strict=True)], ids, fp, out)
+    if out:
+        blobs = [Segments.join(parts).pack() for parts in out.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _chiefs(rule: Rule, same: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries with the same content: which are sent (the earliest), and which have a twin in this step."""
+    order = np.lexsort((place, ids, same))
     lead = np.ones(len(order), bool)
     lead[1:] = same[order][1:] != same[order][:-1]
     chief = order[lead]
-    sends = np.zeros(len(texts), bool)
+    sends = np.zeros(len(same), bool)
     sends[chief] = True
-    several = np.bincount(same)[same] > 1
     if rule.first_stays:  # rows that share id and place with the earliest are not later than it, and go along
-        first_of = np.empty(len(number), np.int64)
+        first_of = np.empty(int(same.max()) + 1, np.int64)
         first_of[same[chief]] = chief
-        sends |= (ids[row] == ids[row[first_of[same]]]) & (place == place[first_of[same]])
-    bucket = (mix(key) % np.uint64(rule.buckets)).astype(np.int64)
-    order = order[np.lexsort((place[order], ids[row[order]], bucket[order]))]
+        sends |= (ids == ids[first_of[same]]) & (place == place[first_of[same]])
+    return sends, np.bincount(same)[same] > 1
+
+
+def _by_bucket(bucket: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = order[np.argsort(bucket[order], kind="stable")]
     edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-    out_bucket, out_blob = [], []
-    sizes = np.where(sends, np.fromiter(map(len, texts), np.int64, len(texts)), 0)
     for s, e in zip(edge[:-1], edge[1:], strict=True):
-        own = order[s:e]
+        yield int(bucket[order[s]]), order[s:e]
+
+
+def _deal_segments(rule: Rule, found: list, ids: np.ndarray, fp: np.ndarray, out: dict[int, list[Segments]]) -> None:
+    row, place, n, key, bucket = (np.concatenate([f[i] for f in found]) for i in range(5))
+    texts = [t for f in found for t in f[5]]
+    if not texts:
+        return
+    number: dict[bytes, int] = {}
+    same = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+    sends, several = _chiefs(rule, same, ids[row], place)
+    sizes = np.where(sends, np.fromiter(map(len, texts), np.int64, len(texts)), 0)
+    for b, own in _by_bucket(bucket, np.lexsort((place, ids[row]))):
         text = b"".join([texts[i] for i in own.tolist() if sends[i]])
-        seg = Segments(ids[row[own]], fp[row[own]], place[own], n[own], sizes[own], several[own], np.where(sends[own] & rule.keyed, key[own], np.uint64(0)), text)
-        out_bucket.append(int(bucket[own[0]]))
-        out_blob.append(seg.pack())
-    yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
+        keys = np.where(sends[own] & rule.keyed, key[own], np.uint64(0))
+        out.setdefault(b, []).append(Segments(ids[row[own]], fp[row[own]], place[own], n[own], sizes[own], several[own], keys, text))
+
+
+def _deal_windows(rule: Rule, single: list[np.ndarray], ids: np.ndarray, fp: np.ndarray, out: dict[int, list[Segments]]) -> None:
+    """Windows one by one: the first hash is the key, the second the text of eight bytes."""
+    row, place, one, two = single
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    same = np.empty(len(order), np.int64)
+    same[order] = np.cumsum(new) - 1
+    sends, several = _chiefs(rule, same, ids[row], place)
+    bucket = rule.buckets + (mix(one) % np.uint64(rule.buckets)).astype(np.int64)
+    eight = lambda own: np.full(len(own), 8)
+    for b, own in _by_bucket(bucket, np.flatnonzero(sends)):
+        out.setdefault(b, []).append(Segments(ids[row[own]], fp[row[own]], place[own], np.ones(len(own), np.int64), eight(own), several[own], one[own], two[own].tobytes()))
+    # what is settled here goes along as ranges
+    done = np.flatnonzero(~sends)
+    if len(done):
+        done = done[np.lexsort((place[done], row[done]))]
+        gap = np.ones(len(done), bool)
+        gap[1:] = (row[done][1:] != row[done][:-1]) | (place[done][1:] != place[done][:-1] + 1)
+        head = np.flatnonzero(gap)
+        n, own = np.diff(np.append(head, len(done))), done[head]
+        bare = (mix(ids[row[own]].astype(np.uint64)) % np.uint64(rule.buckets)).astype(np.int64)
+        zero = np.zeros(len(own), np.int64)
+        for b, at in _by_bucket(bare, np.arange(len(own))):
+            o = own[at]
+            out.setdefault(b, []).append(Segments(ids[row[o]], fp[row[o]], place[o], n[at], zero[at], zero[at], zero[at].astype(np.uint64), b""))
+
+
+def judge_hashes(rule: Rule, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows dealt one by one go."""
+    two = np.frombuffer(seg.text, "<u8")
+    order = np.lexsort((seg.start, seg.ids, two, seg.keys))
+    k, t, i, s = seg.keys[order], two[order], seg.ids[order], seg.start[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    group = np.cumsum(new) - 1
+    lead = np.flatnonzero(new)[group]
+    gone = (i != i[lead]) | (s != s[lead]) if rule.first_stays else (np.bincount(group)[group] > 1) | (seg.flags[order] > 0)
+    own = np.sort(order[gone])
+    return own, np.zeros(len(own), np.int64)
 
 
 def runs(segment: np.ndarray, window: np.ndarray, seg: Segments, length: int) -> tuple[np.ndarray, ...]:
@@ -209,6 +323,8 @@ def covered(df: DataFrame, rule: Rule, judge: Judge) -> DataFrame:
     judge gets the segments of one bucket that carry text and tells which windows go (segment, window).
     """
 
+    rule = replace(rule, spread_over=hot_buckets(df, rule))
+
     def reduce(table: pa.Table) -> pa.Table:
         seg = Segments.join([Segments.unpack(b) for b in table.column("blob").to_pylist()])
         bare = np.flatnonzero(seg.sizes == 0)
@@ -216,7 +332,8 @@ def covered(df: DataFrame, rule: Rule, judge: Judge) -> DataFrame:
         sent = np.flatnonzero(seg.sizes > 0)
         if len(sent):
             text = Segments(**{n: getattr(seg, n)[sent] for n, _ in Segments._types}, text=seg.text)
-            parts.append(runs(*judge(text), text, rule.length))
+            hashed = table.column("bucket")[0].as_py() >= rule.buckets
+            parts.append(runs(*(judge_hashes(rule, text) if hashed else judge(text)), text, rule.length))
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table({"id": pa.array(cols[0], pa.int64()), "fp": pa.array(cols[1], pa.int32()), "s": pa.array(cols[2], pa.int32()), "e": pa.array(cols[3], pa.int32())})
 
