@@ -17,7 +17,13 @@ the links between classes:
    (five standard deviations).
 
 So a group of copies costs a star, not all its pairs, and no pair of a group is
-left out unless its ends are joined already. Every link is confirmed on the
+left out unless its ends are joined already.
+
+An entry A_i that more than max(5000, a hundred-thousandth of all) rows share is
+hot (at most 100,000 of them). Its rows are dealt by (A_i, B_j) instead; in round
+1 every task first makes stars of its own rows and sends only their centres, and
+in round 2 the keys whose rows are in several components are cut into blocks of
+about 2000 rows, of which every two meet in a task of their own. Every link is confirmed on the
 full sets of shingle hashes (64 bits each), taken from the whole texts.
 Components are found by alternating stars on the links, in the cluster.
 
@@ -126,8 +132,113 @@ def _columns(table, names: tuple[str, ...], types: tuple[str, ...]) -> list[np.n
     return out
 
 
-def deal(scheme: Scheme, buckets: int, second: bool):
-    """Rows to (bucket, blob): entries A_i, id, B (and in the second round component, set size and signature)."""
+def entry_counts(scheme: Scheme):
+    """Rows (a) to (key, n): how often each entry A_i stands in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = np.unique(_columns(pa.table(batch), ("a",), ("<u8",))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return run
+
+
+def hot_entries(chosen: DataFrame, scheme: Scheme, rows: int, least: int = 5000) -> np.ndarray:
+    """Entries A_i that very many rows share, sorted."""
+    counts = chosen.select("a").mapInArrow(entry_counts(scheme), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    most = max(least, rows * scheme.side // 100_000)
+    found = counts.where(F.col("n") > most).select("key").collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
+
+
+def _hot_keys(scheme: Scheme, a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each (A_i, B_j) whose A_i is hot."""
+    row, i = np.nonzero(np.isin(a, hot))
+    with np.errstate(over="ignore"):
+        key = mix(a[row, i][:, None] * np.uint64(0x9E3779B97F4A7C15) + (b[row].astype(np.uint64) << np.uint64(8)) + np.arange(scheme.side, dtype=np.uint64))
+    return np.repeat(row, scheme.side), key.reshape(-1)
+
+
+def hot_stars(scheme: Scheme, hot: np.ndarray):
+    """Round 1 for hot entries, before the shuffle: (key, id) of each batch's smallest id by key, and stars (hub, id) with key null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.table(batch)
+            a, b = _columns(table, ("a", "b"), ("<u8", "<u4"))
+            row, key = _hot_keys(scheme, a, b, hot)
+            ids = table["id"].to_numpy()[row]
+            order = np.lexsort((ids, key))
+            key, ids = key[order], ids[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            hub = ids[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else ids
+            pair = np.unique(np.stack([hub[hub != ids], ids[hub != ids]]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
+            none = pa.nulls(pair.shape[1], pa.int64())
+            keys = pa.concat_arrays([pa.array(key[new].view(np.int64)), none])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([ids[new], pair[0]])), pa.array(np.concatenate([np.full(int(new.sum()), NO_ID), pair[1]]))], ["key", "a", "b"])
+
+    return run
+
+
+def hot_first(chosen: DataFrame, scheme: Scheme, hot: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of round 1 for hot entries: stars within tasks, and a star over their centres by key."""
+    rows = cut(chosen.select("id", "a", "b").mapInArrow(hot_stars(scheme, hot), "key long, a long, b long"))
+    centres = rows.where("key is not null").select("key", F.col("a").alias("id"))
+    low = centres.groupBy("key").agg(F.min("id").alias("a"))
+    over = centres.join(low, "key").where("id <> a").select("a", F.col("id").alias("b"))
+    return rows.where("key is null").select("a", "b").unionByName(over).distinct()
+
+
+def hot_second(rows: DataFrame, scheme: Scheme, hot: np.ndarray, block: int = 2000) -> DataFrame:
+    """Pairs (a, b) of round 2 for hot entries (rows: id, a, b, label, n, sig)."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.table(batch)
+            row, key = _hot_keys(scheme, *_columns(table, ("a", "b"), ("<u8", "<u4")), hot)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[table[c].combine_chunks().take(take) for c in ("id", "label", "n", "sig")]], ["key", "id", "label", "n", "sig"])
+
+    def met(key: tuple, table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        ids, label, n = (table[c].to_numpy() for c in ("id", "label", "n"))
+        sig = _columns(table, ("sig",), ("u1",))[0]
+        lo, hi = key[1].as_py(), key[2].as_py()
+        p, q = (np.flatnonzero(side == x) for x in (lo, hi))
+        return _distinct(*_allowed(scheme, ids, label, n, sig, p, q, lo == hi))
+
+    entries = rows.mapInArrow(keys, "key long, id long, label long, n long, sig binary")
+    # keys whose rows are in one component need no more; the sums are small before they are shuffled
+    mixed = entries.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    parts = entries.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    return pairs.select("key", "lo", "hi", "side", "id", "label", "n", "sig").groupBy("key", "lo", "hi").applyInArrow(met, PAIR)
+
+
+def _allowed(scheme: Scheme, ids: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, own: np.ndarray, other: np.ndarray, same: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two sets (the same: each pair once) in different components that size and signature leave possible."""
+    least = scheme.least_equal()
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in range(0, len(own), block):
+        for y in range(x if same else 0, len(other), block):
+            p, q = own[x : x + block], other[y : y + block]
+            ok = label[p][:, None] != label[q][None, :]
+            if same and x == y:
+                ok &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
+            ok &= 100 * np.minimum(n[p][:, None], n[q][None, :]) >= scheme.percent * np.maximum(n[p][:, None], n[q][None, :])
+            i, j = np.nonzero(ok)
+            for z in range(0, len(i), 1 << 16):
+                u, v = p[i[z : z + (1 << 16)]], q[j[z : z + (1 << 16)]]
+                good = (sig[u] == sig[v]).sum(1) >= least
+                out_a.append(ids[u[good]])
+                out_b.append(ids[v[good]])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def deal(scheme: Scheme, buckets: int, second: bool, hot: np.ndarray):
+    """Rows to (bucket, blob): entries A_i that are not hot, id, B (and in the second round component, set size and signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,6 +247,9 @@ def deal(scheme: Scheme, buckets: int, second: bool):
             ids = table["id"].to_numpy()
             row, i = np.repeat(np.arange(len(ids)), scheme.side), np.tile(np.arange(scheme.side), len(ids))
             key = a[row, i]
+            if len(hot):
+                cold = ~np.isin(key, hot)
+                row, key = row[cold], key[cold]
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
@@ -205,9 +319,8 @@ def stars(scheme: Scheme):
     return run
 
 
-def across(scheme: Scheme, block: int = 512):
+def across(scheme: Scheme):
     """Round 2: members of a group that are in different components and whose signatures allow a link."""
-    least = scheme.least_equal()
 
     def run(table: pa.Table) -> pa.Table:
         key, ids, b, label, n, sig = _entries(scheme, table["blob"].to_pylist(), True)
@@ -221,21 +334,10 @@ def across(scheme: Scheme, block: int = 512):
             at = np.searchsorted(begin, mixed)
             for s, e in zip(mixed.tolist(), end[at].tolist(), strict=True):
                 own = order[s + 1 : e]
-                for x in range(0, len(own), block):
-                    for y in range(x, len(own), block):
-                        p, q = own[x : x + block], own[y : y + block]
-                        ok = label[p][:, None] != label[q][None, :]
-                        if x == y:
-                            ok &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
-                        ok &= 100 * np.minimum(n[p][:, None], n[q][None, :]) >= scheme.percent * np.maximum(n[p][:, None], n[q][None, :])
-                        i, j = np.nonzero(ok)
-                        for z in range(0, len(i), 1 << 16):
-                            u, v = p[i[z : z + (1 << 16)]], q[j[z : z + (1 << 16)]]
-                            good = (sig[u] == sig[v]).sum(1) >= least
-                            out_a.append(ids[u[good]])
-                            out_b.append(ids[v[good]])
-        a, b_ = np.concatenate(out_a), np.concatenate(out_b)
-        return _distinct(np.minimum(a, b_), np.maximum(a, b_))
+                x, y = _allowed(scheme, ids, label, n, sig, own, own, True)
+                out_a.append(x)
+                out_b.append(y)
+        return _distinct(np.concatenate(out_a), np.concatenate(out_b))
 
     return run
 
@@ -311,7 +413,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id").union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None, entries_each: int = 40_000) -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None, entries_each: int = 40_000, hot_from: int = 5000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept of each row."""
     scheme = scheme or Scheme()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -319,15 +421,24 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sigs = cut(rows.mapInArrow(signatures(scheme), "id long, n long, h binary, a binary, b binary, sig binary"))
     classes = sigs.where("n > 0").groupBy("h").agg(F.min("id").alias("rep"))
     chosen = cut(sigs.where("n > 0").join(classes.withColumnRenamed("h", "ch"), (F.col("h") == F.col("ch")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "h"]))
-    buckets = max(16, chosen.count() * scheme.side // entries_each)
+    total = chosen.count()
+    buckets = max(16, total * scheme.side // entries_each)
+    hot = hot_entries(chosen, scheme, total, hot_from)
     blob, group = "bucket int, blob binary", lambda f, d: d.groupBy("bucket").applyInArrow(f, PAIR)
-    first = cut(group(stars(scheme), chosen.select("id", "a", "b").mapInArrow(deal(scheme, buckets, False), blob)).distinct())
+    first = group(stars(scheme), chosen.select("id", "a", "b").mapInArrow(deal(scheme, buckets, False, hot), blob))
+    if len(hot):
+        first = first.unionByName(hot_first(chosen, scheme, hot))
+    first = cut(first.distinct())
     links = cut(confirmed(cut(plausible(first, chosen, scheme)), rows, scheme))
     label = components(links)
     # only documents that shared a key with another can have further links
     met = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct()
     again = chosen.join(met, "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = cut(group(across(scheme), again.select("id", "a", "b", "label", "n", "sig").mapInArrow(deal(scheme, buckets, True), blob)).distinct())
+    again = again.select("id", "a", "b", "label", "n", "sig")
+    more = group(across(scheme), again.mapInArrow(deal(scheme, buckets, True, hot), blob))
+    if len(hot):
+        more = more.unionByName(hot_second(cut(again), scheme, hot))
+    more = cut(more.distinct())
     if not more.isEmpty():
         found = cut(confirmed(more, rows, scheme))
         if not found.isEmpty():

@@ -185,19 +185,19 @@ def brute_bytes(docs, n=400):
     return Counter(out)
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_passages(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 8.0), (1, 0.5), (2, -1.0)])
+def test_passages(spark, seed, hot):
     docs = fuzz_docs(seed)
     df = table(spark, docs).withColumn("spans", F.lit(1)).repartition(3)
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in passages.remove_repeats(df).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in passages.remove_repeats(df, hot=hot).collect())
     assert got == brute_words(docs)
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_suffixes(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 8.0), (1, 0.5), (2, -1.0)])
+def test_suffixes(spark, seed, hot):
     docs = fuzz_docs(seed)
     df = table(spark, docs).withColumn("bytes", F.lit(1)).repartition(3)
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["bytes"])) for r in suffixes.remove_repeats(df).collect())
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["bytes"])) for r in suffixes.remove_repeats(df, hot=hot).collect())
     assert got == brute_bytes(docs)
     as_text = suffixes.remove_repeats(df, length=200, as_text=True, carry=["fp"]) if "fp" in df.columns else suffixes.remove_repeats(df.withColumn("fp", F.lit("own")), length=200, as_text=True, carry=["fp"])
     want = brute_bytes(docs, 200)
@@ -230,7 +230,7 @@ def test_cover_and_equal_suffixes():
 def test_segments_hold_every_window_once():
     rule = windows.Rule(20, 2, words=True, first_stays=True)
     text = " ".join(random.Random(1).choice(["u", "v", "w"]) for _ in range(500)).encode()
-    row, place, n, key, raw, lo, hi = rule.segments(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    row, place, n, key, raw, lo, hi, _ = rule.segments(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert np.array_equal(np.cumsum(n) - n, place) and n.sum() == 481
     words = text.split()
     assert all(raw[a:b].split() == words[p : p + k + 19] for a, b, p, k in zip(lo, hi, place, n, strict=True))
@@ -261,8 +261,8 @@ def brute_classes(docs, words, percent=80):
     return Counter((i, len(s), find(i) if s else i, i == (find(i) if s else i)) for i, s in own)
 
 
-@pytest.mark.parametrize("words", [4, 5])
-def test_near_duplicates(spark, words):
+@pytest.mark.parametrize(("words", "hot"), [(4, 5000), (5, 5000), (4, 1)])
+def test_near_duplicates(spark, words, hot):
     rng = random.Random(words)
     vocab = [f"w{i}" for i in range(200)]
     docs, base = [], [[rng.choice(vocab) for _ in range(rng.randint(3, 120))] for _ in range(12)]
@@ -273,7 +273,7 @@ def test_near_duplicates(spark, words):
         docs.append((i + 1, " ".join(own)))
     docs += [(500, None), (501, ""), (502, " \t "), (503, "one"), (504, "ONE"), (505, "two words"), (506, " two  words ")]
     df = table(spark, docs).withColumn("kept", F.lit(0)).withColumn("label", F.lit("x")).repartition(3)
-    out = neardup.near_duplicates(df, scheme=neardup.Scheme(words=words))
+    out = neardup.near_duplicates(df, scheme=neardup.Scheme(words=words), hot_from=hot)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out.collect()) == brute_classes(docs, words)
 
 
