@@ -24,13 +24,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import JoinError
 from ..functions.bands import Band, BandQuery
+from .buckets import bucket_of, literal_bounds
 from .histogram import boundaries, frequencies, widened
 
 STRATEGIES = ("auto", "grid", "cells", "naive")
@@ -49,56 +48,36 @@ def width_of(band: Band) -> int:
     return band.hi - band.lo + 1
 
 
-def _bucket_by_search(bounds: tuple[tuple[int, int], ...]):
-    lo = np.array([b[0] for b in bounds], np.int64)
-    hi = np.array([b[1] for b in bounds], np.int64)
+def _by_width(bands: tuple[Band, ...]) -> list[tuple[Band, ...]]:
+    """Bands in groups whose widths differ by less than a factor of 64; each group is one join."""
+    groups: dict[int, list[Band]] = {}
+    for b in bands:
+        groups.setdefault(width_of(b).bit_length() // 6, []).append(b)
+    return [tuple(g) for g in groups.values()]
 
-    @F.pandas_udf("int")
-    def find(v: pd.Series) -> pd.Series:
-        x = v.to_numpy(np.int64)
-        at = np.searchsorted(lo, x, "right") - 1
-        return pd.Series(np.where((at >= 0) & (x <= hi[np.maximum(at, 0)]), at, -1).astype(np.int32))
 
-    return find
-
-
-def bucket_of(value: Column, bounds: tuple[tuple[int, int], ...], *, search_from: int = 128) -> Column:
-    """Bucket of a value among closed ranges that follow one another; -1 outside all.
-
-    Up to search_from buckets a sum of comparisons (plain generated code);
-    beyond, a vectorised binary search.
-    """
-    if len(bounds) > search_from:
-        return _bucket_by_search(bounds)(value)
-    inside = (value >= bounds[0][0]) & (value <= bounds[-1][1])
-    at = reduce(lambda a, b: a + b, [(value > hi).cast("int") for _, hi in bounds[:-1]], F.lit(0))
-    return F.when(inside, at).otherwise(F.lit(-1))
-
-
-def literal_bounds(histogram: DataFrame, rel: str) -> tuple[tuple[int, int], ...]:
-    """(lo, hi) of a relation's buckets in order; as many as the caller asked for."""
-    rows = histogram.where(F.col("rel") == rel).select("bucket", "lo", "hi").collect()
-    return tuple((r["lo"], r["hi"]) for r in sorted(rows, key=lambda r: r["bucket"]))
-
-
-def _grid_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, band: Band, width: int | None, salt: int, kind: str = "inner") -> DataFrame:
-    w = width or width_of(band)
+def _grid_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, bands: tuple[Band, ...], width: int | None, salt: int) -> DataFrame:
+    """Pairs of rows that any of the disjoint bands holds, by one join: a row of t is repeated for every cell that a band reaches."""
+    w = width or max(map(width_of, bands))
     cell = lambda x: x - F.pmod(x, F.lit(w))  # noqa: E731  the cell's first value: exact for any BIGINT
     left = s.withColumn("_cell", cell(F.col(sv)))
-    right = t.withColumn("_cell", F.explode(F.sequence(cell(F.col(tv) + band.lo), cell(F.col(tv) + band.hi), F.lit(w).cast("long"))))
+    reach = [F.sequence(cell(F.col(tv) + b.lo), cell(F.col(tv) + b.hi), F.lit(w).cast("long")) for b in bands]
+    right = t.withColumn("_cell", F.explode(reach[0] if len(reach) == 1 else F.array_distinct(F.concat(*reach))))
     keys = ["_cell"]
     if salt > 1:  # rows of a hot value are spread, and the other side is repeated for each share
         left = left.withColumn("_salt", (F.rand(7) * salt).cast("int"))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         keys.append("_salt")
     a, b = left.alias("_l"), right.alias("_r")
-    on = reduce(lambda x, y: x & y, [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys]) & band.holds(F.col(f"_l.{sv}"), F.col(f"_r.{tv}"))
-    out = a.join(b, on, kind)
-    if kind in ("left_semi", "left_anti"):
-        return out.select(*[F.col(f"_l.{c}") for c in s.columns])
+    held = BandQuery(bands).holds(F.col(f"_l.{sv}"), F.col(f"_r.{tv}"))
+    out = a.join(b, reduce(lambda x, y: x & y, [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys]) & held)
     return out.select(*[F.col(f"_l.{c}") for c in s.columns], *[F.col(f"_r.{c}") for c in t.columns])
 
 
+def _row_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, q: BandQuery, width: int | None, salt: int) -> DataFrame:
+    return union_all([_grid_pairs(s, t, sv, tv, g, width, salt) for g in _by_width(q.bands)])
+
+
 def _sides(s: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s.select(F.col("value").alias("s"), F.col("freq").alias("s_freq")), t.select(F.col("value").alias("t"), F.col("freq").alias("t_freq"))
 
@@ -134,8 +113,8 @@ def band_join_values(s: DataFrame, t: DataFrame, query: BandQuery | str, *, mode
     s, t = (x if counted else frequency(x) for x in (s, t))
     product = (F.col("s_freq") * F.col("t_freq")).alias("mult")
     if mode == "per_band":
-        parts = [_join(s, t, BandQuery((b,)), strategy, buckets, width).select(F.lit(i).alias("band_id"), "s", "t", product) for i, b in enumerate(q.bands)]
-        return union_all(parts)
+        hits = F.array(*[F.when(b.holds(F.col("s"), F.col("t")), F.lit(i)) for i, b in enumerate(q.bands)])
+        return _join(s, t, q.merged(), strategy, buckets, width).select(F.explode(F.array_compact(hits)).alias("band_id"), "s", "t", product)
     if mode != "or":
         raise JoinError(f"mode {mode!r} is neither 'or' nor 'per_band'")
     return _join(s, t, q.merged(), strategy, buckets, width).select("s", "t", product)
@@ -149,7 +128,7 @@ def _join(s: DataFrame, t: DataFrame, q: BandQuery, strategy: str, buckets: int,
     opened = [x for x in q.bands if x.lo is None or x.hi is None]
     if strategy == "cells":
         return _cells_join(s, t, q, buckets)
-    parts = [_grid_pairs(a, b, "s", "t", x, width, 1) for x in closed]
+    parts = [_grid_pairs(a, b, "s", "t", g, width, 1) for g in _by_width(tuple(closed))]
     if opened:
         if strategy == "grid":
             raise JoinError("the grid strategy needs bands that are closed on both ends")
@@ -167,14 +146,14 @@ def band_join_rows(s: DataFrame, t: DataFrame, s_value: str, t_value: str, query
         on = q.holds(F.col(s_value), F.col(t_value))
         return s.join(t, on, kind)
     if kind == "inner":
-        return union_all([_grid_pairs(s, t, s_value, t_value, b, width, salt) for b in q.bands])
+        return _row_pairs(s, t, s_value, t_value, q, width, salt)
     # the other kinds: whether a value matches is settled on distinct values, which a row then looks up
     pairs = band_join_values(s.select(F.col(s_value).alias("value")).where("value is not null"), t.select(F.col(t_value).alias("value")).where("value is not null"), q)
     met = pairs.select(F.col("s").alias("_met")).distinct()
     if kind in ("left_semi", "left_anti"):
         return s.join(met, F.col(s_value) == F.col("_met"), kind)
     if kind == "left_outer":
-        inner = union_all([_grid_pairs(s, t, s_value, t_value, b, width, salt) for b in q.bands])
+        inner = _row_pairs(s, t, s_value, t_value, q, width, salt)
         alone = s.join(met, F.col(s_value) == F.col("_met"), "left_anti")
         return inner.unionByName(alone, allowMissingColumns=True)
     raise JoinError(f"kind {kind!r} is not supported")

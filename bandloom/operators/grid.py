@@ -101,7 +101,8 @@ def candidate_cells(histogram: DataFrame, query: BandQuery | str) -> DataFrame:
 
 def exact_cells(freq: DataFrame, histogram: DataFrame, query: BandQuery | str) -> DataFrame:
     """Cells that do hold a result, by the values themselves: s_bucket, t_bucket (what candidate_cells must contain)."""
-    from .bandjoin import band_join_values, bucket_of, literal_bounds
+    from .bandjoin import band_join_values
+    from .buckets import bucket_of, literal_bounds
 
     s, t = (freq.where(F.col("rel") == r).select("value", "freq") for r in ("S", "T"))
     found = band_join_values(s, t, query, counted=True).select("s", "t")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ..errors import HistogramError
 from ..sources.relations import sample
+from ..storage import written
+from .buckets import bucket_of, literal_bounds
 
 HISTOGRAM_SCHEMA = "rel string, bucket int, lo long, hi long, cnt long"
 FINE = 64
@@ -195,14 +197,20 @@ def widened(bounds: DataFrame, full: DataFrame) -> DataFrame:
 
 def bucket_counts(freq: DataFrame, bounds: DataFrame) -> DataFrame:
     """rel, bucket, lo, hi, cnt over the full frequencies; empty buckets count 0."""
-    inside = (F.col("f.rel") == F.col("b.rel")) & F.col("value").between(F.col("lo"), F.col("hi"))
-    hit = freq.alias("f").join(F.broadcast(bounds).alias("b"), inside).groupBy("b.rel", "bucket").agg(F.sum("freq").alias("cnt"))
+    place = F.lit(-1)
+    for r in ("S", "T"):
+        place = F.when(F.col("rel") == r, bucket_of(F.col("value"), literal_bounds(bounds, r))).otherwise(place)
+    hit = freq.groupBy("rel", place.alias("bucket")).agg(F.sum("freq").alias("cnt"))
     return bounds.join(hit, ["rel", "bucket"], "left").select("rel", "bucket", "lo", "hi", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
-def create_histograms(both: DataFrame, k: int, *, sampling: str | int = "100%", policy: str = "step", seed: int = 0) -> DataFrame:
-    """rel, bucket, lo, hi, cnt: boundaries from a sample, counts from all rows."""
-    full = frequencies(both)
+def create_histograms(both: DataFrame, k: int, *, sampling: str | int = "100%", policy: str = "step", seed: int = 0, freq: DataFrame | None = None) -> DataFrame:
+    """rel, bucket, lo, hi, cnt: boundaries from a sample, counts from all rows.
+
+    freq: the full frequency table, where the caller has it; else it is made, and
+    written once, since bounds and counts both read it.
+    """
+    full = written(frequencies(both)) if freq is None else freq
     chosen = sample(both, sampling, seed=seed)
-    part = full if chosen is both else frequencies(chosen)
-    return bucket_counts(full, widened(boundaries(part, k, policy=policy), full))
+    part = full if chosen is both else written(frequencies(chosen))
+    return bucket_counts(full, written(widened(boundaries(part, k, policy=policy), full)))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import BandQuery
-from .bandjoin import bucket_of, frequency, literal_bounds
+from .bandjoin import frequency
+from .buckets import bucket_of, literal_bounds
 
 
 def routing_table(assignment: DataFrame) -> DataFrame:
@@ -49,9 +50,9 @@ def partitioned_join(s: DataFrame, t: DataFrame, query: BandQuery | str, histogr
     return pairs.where(q.holds(F.col("s"), F.col("t"))).select("partition_id", "s", "t", product)
 
 
-def counters(s: DataFrame, t: DataFrame, query: BandQuery | str, histogram: DataFrame, assignment: DataFrame) -> DataFrame:
+def counters(s: DataFrame, t: DataFrame, query: BandQuery | str, histogram: DataFrame, assignment: DataFrame, *, counted: bool = False) -> DataFrame:
     """partition_id, input_rows, output_pairs (decimal) of the partitioned join."""
-    s, t = frequency(s), frequency(t)
+    s, t = (x if counted else frequency(x) for x in (s, t))
     routing = routing_table(assignment)
     read = routed(s, "S", histogram, routing).select("partition_id", "freq").unionByName(routed(t, "T", histogram, routing).select("partition_id", "freq"))
     sent = read.groupBy("partition_id").agg(F.sum("freq").alias("input_rows"))

@@ -12,14 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import JoinError
 from ..functions.bands import BandQuery
 from ..operators import bandjoin, routing
 from ..operators.grid import Grid
-from ..operators.histogram import Histogram, create_histograms, frame, from_frame
+from ..operators.histogram import Histogram, create_histograms, frame, frequencies, from_frame
 from ..sources.artefacts import Timings
-from ..sources.relations import split
+from ..storage import written
 from . import search, seriation
 from .assignment import Assignment
 from .merge import MAX_INPUT
@@ -29,6 +30,7 @@ from .merge import MAX_INPUT
 class Plan:
     both: DataFrame
     grid: Grid
+    freq: DataFrame
     assignment: Assignment | None = None
     timings: Timings = field(default_factory=Timings)
 
@@ -37,10 +39,11 @@ class Plan:
         """both: (rel, value) of S and T."""
         times = Timings()
         with times("histograms"):
-            s, t = from_frame(create_histograms(both, buckets, sampling=sampling, seed=seed))
+            freq = written(frequencies(both))
+            s, t = from_frame(create_histograms(both, buckets, sampling=sampling, seed=seed, freq=freq))
         with times("partitionMatrixCreation"):
             grid = Grid.of(s, t, query)
-        return cls(both, grid, timings=times)
+        return cls(both, grid, freq, timings=times)
 
     @property
     def query(self) -> BandQuery:
@@ -55,6 +58,11 @@ class Plan:
         plain = lambda h, ids: Histogram(*[x[ids.argsort()] for x in (h.lo, h.hi, h.cnt)])
         return frame(self.both.sparkSession, plain(g.s, g.s_ids), plain(g.t, g.t_ids))
 
+    def _sides(self) -> tuple[DataFrame, DataFrame]:
+        """Compressed S and T, from the table written at the start."""
+        one = lambda r: self.freq.where(F.col("rel") == r).select("value", "freq")
+        return one("S"), one("T")
+
     def rearranged(self, policy: str, **options) -> Plan:
         with self.timings("rearrangements"):
             return replace(self, grid=seriation.rearranged(self.grid, policy, **options), assignment=None)
@@ -73,15 +81,14 @@ class Plan:
 
     def join(self, *, mode: str = "or") -> DataFrame:
         """s, t, mult (and band_id): by the assignment if there is one, else by the strategy that bandjoin chooses."""
-        s, t = split(self.both)
+        s, t = self._sides()
         if self.assignment is None:
-            return bandjoin.band_join_values(s, t, self.query, mode=mode)
+            return bandjoin.band_join_values(s, t, self.query, mode=mode, counted=True)
         spark = self.both.sparkSession
-        pairs = routing.partitioned_join(s, t, self.query, self.histogram, self.assignment.frame(spark), mode=mode)
+        pairs = routing.partitioned_join(s, t, self.query, self.histogram, self.assignment.frame(spark), mode=mode, counted=True)
         return pairs.drop("partition_id")
 
     def counters(self) -> DataFrame:
         if self.assignment is None:
             raise JoinError("counters need an assignment")
-        s, t = split(self.both)
-        return routing.counters(s, t, self.query, self.histogram, self.assignment.frame(self.both.sparkSession))
+        return routing.counters(*self._sides(), self.query, self.histogram, self.assignment.frame(self.both.sparkSession), counted=True)

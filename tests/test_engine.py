@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bandloom.errors import JoinError
 from bandloom.functions.bands import BandQuery
 from bandloom.operators import bandjoin as J
+from bandloom.operators import buckets as B
 from bandloom.operators import histogram as H
 from bandloom.operators import routing as R
 from bandloom.plans import search, sweep
@@ -95,8 +96,8 @@ def test_sampled_boundaries_lose_nothing(spark):
 def test_many_buckets_use_search(spark):
     both = generators.generate_range(spark, 1, 500)
     h = H.create_histograms(both, 200)
-    bounds = J.literal_bounds(h, "S")
-    rows = spark.range(0, 503).select(F.col("id").alias("v")).select("v", J.bucket_of(F.col("v"), bounds).alias("a"), J.bucket_of(F.col("v"), bounds, search_from=1000).alias("b")).collect()
+    bounds = B.literal_bounds(h, "S")
+    rows = spark.range(0, 503).select(F.col("id").alias("v")).select("v", B.bucket_of(F.col("v"), bounds).alias("a"), B.bucket_of(F.col("v"), bounds, search_from=1000).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"] == -1 and rows[502]["a"] == -1
 
 
@@ -200,6 +201,12 @@ def test_streams(spark, tmp_path):
     assert sorted((r["id"], r["rid"]) for r in spark.table("near").collect()) == [(i, j) for i in range(5) for j in range(5) if 1 <= i - j <= 2]
 
 
+def test_bands_of_very_different_widths(spark):
+    s, t = frames(spark, [0, 5, 1000, 1001, 5000, 9000], [0, 0, 4000])
+    q = "[0|0]_[1000|8000]_[-3000|-2999]"
+    assert got(J.band_join_values(s, t, q)) == brute([0, 5, 1000, 1001, 5000, 9000], [0, 0, 4000], q)
+
+
 def test_no_nested_loop_on_the_main_path(spark):
     s, t = frames(spark, range(100), range(100))
     plan = J.band_join_values(s, t, "[1|3]_[10|12]")._jdf.queryExecution().executedPlan().toString()
