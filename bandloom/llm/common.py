@@ -6,15 +6,16 @@ are handled as one byte buffer with offsets and never as a Python list of rows.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Bytes of text handled by one numpy step; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -24,23 +25,8 @@ _INV = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir), or one of our own where it is unset."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if where is None:
-        where = sc.getCheckpointDir()
-    if where is None:
-        where = tempfile.mkdtemp(prefix="bandloom-ckpt-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Write a result to the shared checkpoint folder, so that lost executors cost no recomputation.
+cut = written
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

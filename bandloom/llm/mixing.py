@@ -36,6 +36,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def seeded(key: Column, seed: int) -> Column:
+    """A number from 0 to 2**60 - 1 that depends on key and seed: the first 15 hexadecimal digits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def water_fill(sources: DataFrame, cycle: Sequence[int], max_epochs: int) -> DataFrame:
     """_bl_target of each source (src, src_null, total): one row per source, so the single ordered window is small."""
     by_name = Window.orderBy("_bl_null", "_bl_src")
@@ -62,7 +67,7 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     """
     kept = {c: F.col(c).alias(f"_bl_c_{i}") for i, c in enumerate(carry)}
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *kept.values())
-    rows = rows.withColumns({"_bl_src": F.coalesce(F.col("source").cast("string"), F.lit("")), "_bl_null": F.col("source").isNull().cast("int"), "_bl_u": F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))})
+    rows = rows.withColumns({"_bl_src": F.coalesce(F.col("source").cast("string"), F.lit("")), "_bl_null": F.col("source").isNull().cast("int"), "_bl_u": seeded(F.coalesce("doc_id", F.lit(-1)), seed)})
     narrow = cut(rows.drop(*[f"_bl_c_{i}" for i in range(len(kept))]))
     bins = max(1, math.isqrt(narrow.count()))
     keys = ["_bl_src", "_bl_null", "_bl_bin"]

@@ -26,7 +26,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_checkpoint_dir
+from ..storage import ensure_checkpoint_dir
+from .common import cut
 
 #: Digits of base 32 as conv() writes them and as RFC 4648 does.
 _CONV = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
