@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.llm import bpe, mixing, neardup, quality, suffixes
-from bandloom.llm.common import ensure_checkpoint_dir
 from bandloom.llm.queries import vocabulary
+from bandloom.storage import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
