@@ -8,24 +8,25 @@ pairs are formed where they are compared and each document is sent `side`
 times. Two sets of similarity s share a key unless no A_i or no B_j agrees: with
 side 12 and depth 3 a pair at 0.8 is missed with probability 0.0004.
 
-Documents with equal sets are one class from the start. Then two rounds find
-the links between classes:
-
-1. every member of a key's group is compared with the group's smallest id;
-2. with the components so far, members of one group in different components
-   are compared, where their signatures leave similarity `threshold` possible
-   (five standard deviations).
-
-So a group of copies costs a star, not all its pairs, and no pair of a group is
-left out unless its ends are joined already.
+Documents with equal sets are one class from the start. Links between classes
+are found in two steps.
+
+1. Families. In a group (one key) two members are near if set sizes and
+   signatures leave a link possible (five standard deviations below the
+   threshold). Each task gives only as many pairs as it takes to connect the
+   documents that chains of near members connect, never all pairs of a group;
+   the connected components of these pairs are the families. Whatever shares a
+   key and could be linked is in one family.
+2. Links. The members of a family are compared on their full sets of shingle
+   hashes (64 bits each), taken from the whole texts, unless links found before
+   connect them already. A family of any size is cut into blocks, of which every
+   two meet in a task of their own.
+
+Components are found by alternating stars on pairs, in the cluster.
 
 An entry A_i that more than max(5000, a hundred-thousandth of all) rows share is
-hot (at most 100,000 of them). Its rows are dealt by (A_i, B_j) instead; in round
-1 every task first makes stars of its own rows and sends only their centres, and
-in round 2 the keys whose rows are in several components are cut into blocks of
-about 2000 rows, of which every two meet in a task of their own. Every link is confirmed on the
-full sets of shingle hashes (64 bits each), taken from the whole texts.
-Components are found by alternating stars on the links, in the cluster.
+hot (at most 100,000 of them). Its rows are dealt by (A_i, B_j) and in blocks of
+about 2000, of which every two meet in a task of their own.
 
 Cases: null text and text without words have an empty set, linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; rows that
@@ -151,6 +152,83 @@ def hot_entries(chosen: DataFrame, scheme: Scheme, rows: int, least: int = 5000)
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
 
 
+@dataclass
+class Rows:
+    """Documents of a task: id, set size, signature."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    sig: np.ndarray
+
+    def possible(self, scheme: Scheme, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether size and signature leave a link possible, pair by pair (p and q broadcast)."""
+        small, large = np.minimum(self.n[p], self.n[q]), np.maximum(self.n[p], self.n[q])
+        return (100 * small >= scheme.percent * large) & ((self.sig[p] == self.sig[q]).sum(-1) >= scheme.least_equal())
+
+
+class Forest:
+    """Union-find; keeps the pairs that joined two trees."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.kept: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.kept.append((min(a, b), max(a, b)))
+
+    def table(self) -> pa.Table:
+        a, b = zip(*self.kept, strict=True) if self.kept else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def joined_groups(scheme: Scheme, rows: Rows, order: np.ndarray, lead: np.ndarray, forest: Forest, step: int = 1 << 15) -> None:
+    """Join the members of each group (positions in order, of the group's first) that chains of possible links connect."""
+    far = np.flatnonzero(lead != np.arange(len(lead)))
+    near = np.zeros(len(far), bool)
+    for z in range(0, len(far), step):
+        part = far[z : z + step]
+        near[z : z + step] = rows.possible(scheme, order[lead[part]], order[part])
+    for a, b in np.unique(np.stack([rows.ids[order[lead[far[near]]]], rows.ids[order[far[near]]]]), axis=1).T.tolist():
+        forest.join(a, b)
+    # who is far from the first of the group may be near to another member
+    failed = far[~near]
+    begin = np.flatnonzero(lead == np.arange(len(lead)))
+    end = np.append(begin[1:], len(lead))
+    own_failed = np.zeros(len(lead), bool)
+    own_failed[failed] = True
+    for g in np.unique(np.searchsorted(begin, lead[failed])).tolist():
+        s, e = begin[g], end[g]
+        if e - s < 3:
+            continue
+        member, bad = order[s:e], own_failed[s:e]
+        left, front = member[bad], member[1:][~bad[1:]]
+        while len(left):
+            if not len(front):
+                front, left = left[:1], left[1:]
+            found = np.full(len(left), -1)
+            for z in range(0, len(front), 256):
+                block = front[z : z + 256]
+                open_ = np.flatnonzero(found < 0)
+                for y in range(0, len(open_), 256):
+                    some = open_[y : y + 256]
+                    ok = rows.possible(scheme, block[:, None], left[some][None, :])
+                    hit = ok.any(0)
+                    found[some[hit]] = block[ok.argmax(0)[hit]]
+            hit = found >= 0
+            for a, b in zip(rows.ids[found[hit]].tolist(), rows.ids[left[hit]].tolist(), strict=True):
+                forest.join(a, b)
+            front, left = left[hit], left[~hit]
+
+
 def _hot_keys(scheme: Scheme, a: np.ndarray, b: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and key of each (A_i, B_j) whose A_i is hot."""
     row, i = np.nonzero(np.isin(a, hot))
@@ -159,92 +237,37 @@ def _hot_keys(scheme: Scheme, a: np.ndarray, b: np.ndarray, hot: np.ndarray) ->
     return np.repeat(row, scheme.side), key.reshape(-1)
 
 
-def hot_stars(scheme: Scheme, hot: np.ndarray):
-    """Round 1 for hot entries, before the shuffle: (key, id) of each batch's smallest id by key, and stars (hub, id) with key null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.table(batch)
-            a, b = _columns(table, ("a", "b"), ("<u8", "<u4"))
-            row, key = _hot_keys(scheme, a, b, hot)
-            ids = table["id"].to_numpy()[row]
-            order = np.lexsort((ids, key))
-            key, ids = key[order], ids[order]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            hub = ids[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else ids
-            pair = np.unique(np.stack([hub[hub != ids], ids[hub != ids]]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
-            none = pa.nulls(pair.shape[1], pa.int64())
-            keys = pa.concat_arrays([pa.array(key[new].view(np.int64)), none])
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([ids[new], pair[0]])), pa.array(np.concatenate([np.full(int(new.sum()), NO_ID), pair[1]]))], ["key", "a", "b"])
-
-    return run
-
-
-def hot_first(chosen: DataFrame, scheme: Scheme, hot: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of round 1 for hot entries: stars within tasks, and a star over their centres by key."""
-    rows = cut(chosen.select("id", "a", "b").mapInArrow(hot_stars(scheme, hot), "key long, a long, b long"))
-    centres = rows.where("key is not null").select("key", F.col("a").alias("id"))
-    low = centres.groupBy("key").agg(F.min("id").alias("a"))
-    over = centres.join(low, "key").where("id <> a").select("a", F.col("id").alias("b"))
-    return rows.where("key is null").select("a", "b").unionByName(over).distinct()
-
-
-def hot_second(rows: DataFrame, scheme: Scheme, hot: np.ndarray, block: int = 2000) -> DataFrame:
-    """Pairs (a, b) of round 2 for hot entries (rows: id, a, b, label, n, sig)."""
+def hot_pairs(chosen: DataFrame, scheme: Scheme, hot: np.ndarray, block: int = 2000) -> DataFrame:
+    """Pairs (a, b) that connect the documents of hot entries, by pair key and by blocks of about `block` rows."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.table(batch)
             row, key = _hot_keys(scheme, *_columns(table, ("a", "b"), ("<u8", "<u4")), hot)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[table[c].combine_chunks().take(take) for c in ("id", "label", "n", "sig")]], ["key", "id", "label", "n", "sig"])
-
-    def met(key: tuple, table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        ids, label, n = (table[c].to_numpy() for c in ("id", "label", "n"))
-        sig = _columns(table, ("sig",), ("u1",))[0]
-        lo, hi = key[1].as_py(), key[2].as_py()
-        p, q = (np.flatnonzero(side == x) for x in (lo, hi))
-        return _distinct(*_allowed(scheme, ids, label, n, sig, p, q, lo == hi))
-
-    entries = rows.mapInArrow(keys, "key long, id long, label long, n long, sig binary")
-    # keys whose rows are in one component need no more; the sums are small before they are shuffled
-    mixed = entries.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    parts = entries.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[table[c].combine_chunks().take(pa.array(row)) for c in ("id", "n", "sig")]], ["key", "id", "n", "sig"])
+
+    def met(table: pa.Table) -> pa.Table:
+        rows = Rows(table["id"].to_numpy(), table["n"].to_numpy(), _columns(table, ("sig",), ("u1",))[0])
+        forest = Forest()
+        if len(rows.ids) > 1:
+            joined_groups(scheme, rows, np.argsort(rows.ids, kind="stable"), np.zeros(len(rows.ids), np.int64), forest)
+        return forest.table()
+
+    entries = chosen.select("id", "a", "b", "n", "sig").mapInArrow(keys, "key long, id long, n long, sig binary")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    parts = entries.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
-    return pairs.select("key", "lo", "hi", "side", "id", "label", "n", "sig").groupBy("key", "lo", "hi").applyInArrow(met, PAIR)
-
-
-def _allowed(scheme: Scheme, ids: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, own: np.ndarray, other: np.ndarray, same: bool, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two sets (the same: each pair once) in different components that size and signature leave possible."""
-    least = scheme.least_equal()
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x in range(0, len(own), block):
-        for y in range(x if same else 0, len(other), block):
-            p, q = own[x : x + block], other[y : y + block]
-            ok = label[p][:, None] != label[q][None, :]
-            if same and x == y:
-                ok &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
-            ok &= 100 * np.minimum(n[p][:, None], n[q][None, :]) >= scheme.percent * np.maximum(n[p][:, None], n[q][None, :])
-            i, j = np.nonzero(ok)
-            for z in range(0, len(i), 1 << 16):
-                u, v = p[i[z : z + (1 << 16)]], q[j[z : z + (1 << 16)]]
-                good = (sig[u] == sig[v]).sum(1) >= least
-                out_a.append(ids[u[good]])
-                out_b.append(ids[v[good]])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def deal(scheme: Scheme, buckets: int, second: bool, hot: np.ndarray):
-    """Rows to (bucket, blob): entries A_i that are not hot, id, B (and in the second round component, set size and signature)."""
+    return pairs.groupBy("key", "lo", "hi").applyInArrow(met, PAIR)
+
+
+def deal(scheme: Scheme, buckets: int, hot: np.ndarray):
+    """Rows to (bucket, blob): entries A_i that are not hot, with id, set size, B and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.table(batch)
-            a, b = _columns(table, ("a", "b"), ("<u8", "<u4"))
-            ids = table["id"].to_numpy()
+            a, b, sig = _columns(table, ("a", "b", "sig"), ("<u8", "<u4", "u1"))
+            ids, n = table["id"].to_numpy(), table["n"].to_numpy()
             row, i = np.repeat(np.arange(len(ids)), scheme.side), np.tile(np.arange(scheme.side), len(ids))
             key = a[row, i]
             if len(hot):
@@ -253,21 +276,18 @@ def deal(scheme: Scheme, buckets: int, second: bool, hot: np.ndarray):
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            rest = [ids, b]
-            if second:
-                rest += [table["label"].to_numpy(), table["n"].to_numpy(), _columns(table, ("sig",), ("u1",))[0]]
             out = [], []
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 own = order[s:e]
                 out[0].append(int(bucket[own[0]]))
-                out[1].append(b"".join([np.int64(len(own)).tobytes(), key[own].tobytes(), *[np.ascontiguousarray(x[row[own]]).tobytes() for x in rest]]))
+                out[1].append(b"".join([np.int64(len(own)).tobytes(), key[own].tobytes(), *[np.ascontiguousarray(x[row[own]]).tobytes() for x in (ids, n, b, sig)]]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _entries(scheme: Scheme, blobs: list[bytes], second: bool) -> list[np.ndarray]:
-    shapes = [("<u8", 1), ("<i8", 1), ("<u4", scheme.side)] + ([("<i8", 1), ("<i8", 1), ("u1", scheme.minima)] if second else [])
+def _entries(scheme: Scheme, blobs: list[bytes]) -> list[np.ndarray]:
+    shapes = [("<u8", 1), ("<i8", 1), ("<i8", 1), ("<u4", scheme.side), ("u1", scheme.minima)]
     parts: list[list] = [[] for _ in shapes]
     for blob in blobs:
         n, at = int(np.frombuffer(blob, "<i8", 1)[0]), 8
@@ -294,50 +314,15 @@ def _groups(key: np.ndarray, b: np.ndarray, ids: np.ndarray) -> Iterator[tuple[n
         yield use[order], np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
-
-
-def stars(scheme: Scheme):
-    """Round 1: each member of a group with the smallest id of the group."""
-
-    def run(table: pa.Table) -> pa.Table:
-        key, ids, b = _entries(scheme, table["blob"].to_pylist(), False)
-        out = [np.zeros((2, 0), np.int64)]
-        for order, lead in _groups(key, b, ids):
-            hub, own = ids[order[lead]], ids[order]
-            far = hub != own
-            pair = np.unique(np.stack([hub[far], own[far]]), axis=1) if far.any() else out[0]
-            out.append(pair)
-        a, b_ = np.concatenate(out, axis=1)
-        return _distinct(a, b_)
-
-    return run
-
-
-def across(scheme: Scheme):
-    """Round 2: members of a group that are in different components and whose signatures allow a link."""
+def bucket_pairs(scheme: Scheme):
+    """Pairs (a, b) that connect the documents of a bucket which chains of possible links within groups connect: fewer than documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, ids, b, label, n, sig = _entries(scheme, table["blob"].to_pylist(), True)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        key, ids, n, b, sig = _entries(scheme, table["blob"].to_pylist())
+        rows, forest = Rows(ids, n, sig), Forest()
         for order, lead in _groups(key, b, ids):
-            begin = np.flatnonzero(lead == np.arange(len(lead)))
-            end = np.append(begin[1:], len(lead))
-            # the group's smallest id was compared with all in round 1
-            change = np.flatnonzero(label[order][1:] != label[order][:-1]) + 1
-            mixed = np.unique(lead[change[lead[change] < change]])
-            at = np.searchsorted(begin, mixed)
-            for s, e in zip(mixed.tolist(), end[at].tolist(), strict=True):
-                own = order[s + 1 : e]
-                x, y = _allowed(scheme, ids, label, n, sig, own, own, True)
-                out_a.append(x)
-                out_b.append(y)
-        return _distinct(np.concatenate(out_a), np.concatenate(out_b))
+            joined_groups(scheme, rows, order, lead, forest)
+        return forest.table()
 
     return run
 
@@ -345,52 +330,59 @@ def across(scheme: Scheme):
 PAIR = "a long, b long"
 
 
-def plausible(pairs: DataFrame, sigs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs whose set sizes and signatures allow a link."""
-    least = scheme.least_equal()
-    one = sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    two = sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= scheme.percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+def confirmed(members: DataFrame, rows: DataFrame, scheme: Scheme, block: int = 512) -> DataFrame:
+    """Links (a, b) within families (members: id, label), on the full shingle sets of the whole texts (rows: id, text).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                s, t = _columns(pa.table(batch), ("sa", "sb"), ("u1", "u1"))
-                keep = pa.array((s == t).sum(1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return both.mapInArrow(run, PAIR).distinct()
-
-
-def confirmed(pairs: DataFrame, rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full shingle sets of the whole texts (rows: id, text)."""
+    A family is cut into blocks of about `block` documents, of which every two
+    meet in a task. There, documents that links connect already are compared no
+    more, and only the links that connect are returned; all others are compared.
+    """
     code = byte_codes(fold=True)
-    second = rows.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(pairs.hint("shuffle_hash"), "b")
-    both = second.join(rows.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
-    def sets(col: pa.Array) -> Iterator[np.ndarray]:
-        data, off = utf8(col)
+    def met(key: tuple, table: pa.Table) -> pa.Table:
+        side, ids = table["side"].to_numpy(), table["id"].to_numpy()
+        same = key[1].as_py() == key[2].as_py()
+        data, off = utf8(table["text"].combine_chunks())
+        sets: list[np.ndarray] = []
         for s, e in steps(off):
             h, n = shingle_sets(data[off[s] : off[e]], off[s : e + 1] - off[s], scheme.words, code)
-            yield from np.split(h, np.cumsum(n)[:-1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            last: tuple[int, int, np.ndarray] | None = None
-            ta, ids = batch.column(2), batch.column(0).to_pylist()
-            size = np.diff(utf8(ta)[1])
-            for i, y in enumerate(sets(batch.column(3))):
-                # rows come in order of a: a hub's set is made once
-                if last is None or last[:2] != (ids[i], size[i]) or not ta[i].as_py() == ta[i - 1].as_py():
-                    last = (ids[i], size[i], next(sets(ta.slice(i, 1))))
-                x = last[2]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= scheme.percent * (len(x) + len(y) - common) and len(x) > 0)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    return both.mapInArrow(run, PAIR).distinct()
+            sets += np.split(h, np.cumsum(n)[:-1])
+        size = np.array([len(x) for x in sets])
+        # shingles that stand in several sets, as bits; for very long texts the sets themselves are intersected
+        _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(n > 1) - 1
+        width = -(-int((n > 1).sum()) // 8)
+        bits = np.zeros((len(sets), width), np.uint8) if len(sets) * width <= 1 << 25 else None
+        if bits is not None:
+            row = np.repeat(np.arange(len(sets)), size)
+            keep = n[at] > 1
+            row, col = row[keep], place[at[keep]]
+            np.bitwise_or.at(bits, (row, col >> 3), (1 << (col & 7)).astype(np.uint8))
+        forest = Forest()
+        order = np.argsort(ids, kind="stable")
+        for i, p in enumerate(order.tolist()):
+            other = order[i + 1 :]
+            if not same:
+                other = other[side[other] != side[p]]
+            other = other[100 * np.minimum(size[other], size[p]) >= scheme.percent * np.maximum(size[other], size[p])]
+            own = forest.root(int(ids[p]))
+            other = np.array([q for q in other.tolist() if forest.root(int(ids[q])) != own], np.int64)
+            if not len(other):
+                continue
+            if bits is not None:
+                common = np.bitwise_count(bits[other] & bits[p]).sum(1, dtype=np.int64)
+            else:
+                common = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for q in other.tolist()])
+            linked = (100 * common >= scheme.percent * (size[other] + size[p] - common)) & (size[other] > 0)
+            for q in other[linked].tolist():
+                forest.join(int(ids[p]), int(ids[q]))
+        return forest.table()
+
+    blocks = members.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = members.join(blocks, "label").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = rows.join(placed.hint("shuffle_hash"), "id")
+    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    return pairs.select("label", "lo", "hi", "side", "id", "text").groupBy("label", "lo", "hi").applyInArrow(met, PAIR).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -424,25 +416,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     total = chosen.count()
     buckets = max(16, total * scheme.side // entries_each)
     hot = hot_entries(chosen, scheme, total, hot_from)
-    blob, group = "bucket int, blob binary", lambda f, d: d.groupBy("bucket").applyInArrow(f, PAIR)
-    first = group(stars(scheme), chosen.select("id", "a", "b").mapInArrow(deal(scheme, buckets, False, hot), blob))
-    if len(hot):
-        first = first.unionByName(hot_first(chosen, scheme, hot))
-    first = cut(first.distinct())
-    links = cut(confirmed(cut(plausible(first, chosen, scheme)), rows, scheme))
-    label = components(links)
-    # only documents that shared a key with another can have further links
-    met = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct()
-    again = chosen.join(met, "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    again = again.select("id", "a", "b", "label", "n", "sig")
-    more = group(across(scheme), again.mapInArrow(deal(scheme, buckets, True, hot), blob))
+    near = chosen.select("id", "n", "a", "b", "sig").mapInArrow(deal(scheme, buckets, hot), "bucket int, blob binary").groupBy("bucket").applyInArrow(bucket_pairs(scheme), PAIR)
     if len(hot):
-        more = more.unionByName(hot_second(cut(again), scheme, hot))
-    more = cut(more.distinct())
-    if not more.isEmpty():
-        found = cut(confirmed(more, rows, scheme))
-        if not found.isEmpty():
-            label = components(links.union(found))
+        near = near.unionByName(hot_pairs(chosen, scheme, hot))
+    label = components(confirmed(components(near), rows, scheme))
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("h", F.coalesce("label", "rep").alias("label"))
     out = sigs.select("id", "n", "h").join(named, "h", "left").withColumn("label", F.coalesce("label", "id"))
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
