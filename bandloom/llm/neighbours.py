@@ -10,6 +10,9 @@ the mean share of true neighbours in the visited leaves reaches `recall`. With
 fewer rows than leaves would pay for, the tree has one leaf and the search is
 exact.
 
+The sample also gives each query a distance within which k candidates lie, and
+no leaf returns rows beyond it.
+
 Leaves of any size are split by a hash of the id into parts of bounded size, and
 queries of a leaf likewise, so a hot leaf is spread over tasks. Distances are
 computed in double precision on the original vectors.
@@ -132,52 +135,65 @@ class Tree:
         self.visits = int(min(self.leaves, np.searchsorted(share, recall) + 1))
 
 
-def fit_tree(rows: DataFrame, *, k: int, sample: int, recall: float, fan: int = 8, probes: int = 256, seed: int = 5) -> tuple[int, Tree | None]:
-    """Dimension and calibrated tree from at most about `sample` rows (vec_id, vec), chosen by a hash of the id."""
+def fit_tree(rows: DataFrame, *, k: int, sample: int, recall: float, fan: int = 8, probes: int = 256, seed: int = 5) -> tuple[int, Tree | None, np.ndarray, np.ndarray]:
+    """Dimension, calibrated tree, ids and vectors of at most about `sample` rows (vec_id, vec), chosen by a hash of the id."""
+    nothing = (0, None, np.zeros(0, np.int64), np.zeros((0, 0)))
     total = rows.count()
     if not total:
-        return 0, None
+        return nothing
     unit = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20))
-    some = rows.where(unit < max(1, min(1 << 20, int((1 << 20) * sample / total)))).select("vec").limit(2 * sample).toArrow()["vec"].combine_chunks()
-    some = some.chunk(0) if isinstance(some, pa.ChunkedArray) else some
-    if not len(some):
-        return 0, None
-    values, off = lists(some)
+    got = rows.where(unit < max(1, min(1 << 20, int((1 << 20) * sample / total)))).select("vec_id", "vec").limit(2 * sample).toArrow()
+    if not got.num_rows:
+        return nothing
+    values, off = lists(got["vec"].combine_chunks())
     dims, n = np.unique(np.diff(off), return_counts=True)
     dim = int(dims[n.argmax()])
-    x = values[off[:-1][np.diff(off) == dim][:, None] + np.arange(dim)]
-    x = x[np.lexsort(x.T[::-1])]  # the same tree whatever the order of the rows
+    own = np.diff(off) == dim
+    x, ids = values[off[:-1][own][:, None] + np.arange(dim)], got["vec_id"].to_numpy()[own]
+    order = np.lexsort((ids, *x.T[::-1]))  # the same tree whatever the order of the rows
+    x, ids = x[order], ids[order]
     # about 512 rows in a leaf; never more leaves than the sample can place
     leaf = max(16, len(x) * 512 // max(total, 1))
     tree = Tree.fit(x, leaf, fan, seed)
     tree.calibrate(x, k, recall, probes, seed)
-    return dim, tree
+    return dim, tree, ids, x
+
+
+def within(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query a squared distance within which k sample rows lie (they are candidates, so k of all rows do), with room for rounding."""
+    out = np.full(len(q), np.inf)
+    if len(x) >= 2 * k:
+        for a in range(0, len(q), 256):
+            d = distances(q[a : a + 256], x)
+            d[qid[a : a + 256][:, None] == ids[None, :]] = np.inf
+            out[a : a + 256] = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-9 * (1 + (q[a : a + 256] ** 2).sum(1) + (x * x).sum(1).max())
+    return out
 
 
 def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, sample: int = 8192, recall: float = 0.98, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance): the k nearest rows found of each row whose id is divisible by `every`."""
     spark = df.sparkSession
     rows = clean(df, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
-    dim, tree = fit_tree(rows, k=k, sample=sample, recall=recall, seed=seed)
-    shared = spark.sparkContext.broadcast((dim, tree))  # bounded by the sample
+    shared = spark.sparkContext.broadcast(fit_tree(rows, k=k, sample=sample, recall=recall, seed=seed))  # bounded by the sample
 
     def leaf_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim, tree = shared.value
+        dim, tree, _, _ = shared.value
         for batch in batches:
             for ids, mat in by_dimension(batch):
                 leaf = tree.assign(mat) if mat.shape[1] == dim else np.full(len(ids), -mat.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(mat), pa.list_(pa.float64())), pa.array(leaf)], ["vec_id", "vec", "leaf"])
 
     def visits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim, tree = shared.value
+        dim, tree, some, x = shared.value
         for batch in batches:
             for ids, mat in by_dimension(batch):
+                most = within(mat, ids, x, some, k) if mat.shape[1] == dim else np.full(len(ids), np.inf)
                 walk = [tree.visit(v, tree.visits) for v in mat] if mat.shape[1] == dim else [[-mat.shape[1]]] * len(ids)
                 at = np.repeat(np.arange(len(ids)), [len(w) for w in walk])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(list(mat[at]), pa.list_(pa.float64())), pa.array([x for w in walk for x in w], pa.int64())], ["vec_id", "vec", "leaf"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(list(mat[at]), pa.list_(pa.float64())), pa.array([leaf for w in walk for leaf in w], pa.int64()), pa.array(most[at])], ["vec_id", "vec", "leaf", "most"])
 
     index = rows.mapInArrow(leaf_of, "vec_id long, vec array<double>, leaf long")
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(visits_of, "vec_id long, vec array<double>, leaf long")
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(visits_of, "vec_id long, vec array<double>, leaf long, most double")
     # parts of each leaf: one row per leaf, at most as many as the sample allows (and one per odd dimension)
     parts = index.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("c_parts")).join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("q_parts")), "leaf")
     part = {r["leaf"]: (r["c_parts"], r["q_parts"]) for r in parts.collect()}
@@ -187,19 +203,19 @@ def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding"
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["leaf", "cp", "qp"]
     left = index.join(split, "leaf").withColumn("cp", own("c_parts")).withColumn("qp", each("q_parts")).select("vec_id", "vec", *keys)
-    right = asked.join(split, "leaf").withColumn("qp", own("q_parts")).withColumn("cp", each("c_parts")).select("vec_id", "vec", *keys)
+    right = asked.join(split, "leaf").withColumn("qp", own("q_parts")).withColumn("cp", each("c_parts")).select("vec_id", "vec", "most", *keys)
 
     def search(c_rows: pa.Table, q_rows: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if c_rows.num_rows and q_rows.num_rows:
             cid, qid = c_rows["vec_id"].to_numpy(), q_rows["vec_id"].to_numpy()
             mat = lambda t: np.array(t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(t.num_rows, -1)
-            c, q = mat(c_rows), mat(q_rows)
+            c, q, most = mat(c_rows), mat(q_rows), q_rows["most"].to_numpy()
             for a in range(0, len(qid), 256):
                 d = distances(q[a : a + 256], c)
                 d[qid[a : a + 256][:, None] == cid[None, :]] = np.inf
                 near = min(k, len(cid)) - 1
-                kth = np.partition(d, near, axis=1)[:, near]
+                kth = np.minimum(np.partition(d, near, axis=1)[:, near], most[a : a + 256])
                 # what rounding could bring among the k nearest is measured again, difference by difference
                 slack = 1e-9 * (1 + (q[a : a + 256] ** 2).sum(1) + (c * c).sum(1).max())
                 qi, ci = np.nonzero((d <= (kth + slack)[:, None]) & (d < np.inf))
