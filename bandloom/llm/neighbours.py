@@ -10,8 +10,9 @@ the mean share of true neighbours in the visited leaves reaches `recall`. With
 fewer rows than leaves would pay for, the tree has one leaf and the search is
 exact.
 
-The sample also gives each query a distance within which k candidates lie, and
-no leaf returns rows beyond it.
+A query goes on beyond that number while its leaves hold fewer than k sample
+rows. The sample rows in its leaves give each query a distance within which k
+rows lie that it searches, and no leaf returns rows beyond it.
 
 Leaves of any size are split by a hash of the id into parts of bounded size, and
 queries of a leaf likewise, so a hot leaf is spread over tasks. Distances are
@@ -104,13 +105,14 @@ class Tree:
                     stack.append((child, part))
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves, best bin first."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves, best bin first, and further ones until together they hold `least` rows (held: rows of each leaf)."""
+        heap, out, have = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or have < least):
             _, node = heapq.heappop(heap)
             if node < 0:
                 out.append(-node - 1)
+                have += int(held[-node - 1]) if held is not None else least
                 continue
             d = ((self.centres[node] - q) ** 2).sum(1)
             for i, child in enumerate(self.children[node]):
@@ -159,13 +161,16 @@ def fit_tree(rows: DataFrame, *, k: int, sample: int, recall: float, fan: int =
     return dim, tree, ids, x
 
 
-def within(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """For each query a squared distance within which k sample rows lie (they are candidates, so k of all rows do), with room for rounding."""
+def within(q: np.ndarray, qid: np.ndarray, walk: list[list[int]], x: np.ndarray, ids: np.ndarray, leaf: np.ndarray, leaves: int, k: int) -> np.ndarray:
+    """For each query a squared distance within which k sample rows lie in the leaves it visits (so k of all rows searched do), with room for rounding."""
     out = np.full(len(q), np.inf)
-    if len(x) >= 2 * k:
+    if len(x) >= k:
         for a in range(0, len(q), 256):
+            seen = np.zeros((len(q[a : a + 256]), leaves), bool)
+            for i, w in enumerate(walk[a : a + 256]):
+                seen[i, w] = True
             d = distances(q[a : a + 256], x)
-            d[qid[a : a + 256][:, None] == ids[None, :]] = np.inf
+            d[~seen[:, leaf] | (qid[a : a + 256][:, None] == ids[None, :])] = np.inf
             out[a : a + 256] = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-9 * (1 + (q[a : a + 256] ** 2).sum(1) + (x * x).sum(1).max())
     return out
 
@@ -185,10 +190,17 @@ def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding"
 
     def visits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim, tree, some, x = shared.value
+        own = tree.assign(x) if tree else np.zeros(0, np.int64)
+        held, some_ids = np.bincount(own, minlength=tree.leaves if tree else 0), np.sort(some)
         for batch in batches:
             for ids, mat in by_dimension(batch):
-                most = within(mat, ids, x, some, k) if mat.shape[1] == dim else np.full(len(ids), np.inf)
-                walk = [tree.visit(v, tree.visits) for v in mat] if mat.shape[1] == dim else [[-mat.shape[1]]] * len(ids)
+                if mat.shape[1] == dim:
+                    # k sample rows beside those that have the query's id
+                    least = k + np.searchsorted(some_ids, ids, "right") - np.searchsorted(some_ids, ids, "left")
+                    walk = [tree.visit(v, tree.visits, held, n) for v, n in zip(mat, least, strict=True)]
+                    most = within(mat, ids, walk, x, some, own, tree.leaves, k)
+                else:
+                    walk, most = [[-mat.shape[1]]] * len(ids), np.full(len(ids), np.inf)
                 at = np.repeat(np.arange(len(ids)), [len(w) for w in walk])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(list(mat[at]), pa.list_(pa.float64())), pa.array([leaf for w in walk for leaf in w], pa.int64()), pa.array(most[at])], ["vec_id", "vec", "leaf", "most"])
 

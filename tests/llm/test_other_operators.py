@@ -74,6 +74,17 @@ def test_nearest(spark, n, dim):
     assert found >= 0.9 * total
 
 
+@pytest.mark.parametrize(("recall", "leaf_rows"), [(0.98, None), (0.0, 1)])
+def test_nearest_fills_every_list(spark, recall, leaf_rows):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(8000, 12)).astype(np.float32))]
+    if leaf_rows:  # far single rows have leaves of their own, which hold fewer than k rows
+        rows = [(i, (np.array(v) + (1e4 * (1 + i) if i % 40 == 0 else 0)).tolist()) for i, v in rows]
+    got = neighbours.nearest(spark.createDataFrame(rows, VECTORS).repartition(3), every=40, recall=recall)
+    counts = {r["query_id"]: r["count"] for r in got.groupBy("query_id").count().collect()}
+    assert counts == {i: 10 for i in range(0, 8000, 40)}
+
+
 def test_nearest_of_nothing(spark):
     assert neighbours.nearest(spark.createDataFrame([], VECTORS)).count() == 0
 
