@@ -27,9 +27,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class (five words, similarity 0.8)."""
-    stay = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_bl_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_bl_stay")), "left_semi").select(*COLUMNS)
+    """One row of each near-duplicate class (five words, similarity 0.8): the one with the smallest id, null before all.
+
+    A row is known by a hash of all its columns (64 bits), so that repeated rows
+    are one, and rows that share an id or have none are documents of their own.
+    """
+    key = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    rows = docs.select(*COLUMNS, key.alias("_bl_row"))
+    classes = neardup.near_duplicates(rows, id_col="_bl_row").select(F.col("doc_id").alias("_bl_row"), "component_id").distinct()
+    first = F.min(F.struct("doc_id", "_bl_row"))
+    stay = rows.select("_bl_row", "doc_id").join(classes, "_bl_row").groupBy("component_id").agg(first.alias("first")).select("first._bl_row")
+    return rows.dropDuplicates(["_bl_row"]).join(stay, "_bl_row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,6 +165,24 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frames[4].count()
 
 
+def test_near_dedup_keeps_one_row_of_a_class(spark):
+    import corpus_pipeline
+    from tests.llm.test_text_operators import DOCS
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    row = lambda i, t: (i, t, "en", "s1", len(t or ""))
+    docs = [row(5, text(0))] * 3 + [row(7, text(1))]  # repeated rows
+    docs += [row(None, text(2))] * 2 + [row(None, text(3)), row(3, text(3))]  # null ids, repeated, alone and copied
+    docs += [row(9, text(4)), row(9, text(5)), row(9, text(5)), row(8, text(5))]  # one id, two documents
+    docs += [row(11, text(6)), row(10, text(6) + " more")] + [row(12, "")] * 2 + [row(None, None), row(13, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, DOCS).repartition(5), "")
+    want = [(5, text(0)), (7, text(1)), (None, text(2)), (None, text(3)), (9, text(4)), (8, text(5)), (10, text(6) + " more"), (12, ""), (None, None), (13, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+    # the next stage takes no text from a document whose row stood twice
+    out = corpus_pipeline.substring_dedup(spark, got, "")
+    assert {r["text"] for r in out.where("doc_id in (5, 7)").collect()} == {text(0), text(1)}
+
+
 def test_queries_are_registered():
     from bandloom.llm.queries import ORACLE, QUERIES
 
