@@ -11,9 +11,13 @@ cross-fitted scores of the labelled rows (Platt scaling), the calibrated log-odd
 are added (less the prior, which both hold), the cut that parts the classes best
 is found on the same scores, and all documents are scored.
 
-Models are fitted on the driver from bounded samples (max_labelled of each class
-and max_unlabelled rows, chosen by a hash of the id); all documents are scored,
-whole, by the executors.
+Labelled rows are a bounded sample on the driver (max_labelled of each class,
+chosen by a hash of the id). Unlabelled documents stay on the executors, and all
+of them take part: each round scores every one, words are chosen on the counts of
+all pseudo-labelled documents, and models that start from a fit on the labelled
+rows follow gradients summed up over all of them. Pseudo-labelled documents of a
+class weigh one each, but together no more than the labelled ones of the class.
+All documents are scored, whole, by the executors.
 
 Cases: null text counts as empty; null or unknown language and source are values
 of their own; a null or missing length is taken as 0; repeated rows get equal
@@ -25,6 +29,8 @@ table; columns other than those named are not read.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, prefix_hash, span_hash, steps, utf8, word_spans
+from .common import byte_codes, cut, prefix_hash, span_hash, steps, utf8, word_spans
 
 BITS = 18
 #: Shape measures of a text.
@@ -105,8 +111,6 @@ def text_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def meta_features(lang: list, source: list, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two measures of the length, and hashed language, source and their pair."""
-    import zlib
-
     hashed = lambda t: zlib.crc32(t.encode()) % (1 << META_BITS)
     known: dict[tuple, list[int]] = {}
     ids = np.array([known.setdefault((a, b), sorted({hashed(f"l{a}"), hashed(f"s{b}"), hashed(f"p{a}|{b}")})) for a, b in zip(lang, source, strict=True)], dtype=object)
@@ -116,6 +120,14 @@ def meta_features(lang: list, source: list, length: np.ndarray) -> tuple[np.ndar
     return np.stack([size, size * size], axis=1).reshape(len(n), 2), flat, np.concatenate([[0], np.cumsum(n)])
 
 
+def telling(one: np.ndarray, zero: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Members (with their numbers in the two classes) whose shares in the classes differ beyond chance."""
+    df = one + zero
+    p = df / (n1 + n0)
+    z = np.abs(one / n1 - zero / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    return (z > 4) & (df > 2)
+
+
 @dataclass
 class Linear:
     """A logistic model over measures and hashed members, fitted by Adam on balanced classes."""
@@ -130,20 +142,17 @@ class Linear:
         return ((x - self.mean) / self.spread) @ self.dense + _ragged_sum(self.sparse[member], first) + self.bias
 
     @classmethod
-    def fit(cls, x: np.ndarray, member: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, *, epochs: int = 120, rate: float = 0.05, decay: float = 2e-4) -> Linear:
+    def fit(cls, x: np.ndarray, member: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, chosen: np.ndarray | None = None, *, epochs: int = 120, rate: float = 0.05, decay: float = 2e-4) -> Linear:
+        """chosen: the members to use (a truth value for each); by default those that tell the classes of these rows apart."""
         m = cls(np.zeros(x.shape[1]), np.zeros(size), 0.0, x.mean(0) if len(x) else np.zeros(x.shape[1]), x.std(0) + 1e-6 if len(x) else np.ones(x.shape[1]))
         if not 0 < y.sum() < len(y):
             return m
         z = (x - m.mean) / m.spread
         used, member = np.unique(member, return_inverse=True)
         row = np.repeat(np.arange(len(y)), np.diff(first))
-        # only members whose shares in the two classes differ beyond chance are used
-        df = np.bincount(member, minlength=len(used))
         one_ = np.bincount(member, y[row], minlength=len(used))
-        n1 = y.sum()
-        p1, p0, p = one_ / n1, (df - one_) / (len(y) - n1), df / len(y)
-        z_ = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (len(y) - n1)))
-        value = np.where((z_ > 4) & (df > 2), 1.0, 0.0)
+        zero_ = np.bincount(member, 1 - y[row], minlength=len(used))
+        value = (telling(one_, zero_, y.sum(), len(y) - y.sum()) if chosen is None else chosen[used]).astype(np.float64)
         weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
         theta = np.zeros(z.shape[1] + len(used) + 1)
         one, two = np.zeros_like(theta), np.zeros_like(theta)
@@ -209,54 +218,210 @@ class CoTrained:
         return out
 
 
-def co_train(text: tuple, meta: tuple, labels: list[np.ndarray], *, rounds: int = 2, confident: float = 0.98, seed: int = 3) -> CoTrained:
-    """labels: for each head 0, 1 or -1 (unlabelled) by row."""
+SIZES = (1 << BITS, 1 << META_BITS)
+#: Counts of members are summed up in the cluster in ranges of this many.
+RANGE = 1 << 15
+
+
+def _rows_of(batch: pa.RecordBatch) -> tuple[tuple, tuple]:
+    """Features of the rows (x, w, m, k) of a batch."""
+
+    def part(dense: pa.Array, members: pa.Array, width: int) -> tuple:
+        data, off = utf8(members)
+        return np.frombuffer(utf8(dense)[0].tobytes()).reshape(-1, width), np.frombuffer(data.tobytes(), np.int32).astype(np.int64), off // 4
+
+    return part(batch.column(0), batch.column(1), SHAPES), part(batch.column(2), batch.column(3), 2)
+
+
+@dataclass
+class Teachers:
+    """The models of a round, by head and view, with their calibration; each gives the other view its pseudo-labels."""
+
+    models: list[list[Linear]]
+    marks: list[list[tuple[float, float]]]
+    confident: float
+
+    def sure(self, views: tuple[tuple, tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Head, view that learns, rows and pseudo-labels."""
+        for h, pair in enumerate(self.models):
+            for v, m in enumerate(pair):
+                c = self.marks[h][v]
+                if c[0] > 0:
+                    p = 1 / (1 + np.exp(-np.clip(c[0] * m.score(*views[v]) + c[1], -30, 30)))
+                    rows = np.flatnonzero((p > self.confident) | (p < 1 - self.confident))
+                    yield h, 1 - v, rows, (p[rows] > 0.5).astype(np.int64)
+
+
+def counted(pool: DataFrame, teachers: Teachers) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For each head and view: pseudo-labelled documents of the two classes in the pool, and how many of them hold each member."""
+    shared = pool.sparkSession.sparkContext.broadcast(teachers)  # a fixed size
+    heads = len(teachers.models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            views = _rows_of(batch)
+            for h, v, rows, y in shared.value.sure(views):
+                _, member, first = _take(views[v], rows)
+                own = n.setdefault((h, v), np.zeros((2, SIZES[v] + 1), np.int64))
+                own[:, -1] += np.bincount(y, minlength=2)
+                own[:, :-1] += np.bincount(member + SIZES[v] * np.repeat(y, np.diff(first)), minlength=2 * SIZES[v]).reshape(2, -1)
+        key, blob = [], []
+        for (h, v), own in n.items():
+            for r, a in enumerate(range(0, own.shape[1], RANGE)):
+                key.append((h * 2 + v) * 64 + r)
+                blob.append(zlib.compress(own[:, a : a + RANGE].tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(blob, pa.binary())], ["key", "blob"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(b.as_py()), np.int64) for b in rows["blob"])
+        return pa.table({"key": rows["key"].slice(0, 1), "blob": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    got = {r["key"]: np.frombuffer(zlib.decompress(r["blob"]), np.int64).reshape(2, -1) for r in pool.mapInArrow(run, "key int, blob binary").groupBy("key").applyInArrow(add, "key int, blob binary").collect()}
+    out = {}
+    for h in range(heads):
+        for v in (0, 1):
+            own = [got[key] for key in sorted(got) if key // 64 == h * 2 + v]
+            whole = np.concatenate(own, axis=1) if own else np.zeros((2, SIZES[v] + 1), np.int64)
+            out[h, v] = whole[:, -1], whole[:, :-1]
+    return out
+
+
+def _gradient(z: np.ndarray, member: np.ndarray, first: np.ndarray, y: np.ndarray, theta: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient of each model (rows of theta: measures, members, bias); weight: of the classes 0 and 1 in each model."""
+    out, d, row = np.zeros_like(theta), z.shape[1], np.repeat(np.arange(len(y)), np.diff(first))
+    for i, t in enumerate(theta):
+        s = z @ t[:d] + _ragged_sum((t[d:-1] * mask[i])[member], first) + t[-1]
+        g = weight[i][y] * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y)
+        out[i] = np.concatenate([z.T @ g, np.bincount(member, g[row], minlength=mask.shape[1]) * mask[i], [g.sum()]])
+    return out
+
+
+def fitted(views: tuple[tuple, tuple], labels: list[np.ndarray], subsets: list[list[np.ndarray]], pool: DataFrame | None, teachers: Teachers | None, *, turns: int = 24, rate: float = 0.05, decay: float = 2e-4) -> list[list[list[Linear]]]:
+    """Models of each head, view and subset of labelled rows, fitted on these and on all pseudo-labelled documents of the pool."""
+    seen = counted(pool, teachers) if pool is not None and teachers else {}
+    out: list[list[list[Linear]]] = []
+    plan = {}
+    for h, y in enumerate(labels):
+        out.append([])
+        for v in (0, 1):
+            n, c = seen.get((h, v), (np.zeros(2), None))
+            models, masks, weights = [], [], []
+            for rows in subsets[h]:
+                own, target = _take(views[v], rows), y[rows]
+                have = np.bincount(target, minlength=2)
+                if not n.sum() or not have.all():
+                    models.append(Linear.fit(*own, target, SIZES[v]))
+                    continue
+                # all pseudo-labelled documents of a class together weigh no more than its labelled ones
+                each = np.minimum(1.0, have / np.maximum(n, 1))
+                total = have + each * n
+                row = np.repeat(target, np.diff(own[2]))
+                count = [np.bincount(own[1][row == k], minlength=SIZES[v]) + each[k] * c[k] for k in (0, 1)]
+                masks.append(telling(count[1], count[0], total[1], total[0]))
+                models.append(Linear.fit(*own, target, SIZES[v], masks[-1]))
+                weights.append((0.5 / total, each))
+            out[h].append(models)
+            if masks and len(masks) == len(models):
+                used = np.flatnonzero(np.any(masks, axis=0))
+                # the models of a head and view share the measures' scale, so that documents are stored once
+                mean, spread = np.mean([m.mean for m in models], axis=0), np.mean([m.spread for m in models], axis=0)
+                theta = [np.concatenate([m.dense * spread / m.spread, m.sparse[used], [m.bias + ((mean - m.mean) / m.spread) @ m.dense]]) for m in models]
+                plan[h, v] = (used, np.array(masks)[:, used].astype(np.float64), mean, spread, np.array(theta), np.array([w for w, _ in weights]), np.array([w * e for w, e in weights]))
+    if not plan:
+        return out
+    place = {key: np.full(SIZES[key[1]], -1) for key in plan}
+    for key, (used, *_) in plan.items():
+        place[key][used] = np.arange(len(used))
+    scale = {key: p[2:4] for key, p in plan.items()}
+    shared = pool.sparkSession.sparkContext.broadcast((teachers, place, scale))
+
+    def small(x: np.ndarray, member: np.ndarray, first: np.ndarray, key: tuple, place: dict, scale: dict) -> tuple:
+        at = place[key][member]
+        n = np.concatenate([[0], np.cumsum(at >= 0)])[first]
+        return (x - scale[key][0]) / scale[key][1], at[at >= 0].astype(np.int32), n
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        teachers, place, scale = shared.value
+        for batch in batches:
+            got = _rows_of(batch)
+            parts = {(h, v): (*small(*_take(got[v], rows), (h, v), place, scale), y.astype(np.int8)) for h, v, rows, y in teachers.sure(got) if (h, v) in place and len(rows)}
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts, 5)], pa.binary())], ["blob"])
+
+    stored = cut(pool.mapInArrow(shrink, "blob binary"))
+    thetas = {key: p[4] for key, p in plan.items()}
+    own = {(h, v): [(*small(*_take(views[v], rows), (h, v), place, scale), labels[h][rows]) for rows in subsets[h]] for h, v in plan}
+    pace = {key: (np.zeros_like(t), np.zeros_like(t)) for key, t in thetas.items()}
+    masks, shares = {key: p[1] for key, p in plan.items()}, {key: p[6] for key, p in plan.items()}
+    keys = sorted(plan)
+
+    def summed(thetas: dict) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {key: np.zeros_like(thetas[key]) for key in keys}
+            for batch in batches:
+                for blob in batch.column(0):
+                    for key, (z, member, first, y) in pickle.loads(blob.as_py()).items():
+                        total[key] += _gradient(z, member, first, y, thetas[key], masks[key], shares[key])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total[key].ravel() for key in keys]).tobytes()], pa.binary())], ["blob"])
+
+        return [np.frombuffer(r["blob"]) for r in stored.mapInArrow(run, "blob binary").collect()]  # one row for each task
+
+    for t in range(1, turns + 1):
+        whole = np.sum(summed(thetas), axis=0)
+        parts = np.split(whole, np.cumsum([thetas[key].size for key in keys])[:-1])
+        for key, part in zip(keys, parts, strict=True):
+            theta, (one, two) = thetas[key], pace[key]
+            grad = part.reshape(theta.shape) + decay / 10 * np.concatenate([theta[:, :-1], np.zeros((len(theta), 1))], axis=1)
+            for i, rows in enumerate(own[key]):
+                grad[i] += _gradient(*rows, theta[i : i + 1], masks[key][i : i + 1], plan[key][5][i : i + 1])[0]
+            one, two = 0.9 * one + 0.1 * grad, 0.99 * two + 0.01 * grad * grad
+            pace[key] = one, two
+            thetas[key] = theta - rate * (1 - (t - 1) / turns) * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-6)
+    for (h, v), theta in thetas.items():
+        used, mask, mean, spread, *_ = plan[h, v]
+        d = len(mean)
+        for i, t in enumerate(theta):
+            sparse = np.zeros(SIZES[v])
+            sparse[used] = t[d:-1] * mask[i]
+            out[h][v][i] = Linear(t[:d], sparse, float(t[-1]), mean, spread)
+    return out
+
+
+def co_train(text: tuple, meta: tuple, labels: list[np.ndarray], pool: DataFrame | None = None, *, rounds: int = 2, confident: float = 0.98, seed: int = 3) -> CoTrained:
+    """text, meta, labels (0 or 1 for each head): of the labelled rows; pool: features (x, w, m, k) of all unlabelled documents."""
+    views, n = (text, meta), len(labels[0])
+    part = np.random.default_rng(seed).integers(0, 4, n)
+    held, train = np.flatnonzero(part == 0), np.flatnonzero(part != 0)
+    teachers = None
+    for _ in range(rounds if pool is not None else 0):
+        models = [[of_view[0] for of_view in head] for head in fitted(views, labels, [[train]] * len(labels), pool, teachers)]
+        marks = [[platt(m.score(*_take(views[v], held)), y[held]) for v, m in enumerate(pair)] for pair, y in zip(models, labels, strict=True)]
+        teachers = Teachers(models, marks, confident)
+    # calibration and the cut on scores of models that have not seen the row; the models themselves on all rows
+    everything = np.arange(n)
+    subsets = [[everything, *[np.flatnonzero(part != f) for f in range(4)]]] * len(labels)
     heads = []
-    for y in labels:
-        rng = np.random.default_rng(seed)
-        known = np.flatnonzero(y >= 0)
-        part = rng.integers(0, 4, len(known))
-        held, train = known[part == 0], known[part != 0]
-        open_ = np.flatnonzero(y < 0)
-        extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels for each view
-        views, sizes = (text, meta), (1 << BITS, 1 << META_BITS)
-
-        def fit(v: int, own: np.ndarray, more: dict[int, int], y=y, views=views, sizes=sizes) -> Linear:
-            rows = np.concatenate([own, np.array(list(more), np.int64)])
-            target = np.concatenate([y[own], np.array(list(more.values()), np.int64)])
-            return Linear.fit(*_take(views[v], rows), target, sizes[v])
-
-        for turn in range(rounds + 1):
-            models = [fit(v, train, extra[v]) for v in (0, 1)]
-            marks = [platt(m.score(*_take(views[v], held)), y[held]) for v, m in enumerate(models)]
-            if turn == rounds or not len(open_):
-                break
-            for v, (m, c) in enumerate(zip(models, marks, strict=True)):
-                p = 1 / (1 + np.exp(-np.clip(c[0] * m.score(*_take(views[v], open_)) + c[1], -30, 30)))
-                sure = np.flatnonzero((p > confident) | (p < 1 - confident)) if c[0] > 0 else np.zeros(0, np.int64)
-                extra[1 - v] = {int(open_[i]): int(p[i] > 0.5) for i in sure}
-        base = y[known].mean() if len(known) else 0.5
-        prior = float(np.log((base + 1e-6) / (1 - base + 1e-6)))
-        # calibration and the cut on scores of models that have not seen the row; the models themselves on all rows
-        if not 0 < y[known].sum() < len(known):
-            heads.append((*[fit(v, known, {}) for v in (0, 1)], (0.0, -30.0), (0.0, 0.0), 0.0, 0.5))
+    for y, (a, b) in zip(labels, fitted(views, labels, subsets, pool, teachers), strict=True):
+        if not 0 < y.sum() < n:
+            heads.append((a[0], b[0], (0.0, -30.0), (0.0, 0.0), 0.0, 0.5))
             continue
-        unseen = np.zeros((2, len(known)))
+        prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+        unseen = np.zeros((2, n))
         for f in range(4):
-            for v in (0, 1):
-                unseen[v, part == f] = fit(v, known[part != f], extra[v]).score(*_take(views[v], known[part == f]))
-        marks = [platt(unseen[v], y[known]) for v in (0, 1)]
+            rows = np.flatnonzero(part == f)
+            for v, models in enumerate((a, b)):
+                unseen[v, rows] = models[1 + f].score(*_take(views[v], rows))
+        marks = [platt(unseen[v], y) for v in (0, 1)]
         both = marks[0][0] * unseen[0] + marks[0][1] + marks[1][0] * unseen[1] + marks[1][1] - prior
-        heads.append((*[fit(v, known, extra[v]) for v in (0, 1)], *marks, prior, best_cut(1 / (1 + np.exp(-np.clip(both, -30, 30))), y[known])))
+        heads.append((a[0], b[0], *marks, prior, best_cut(1 / (1 + np.exp(-np.clip(both, -30, 30))), y)))
     return CoTrained(heads)
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """Rows that fitting may use: labelled ones of each class, and unlabelled ones."""
+    """Labelled rows of each class that fitting may use; unlabelled ones are all used."""
 
     max_labelled: int = 3000
-    max_unlabelled: int = 2000
     seed: int = 23
 
 
@@ -273,7 +438,7 @@ def _features(part: list, a: int, b: int) -> tuple[tuple, tuple]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), columns: dict[str, str] | None = None) -> CoTrained:  # noqa: B008
-    """Fit on bounded samples of labels (doc_id, quality, toxic) and of unlabelled documents."""
+    """Fit on a bounded sample of labels (doc_id, quality, toxic) and on all unlabelled documents."""
     names = COLUMNS | (columns or {})
     rows = docs.select(*[F.col(names[k]).alias(k) for k in COLUMNS]).withColumn("id", F.col("id").cast("long"))
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)).alias("kind"))
@@ -282,35 +447,31 @@ def train(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), colu
     share = F.lit(0)
     for kind, n in sizes.items():
         share = F.when(F.col("kind") == kind, min(1 << 20, int((1 << 20) * bounds.max_labelled / n))).otherwise(share)
-    chosen = known.where(unit < share)
-    total = rows.count()
-    open_ = rows.where(unit < int((1 << 20) * min(1.0, bounds.max_unlabelled / max(total, 1)))).join(known, "id", "left_anti").withColumn("kind", F.lit(-1))
-    # a bounded number of ids: the documents are kept where they are and their features alone move
-    picked = rows.join(F.broadcast(chosen), "id").unionByName(open_)
+    # labelled documents that are not chosen have kind -2, unlabelled ones -1
+    known = known.select("id", F.when(unit < share, F.col("kind")).otherwise(-2).alias("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.columns[:5]
+            part = batch.columns
             _, off = utf8(part[1])
             for a, b in steps(off):
                 (x, w, wf), (m, k, kf) = _features(part, a, b)
-                cut = lambda v, f: pa.array([p.astype(np.int32) for p in np.split(v, f[1:-1])], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(5).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64())), cut(w, wf), pa.array(list(m), pa.list_(pa.float64())), cut(k, kf)], ["id", "kind", "x", "w", "m", "k"]
-                )
-
-    got = picked.select(*COLUMNS, "kind").mapInArrow(run, "id long, kind int, x array<double>, w array<int>, m array<double>, k array<int>").toArrow().sort_by([("id", "ascending"), ("kind", "ascending")])
-
-    def part(dense: str, members: str, width: int) -> tuple:
-        d, m = got[dense].combine_chunks(), got[members].combine_chunks()
-        x = np.array(d.flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
-        n = np.array(m.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-        return x, np.array(m.flatten().to_numpy(zero_copy_only=False), np.int64), np.concatenate([[0], np.cumsum(n)])
-
+                body = lambda v, first, t: pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((first * np.dtype(t).itemsize).astype(np.int32)), pa.py_buffer(v.astype(t).tobytes())])  # noqa: B023, E731
+                dense = lambda v: body(v, np.arange(b - a + 1) * v.shape[1], np.float64)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), dense(x), body(w, wf, np.int32), dense(m), body(k, kf, np.int32)], ["id", "x", "w", "m", "k"])
+
+    # features alone move, and are written once, as every round reads those of all unlabelled documents
+    body = ["x", "w", "m", "k"]
+    features = rows.select(*COLUMNS).mapInArrow(run, "id long, x binary, w binary, m binary, k binary")
+    features = cut(features.join(known.hint("shuffle_hash"), "id", "left").select("id", F.coalesce("kind", F.lit(-1)).alias("kind"), *body))
+    got = features.where("kind >= 0").toArrow().sort_by([("id", "ascending"), ("kind", "ascending")]).combine_chunks()
+    if got.num_rows:
+        text, meta = _rows_of(got.select(body).to_batches()[0])
+    else:
+        text, meta = ((np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(1, np.int64)) for width in (SHAPES, 2))
     kind = got["kind"].to_numpy().astype(np.int64)
-    low = np.where(kind < 0, -1, (kind == 1).astype(np.int64))
-    toxic = np.where(kind < 0, -1, (kind == 2).astype(np.int64))
-    return co_train(part("x", "w", SHAPES), part("m", "k", 2), [low, toxic], seed=bounds.seed)
+    low, toxic = (kind == 1).astype(np.int64), (kind == 2).astype(np.int64)
+    return co_train(text, meta, [low, toxic], features.where("kind = -1").select(*body), seed=bounds.seed)
 
 
 def score(docs: DataFrame, model: CoTrained, *, whole: bool = False, columns: dict[str, str] | None = None) -> DataFrame:

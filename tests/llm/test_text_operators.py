@@ -334,6 +334,18 @@ def test_classifier_held_out(spark):
     assert again == got
 
 
+def test_classifier_learns_from_every_unlabelled_document(spark):
+    rng = random.Random(6)
+    body = lambda: " ".join(f"word{rng.randrange(300)}" for _ in range(40))
+    # labels tell that a source is bad; a word that no labelled document has stands in that source only, 8 times in 8000
+    rows = [(i, body(), "en", "bad" if i % 8 == 0 else "fine", 200) for i in range(800)]
+    labels = [(i, int(i % 8 != 0), 0) for i in range(800)]
+    rows += [(i, body(), "en", "fine", 200) for i in range(800, 8792)] + [(i, body() + " zzrare", "en", "bad", 200) for i in range(8792, 8800)]
+    model = quality.train(table(spark, rows, DOCS).repartition(4), table(spark, labels, "doc_id long, quality int, toxic int"))
+    _, member, _ = quality.text_features(np.frombuffer(b"zzrare", np.uint8), np.array([0, 6]))
+    assert model.heads[0][0].sparse[member].item() > 0
+
+
 def test_classifier_without_labels(spark):
     docs, _ = corpus(30, 2)
     df = table(spark, docs, DOCS)
