@@ -11,8 +11,8 @@ cross-fitted scores of the labelled rows (Platt scaling), the calibrated log-odd
 are added (less the prior, which both hold), the cut that parts the classes best
 is found on the same scores, and all documents are scored.
 
-Labelled rows are a bounded sample on the driver (max_labelled of each class,
-chosen by a hash of the id). Unlabelled documents stay on the executors, and all
+Labelled rows are a bounded sample on the driver (max_labelled of each
+class: neither, low quality, toxic, both; chosen by a hash of the id). Unlabelled documents stay on the executors, and all
 of them take part: each round scores every one, words are chosen on the counts of
 all pseudo-labelled documents, and models that start from a fit on the labelled
 rows follow gradients summed up over all of them. Pseudo-labelled documents of a
@@ -22,7 +22,7 @@ All documents are scored, whole, by the executors.
 Cases: null text counts as empty; null or unknown language and source are values
 of their own; a null or missing length is taken as 0; repeated rows get equal
 scores; labels with a null, and labels of unknown documents, are not used; a
-document with several labels counts once, with the worst; with no labels of a class its
+document with several labels counts once, with the worst of each kind; with no labels of a class its
 model scores 0 for all (nothing is rejected on it); an empty table gives an empty
 table; columns other than those named are not read.
 """
@@ -441,7 +441,9 @@ def train(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), colu
     """Fit on a bounded sample of labels (doc_id, quality, toxic) and on all unlabelled documents."""
     names = COLUMNS | (columns or {})
     rows = docs.select(*[F.col(names[k]).alias(k) for k in COLUMNS]).withColumn("id", F.col("id").cast("long"))
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)).alias("kind"))
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id"))
+    # 1: low quality, 2: toxic, 3: both
+    known = known.agg((F.max((F.col("quality") == 0).cast("int")) + 2 * F.max((F.col("toxic") == 1).cast("int"))).alias("kind"))
     unit = F.pmod(F.xxhash64(F.lit(bounds.seed), "id"), F.lit(1 << 20))
     sizes = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
     share = F.lit(0)
@@ -470,7 +472,7 @@ def train(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), colu
     else:
         text, meta = ((np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(1, np.int64)) for width in (SHAPES, 2))
     kind = got["kind"].to_numpy().astype(np.int64)
-    low, toxic = (kind == 1).astype(np.int64), (kind == 2).astype(np.int64)
+    low, toxic = kind & 1, kind >> 1
     return co_train(text, meta, [low, toxic], features.where("kind = -1").select(*body), seed=bounds.seed)
 
 

@@ -346,6 +346,16 @@ def test_classifier_learns_from_every_unlabelled_document(spark):
     assert model.heads[0][0].sparse[member].item() > 0
 
 
+def test_classifier_takes_both_labels_of_a_document(spark):
+    rng = random.Random(7)
+    body = lambda: " ".join(f"word{rng.randrange(300)}" for _ in range(40))
+    rows = [(i, body().upper() if i % 4 == 0 else body(), "en", "s1", 200) for i in range(400)]
+    labels = [(i, int(i % 4 != 0), int(i % 4 == 0)) for i in range(300)]  # what is of low quality is toxic, too
+    df = table(spark, rows, DOCS)
+    got = quality.score(df, quality.train(df, table(spark, labels, "doc_id long, quality int, toxic int"))).collect()
+    assert all((r["low_quality"] > 0.5) == (r["toxic"] > 0.5) == (r["doc_id"] % 4 == 0) for r in got)
+
+
 def test_classifier_without_labels(spark):
     docs, _ = corpus(30, 2)
     df = table(spark, docs, DOCS)
