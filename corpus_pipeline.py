@@ -47,8 +47,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, cut or left out so that sources reach their target weights."""
-    out = mixing.expand(mixing.mix(docs, carry=["text", "lang"]))
+    """Documents repeated or left out so that sources reach their target weights; none is cut.
+
+    The document at the edge of a source's fractional repetition is taken whole
+    or not at all, whichever brings the source nearer to its target.
+    """
+    nearer = F.when(F.col("part") * 2 >= F.col("size"), F.col("size")).otherwise(0).cast("long")
+    out = mixing.expand(mixing.mix(docs, carry=["text", "lang"]).withColumn("part", nearer))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

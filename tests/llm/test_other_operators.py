@@ -183,6 +183,20 @@ def test_near_dedup_keeps_one_row_of_a_class(spark):
     assert {r["text"] for r in out.where("doc_id in (5, 7)").collect()} == {text(0), text(1)}
 
 
+def test_pipeline_mixing_cuts_no_document(spark):
+    import corpus_pipeline
+    from bandloom.llm import mixing
+    from tests.llm.test_text_operators import DOCS
+
+    rng = random.Random(9)
+    docs = [(i, "\n".join(f"w{i}x{j}" for j in range(rng.choice([3, 40, 500]))), "en", rng.choice("abc"), 0) for i in range(90)]
+    df = spark.createDataFrame(docs, DOCS)
+    got, texts = corpus_pipeline.source_mixing(spark, df, "").collect(), {i: t for i, t, *_ in docs}
+    assert all(r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+    for source, goal in {(r["source"], r["target"]) for r in mixing.mix(df).collect()}:
+        assert abs(sum(len(r["text"].split()) for r in got if r["source"] == source) - goal) <= 251
+
+
 def test_queries_are_registered():
     from bandloom.llm.queries import ORACLE, QUERIES
 
