@@ -82,8 +82,9 @@ def range_search(spark: SparkSession, grid: Grid, partitions: int, policy: str,
     return ranked, make(grid, partitions, policy, int(first["cap"]), options.get("limit", merge.MAX_INPUT))
 
 
-def coverage(a: Assignment) -> dict[str, int]:
-    """What must be 0: candidate cells without a partition, other cells with one, partitions over the cap."""
+def coverage(a: Assignment, limit: str = merge.MAX_INPUT) -> dict[str, int]:
+    """What must be 0: candidate cells without a partition, other cells with one, partitions over the cap (of what limit names)."""
     inside = a.part >= 0
-    over = 0 if a.cap is None else int((np.array(a.costs()["input_cost"]) > a.cap).sum())
+    capped = "cells" if limit == merge.MAX_CELLS else "input_cost"
+    over = 0 if a.cap is None else int((np.array(a.costs()[capped]) > a.cap).sum())
     return {"missing": int((a.grid.possible & ~inside).sum()), "foreign": int((~a.grid.possible & inside).sum()), "over_cap": over}

@@ -340,7 +340,7 @@ for _p in POLICIES:
 
     def _limits(spark: SparkSession, sf_dir: str, policy: str = _p) -> DataFrame:
         a = _made(spark, policy)
-        over = 0 if policy in ("EPCC",) else search.coverage(a)["over_cap"]
+        over = search.coverage(a, merge.MAX_CELLS if policy == "EPCC" else merge.MAX_INPUT)["over_cap"]
         cells = a.frame(spark)
         twice = cells.groupBy("s_bucket", "t_bucket").count().where("count > 1").agg(F.count("*").alias("overlaps"))
         return twice.select("overlaps", F.lit(over).cast("long").alias("over_cap"), F.lit(max(0, a.partitions - 5)).cast("long").alias("partitions_too_many"))

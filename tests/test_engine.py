@@ -218,3 +218,23 @@ def test_entry_module():
 
     q, o = entry.queries(), entry.oracle_sql()
     assert "band_join_or" in q and set(o) <= set(q)
+
+
+def test_limits_of_epcc_compare_cells_with_the_cap(spark, monkeypatch):
+    from dataclasses import replace
+
+    import numpy as np
+
+    from bandloom import queries
+    from bandloom.operators.grid import Grid
+    from bandloom.operators.histogram import Histogram
+    from bandloom.plans import merge, search
+
+    at = np.arange(10)
+    h = Histogram(10 * at + 1, 10 * at + 10, np.full(10, 10, np.int64))
+    made = search.make(Grid.of(h, h, "[-1|1]"), 5, "EPCC", limit=merge.MAX_CELLS)
+    cells = made.costs()["cells"]
+    for cap in (made.cap, int(cells.min()), 0):
+        monkeypatch.setattr(queries, "_made", lambda spark, policy, cap=cap: replace(made, cap=cap))
+        row = queries.QUERIES["partition_limits_epcc"](spark, "").first()
+        assert row["over_cap"] == (cells > cap).sum() and (cap != made.cap or row["over_cap"] == 0)
