@@ -17,5 +17,9 @@ class PartitioningError(BandloomError):
     """No partitioning keeps the cap and the number of partitions."""
 
 
+class StorageError(BandloomError):
+    """No folder that all executors share is known."""
+
+
 class RearrangementError(BandloomError):
     """Rows or columns can't be put in another order."""
