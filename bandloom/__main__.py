@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from .errors import BandloomError
 from .functions.bands import random_query
+from .functions.metrics import normalized_cases
 from .operators import bandjoin, routing
 from .operators.grid import Grid
 from .operators.histogram import Histogram, create_histograms, from_frame
@@ -100,7 +101,9 @@ def run(spark: SparkSession, args: Mapping[str, str]) -> None:
             with times("rangeSearch"):
                 for i, weights in enumerate(search.normalized_weights(search.parse_weights(args["rangeSearchWeights"]))):
                     ranked, best = search.range_search(spark, grid, p, policy, weights, upper_factor=float(factor), granularity=int(granularity))
-                    artefacts.write_cases(ranked, ["cap", *search.metric_names()], f"{out}/{i}/rangeSearchMetrics.csv")
+                    names = search.metric_names()
+                    artefacts.write_cases(ranked, ["cap", *names], f"{out}/{i}/rangeSearchMetrics.csv")
+                    artefacts.write_cases(normalized_cases(ranked, [*names, "score"]), ["cap", *names], f"{out}/{i}/rangeSearchMetricsNormalized.csv")
                     _save_partitioning(spark, best, f"{out}/{i}")
         else:
             with times("binarySearch"):
@@ -121,6 +124,7 @@ def run(spark: SparkSession, args: Mapping[str, str]) -> None:
                 artefacts.write_join(pairs.drop("partition_id"), f"{out}/join", text=True)
                 counted = routing.counters(s, t, query, table, plan)
                 artefacts.write_counters(counted, f"{out}/counters.csv")
+                artefacts.write_max_input(counted, f"{out}/maxPartitionInput.csv")
             else:
                 artefacts.write_join(bandjoin.band_join_values(s, t, query), f"{out}/join", text=True)
     else:

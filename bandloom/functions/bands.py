@@ -90,6 +90,13 @@ class BandQuery:
                 out.append(b)
         return BandQuery(tuple(out))
 
+    def closed(self) -> tuple[Band, ...]:
+        """The bands with two ends."""
+        return tuple(b for b in self.bands if b.lo is not None and b.hi is not None)
+
+    def opened(self) -> tuple[Band, ...]:
+        return tuple(b for b in self.bands if b.lo is None or b.hi is None)
+
     def negated(self) -> BandQuery:
         """The query with S and T exchanged."""
         flip = lambda x: None if x is None else -x

@@ -8,12 +8,18 @@ residual predicate.
   With w the width of the band t reaches two or three cells, and a cell has no
   more s than a small multiple of the matches, so the work follows the output.
 * cells: both sides get the bucket of an equi-depth histogram and meet through
-  the candidate bucket pairs. It serves open-ended bands, and plans made from
-  statistics.
+  the candidate bucket pairs. It serves open-ended bands, of whose pairs a fixed
+  share is output, and plans made from statistics; closed bands have the grid's
+  cell in the key as well, so that a bucket pair is probed and not multiplied out.
 * partitioned: rows are sent to the partitions of a given assignment, and a
-  partition joins only its own cells (see routing.py).
+  partition probes only its own cells (see routing.py).
 * naive: the predicate alone.
 
+Row joins use the same keys with Spark's own join kinds. For an open end a row of
+the left side has a partner if the smallest or largest value of the right side is
+one, so semi and anti joins need that one number. Sides are plain exchanges, whose
+hot keys AQE splits; salt= splits them by plan.
+
 Values are compressed (one row per distinct value with its frequency) below the
 join wherever rows are not asked for. Bands that overlap or touch are merged
 first in mode "or", so a pair comes once; in mode "per_band" it comes once for
@@ -24,11 +30,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import JoinError
 from ..functions.bands import Band, BandQuery
+from ..storage import written
 from .buckets import bucket_of, literal_bounds
 from .histogram import boundaries, frequencies, widened
 
@@ -48,7 +56,7 @@ def width_of(band: Band) -> int:
     return band.hi - band.lo + 1
 
 
-def _by_width(bands: tuple[Band, ...]) -> list[tuple[Band, ...]]:
+def by_width(bands: tuple[Band, ...]) -> list[tuple[Band, ...]]:
     """Bands in groups whose widths differ by less than a factor of 64; each group is one join."""
     groups: dict[int, list[Band]] = {}
     for b in bands:
@@ -56,50 +64,70 @@ def _by_width(bands: tuple[Band, ...]) -> list[tuple[Band, ...]]:
     return [tuple(g) for g in groups.values()]
 
 
-def _grid_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, bands: tuple[Band, ...], width: int | None, salt: int) -> DataFrame:
-    """Pairs of rows that any of the disjoint bands holds, by one join: a row of t is repeated for every cell that a band reaches."""
+def grid_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, bands: tuple[Band, ...], width: int | None = None, salt: int = 1, kind: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that any of the disjoint closed bands joins, by one join: a row of t is repeated for every cell that a band reaches.
+
+    also: further columns of equal names that must agree; they come from s.
+    """
     w = width or max(map(width_of, bands))
     cell = lambda x: x - F.pmod(x, F.lit(w))  # noqa: E731  the cell's first value: exact for any BIGINT
     left = s.withColumn("_cell", cell(F.col(sv)))
     reach = [F.sequence(cell(F.col(tv) + b.lo), cell(F.col(tv) + b.hi), F.lit(w).cast("long")) for b in bands]
     right = t.withColumn("_cell", F.explode(reach[0] if len(reach) == 1 else F.array_distinct(F.concat(*reach))))
-    keys = ["_cell"]
-    if salt > 1:  # rows of a hot value are spread, and the other side is repeated for each share
-        left = left.withColumn("_salt", (F.rand(7) * salt).cast("int"))
+    keys = ["_cell", *also]
+    if salt > 1:  # rows of a hot value are spread by a hash of the row, and the other side is repeated for each share
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*s.columns), F.lit(salt)).cast("int"))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         keys.append("_salt")
     a, b = left.alias("_l"), right.alias("_r")
     held = BandQuery(bands).holds(F.col(f"_l.{sv}"), F.col(f"_r.{tv}"))
-    out = a.join(b, reduce(lambda x, y: x & y, [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys]) & held)
-    return out.select(*[F.col(f"_l.{c}") for c in s.columns], *[F.col(f"_r.{c}") for c in t.columns])
-
-
-def _row_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, q: BandQuery, width: int | None, salt: int) -> DataFrame:
-    return union_all([_grid_pairs(s, t, sv, tv, g, width, salt) for g in _by_width(q.bands)])
+    out = a.join(b, reduce(lambda x, y: x & y, [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys]) & held, kind)
+    own = [F.col(f"_l.{c}") for c in s.columns]
+    return out.select(*own) if kind in ("left_semi", "left_anti") else out.select(*own, *[F.col(f"_r.{c}") for c in t.columns if c not in also])
 
 
 def _sides(s: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s.select(F.col("value").alias("s"), F.col("freq").alias("s_freq")), t.select(F.col("value").alias("t"), F.col("freq").alias("t_freq"))
 
 
-def _cells_join(s: DataFrame, t: DataFrame, query: BandQuery, buckets: int) -> DataFrame:
-    """Compressed relations joined through the candidate cells of histograms made of them."""
-    from .grid import candidate_cells
-
-    both = s.select(F.lit("S").alias("rel"), "value", "freq").unionByName(t.select(F.lit("T").alias("rel"), "value", "freq"))
-    distinct = {r["rel"]: r["n"] for r in both.groupBy("rel").agg(F.count("*").alias("n")).collect()}
-    k = min(buckets, *(distinct.get(r, 0) for r in ("S", "T")))
-    a, b = _sides(s, t)
-    if k < 2:
-        return a.join(b, query.holds(F.col("s"), F.col("t")))
-    histogram = widened(boundaries(both, k), both)
-    sb, tb = literal_bounds(histogram, "S"), literal_bounds(histogram, "T")
-    spark = s.sparkSession
-    table = spark.createDataFrame([("S", i, *x, 1) for i, x in enumerate(sb)] + [("T", i, *x, 1) for i, x in enumerate(tb)], "rel string, bucket int, lo long, hi long, cnt long")
-    cells = candidate_cells(table, query).select("s_bucket", "t_bucket")
-    left = a.withColumn("s_bucket", bucket_of(F.col("s"), sb)).join(F.broadcast(cells), "s_bucket")
-    right = b.withColumn("t_bucket", bucket_of(F.col("t"), tb))
-    return left.join(right, "t_bucket").where(query.holds(F.col("s"), F.col("t"))).select("s", "s_freq", "t", "t_freq")
+#: Buckets a side of a join by cells: the table of candidate cells, at most their square, is broadcast.
+MOST_BUCKETS = 1024
+
+
+def _placed(s: DataFrame, t: DataFrame, sv: str, tv: str, query: BandQuery, buckets: int, counted: bool) -> tuple[DataFrame, DataFrame] | None:
+    """s with s_bucket and t_bucket (a row for each candidate cell), and t with t_bucket; None if a side has no value."""
+    if not 1 <= buckets <= MOST_BUCKETS:
+        raise JoinError(f"a join by cells takes 1 to {MOST_BUCKETS} buckets a side")
+    side = lambda df, v, r, f: df.where(F.col(v).isNotNull()).select(F.lit(r).alias("rel"), F.col(v).alias("value"), F.col(f) if counted else F.lit(1).cast("long").alias("freq")).groupBy("rel", "value").agg(F.sum(F.col(f) if counted else F.col("freq")).alias("freq"))
+    both = written(side(s, sv, "S", "s_freq").unionByName(side(t, tv, "T", "t_freq")))
+    found = {r["rel"]: r for r in both.groupBy("rel").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    if len(found) < 2:
+        return None
+    k = min(buckets, *(r["n"] for r in found.values()))
+    if k < 2:  # one value on a side: one bucket a side
+        bounds = {r: ((found[r]["lo"], found[r]["hi"]),) for r in found}
+    else:
+        histogram = written(widened(boundaries(both, k), both))
+        bounds = {r: literal_bounds(histogram, r) for r in found}
+    ends = [np.array(bounds[r], np.int64).T for r in ("S", "T")]
+    pairs = np.argwhere(query.cells(*ends[0], *ends[1])).tolist()
+    cells = s.sparkSession.createDataFrame(pairs, "s_bucket int, t_bucket int")
+    left = s.withColumn("s_bucket", bucket_of(F.col(sv), bounds["S"])).join(F.broadcast(cells), "s_bucket")
+    return left, t.withColumn("t_bucket", bucket_of(F.col(tv), bounds["T"]))
+
+
+def cells_join(s: DataFrame, t: DataFrame, sv: str, tv: str, query: BandQuery, buckets: int, counted: bool = True) -> DataFrame:
+    """Rows of s and t that meet through the candidate cells of histograms made of their values (frequencies s_freq and t_freq, if counted)."""
+    placed = _placed(s, t, sv, tv, query, buckets, counted)
+    columns = [*s.columns, *t.columns]
+    if placed is None:
+        return s.where("false").join(t.where("false"), F.col(sv) == F.col(tv)).select(*columns)
+    left, right = placed
+    closed, opened = query.closed(), query.opened()
+    parts = [grid_pairs(left, right, sv, tv, g, also=("t_bucket",)) for g in by_width(closed)]
+    if opened:
+        parts.append(left.join(right, "t_bucket").where(BandQuery(opened).holds(F.col(sv), F.col(tv))))
+    return union_all([p.select(*columns) for p in parts])
 
 
 def band_join_values(s: DataFrame, t: DataFrame, query: BandQuery | str, *, mode: str = "or", strategy: str = "auto", counted: bool = False, buckets: int = 256, width: int | None = None) -> DataFrame:
@@ -124,39 +152,64 @@ def _join(s: DataFrame, t: DataFrame, q: BandQuery, strategy: str, buckets: int,
     a, b = _sides(s, t)
     if strategy == "naive":
         return a.join(b, q.holds(F.col("s"), F.col("t")))
-    closed = [x for x in q.bands if x.lo is not None and x.hi is not None]
-    opened = [x for x in q.bands if x.lo is None or x.hi is None]
     if strategy == "cells":
-        return _cells_join(s, t, q, buckets)
-    parts = [_grid_pairs(a, b, "s", "t", g, width, 1) for g in _by_width(tuple(closed))]
-    if opened:
-        if strategy == "grid":
-            raise JoinError("the grid strategy needs bands that are closed on both ends")
-        parts.append(_cells_join(s, t, BandQuery(tuple(opened)), buckets))
+        return cells_join(a, b, "s", "t", q, buckets)
+    opened = q.opened()
+    if opened and strategy == "grid":
+        raise JoinError("the grid strategy needs bands that are closed on both ends")
+    return _parts(a, b, "s", "t", q, buckets, width)
+
+
+def _parts(s: DataFrame, t: DataFrame, sv: str, tv: str, q: BandQuery, buckets: int, width: int | None, salt: int = 1, counted: bool = True) -> DataFrame:
+    """Closed bands by the grid, open ones by cells."""
+    parts = [grid_pairs(s, t, sv, tv, g, width, salt) for g in by_width(q.closed())]
+    if opened := q.opened():
+        parts.append(cells_join(s, t, sv, tv, BandQuery(opened), buckets, counted))
     return union_all(parts)
 
 
-def band_join_rows(s: DataFrame, t: DataFrame, s_value: str, t_value: str, query: BandQuery | str, *, kind: str = "inner", width: int | None = None, salt: int = 1) -> DataFrame:
+def _without(s: DataFrame, t: DataFrame, sv: str, tv: str, q: BandQuery, width: int | None) -> DataFrame:
+    """Rows of s that no band joins with a row of t."""
+    out = s
+    for g in by_width(q.closed()):
+        out = grid_pairs(out, t, sv, tv, g, width, kind="left_anti")
+    for b in q.opened():
+        out = out.where(~F.coalesce(_beyond(t, sv, tv, b), F.lit(False)))
+    return out
+
+
+def _beyond(t: DataFrame, sv: str, tv: str, b: Band) -> Column:
+    """Whether an open band joins a value with any of t: the smallest or largest of these settles it (a scalar subquery)."""
+    end = t.agg((F.max(tv) if b.lo is None and b.hi is not None else F.min(tv)).alias("_end")).scalar()
+    return b.holds(F.col(sv), end)
+
+
+def band_join_rows(s: DataFrame, t: DataFrame, s_value: str, t_value: str, query: BandQuery | str, *, kind: str = "inner", width: int | None = None, salt: int = 1, buckets: int = 256) -> DataFrame:
     """Rows of both sides with all their columns (which must differ in name): inner, left_semi, left_anti or left_outer.
 
     Values must be BIGINT; rows with a null value match nothing.
     """
     q = BandQuery.of(query).merged()
-    if any(b.lo is None or b.hi is None for b in q.bands):
-        on = q.holds(F.col(s_value), F.col(t_value))
-        return s.join(t, on, kind)
-    if kind == "inner":
-        return _row_pairs(s, t, s_value, t_value, q, width, salt)
-    # the other kinds: whether a value matches is settled on distinct values, which a row then looks up
-    pairs = band_join_values(s.select(F.col(s_value).alias("value")).where("value is not null"), t.select(F.col(t_value).alias("value")).where("value is not null"), q)
-    met = pairs.select(F.col("s").alias("_met")).distinct()
-    if kind in ("left_semi", "left_anti"):
-        return s.join(met, F.col(s_value) == F.col("_met"), kind)
-    if kind == "left_outer":
-        inner = _row_pairs(s, t, s_value, t_value, q, width, salt)
-        alone = s.join(met, F.col(s_value) == F.col("_met"), "left_anti")
-        return inner.unionByName(alone, allowMissingColumns=True)
-    raise JoinError(f"kind {kind!r} is not supported")
+    if kind == "left_anti":
+        return _without(s, t, s_value, t_value, q, width)
+    if kind == "left_semi":
+        # a row is given by the first group of bands that joins it
+        out, rest = [], s
+        for g in [*by_width(q.closed()), *((b,) for b in q.opened())]:
+            own = BandQuery(g)
+            if own.closed():
+                out.append(grid_pairs(rest, t, s_value, t_value, g, width, kind="left_semi"))
+            else:
+                out.append(rest.where(_beyond(t, s_value, t_value, g[0])))
+            rest = _without(rest, t, s_value, t_value, own, width)
+        return union_all(out)
+    if kind not in ("inner", "left_outer"):
+        raise JoinError(f"kind {kind!r} is not supported")
+    groups = by_width(q.closed())
+    if kind == "left_outer" and len(groups) == 1 and not q.opened():
+        return grid_pairs(s, t, s_value, t_value, groups[0], width, salt=1, kind="left_outer")
+    inner = _parts(s, t, s_value, t_value, q, buckets, width, salt, counted=False)
+    return inner if kind == "inner" else inner.unionByName(_without(s, t, s_value, t_value, q, width), allowMissingColumns=True)
 
 
 def theta_join_values(s: DataFrame, t: DataFrame, predicate, *, counted: bool = False) -> DataFrame:

@@ -2,42 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Bounds = tuple[tuple[int, int], ...]
 
 
-def _by_search(bounds: Bounds):
-    lo = np.array([b[0] for b in bounds], np.int64)
-    hi = np.array([b[1] for b in bounds], np.int64)
-
-    @F.pandas_udf("int")
-    def find(v: pd.Series) -> pd.Series:
-        x = v.to_numpy(np.int64)
-        at = np.searchsorted(lo, x, "right") - 1
-        return pd.Series(np.where((at >= 0) & (x <= hi[np.maximum(at, 0)]), at, -1).astype(np.int32))
-
-    return find
-
-
-def bucket_of(value: Column, bounds: Bounds, *, search_from: int = 128) -> Column:
+def bucket_of(value: Column, bounds: Bounds) -> Column:
     """Bucket of a value; -1 outside all.
 
-    Up to search_from buckets a sum of comparisons (plain generated code);
-    beyond, a vectorised binary search.
+    A balanced tree of comparisons: a row takes as many steps as the logarithm of
+    the buckets, in generated code for any number that a plan may have.
     """
     if not bounds:
         return F.lit(-1)
-    if len(bounds) > search_from:
-        return _by_search(bounds)(value)
+
+    def below(a: int, b: int) -> Column:
+        if b - a == 1:
+            return F.lit(a)
+        middle = (a + b) // 2
+        return F.when(value <= bounds[middle - 1][1], below(a, middle)).otherwise(below(middle, b))
+
     inside = (value >= bounds[0][0]) & (value <= bounds[-1][1])
-    at = reduce(lambda a, b: a + b, [(value > hi).cast("int") for _, hi in bounds[:-1]], F.lit(0))
-    return F.when(inside, at).otherwise(F.lit(-1))
+    return F.when(inside, below(0, len(bounds))).otherwise(F.lit(-1))
 
 
 def literal_bounds(histogram: DataFrame, rel: str) -> Bounds:

@@ -5,11 +5,11 @@ one. A value is never split over two buckets. The first and last bucket reach to
 the true smallest and largest value, so no row of a relation is without a bucket
 when the boundaries were sampled.
 
-The step assignment walks the distinct values in order. A relation with more
-distinct values than `limit` is first condensed, in the cluster, to runs of
-neighbouring values that hold at most 1/64 of a bucket's load each, so the walk
-never gets more than about 64 entries a bucket; bounds then differ from those of
-the full walk by at most one run.
+The step assignment walks the distinct values in order. It only ever asks for the
+place where a running total is reached, so a relation with more distinct values
+than `limit` stays in the cluster: its running totals are stored there in blocks of
+neighbouring values, the driver knows the end of each block, and the blocks that
+the walk lands in are read one at a time. Bounds are the same either way.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 
 from ..errors import HistogramError
 from ..sources.relations import sample
-from ..storage import written
+from ..storage import stored, written
 from .buckets import bucket_of, literal_bounds
 
 HISTOGRAM_SCHEMA = "rel string, bucket int, lo long, hi long, cnt long"
-FINE = 64
 
 
 @dataclass(frozen=True)
@@ -80,100 +79,160 @@ def extremes(freq: DataFrame) -> DataFrame:
     return freq.groupBy("rel").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 
 
-def step_bounds(value: np.ndarray, freq: np.ndarray, k: int) -> np.ndarray:
+class Totals:
+    """Running totals of a relation's distinct values in order: upto(i) of the first i values, value(i) of the i-th from 0."""
+
+    def __init__(self, value: np.ndarray, freq: np.ndarray):
+        self.n, self.values = len(value), value
+        self.run = np.concatenate([[0], np.cumsum(freq, dtype=np.int64)])
+
+    def upto(self, i: int) -> int:
+        return int(self.run[i])
+
+    def value(self, i: int) -> int:
+        return int(self.values[i])
+
+    def find(self, load: float) -> int:
+        """The least i with upto(i) >= load; n + 1 if there is none."""
+        at = int(np.searchsorted(self.run, load, "left"))
+        return at if at <= self.n else self.n + 1
+
+
+class StoredTotals(Totals):
+    """The same of a relation that stays in the cluster: rows (value, place, upto) in blocks of which a few are held at a time."""
+
+    def __init__(self, rows: DataFrame, block: int, held: int = 8):
+        ends = sorted((r["block"], r["n"], r["upto"]) for r in rows.groupBy("block").agg(F.count("*").alias("n"), F.max("upto").alias("upto")).collect())
+        self.rows, self.block, self.held = rows, block, held
+        self.n, self.ends = sum(e[1] for e in ends), np.array([e[2] for e in ends], np.int64)
+        self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def part(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        if b not in self.read:
+            if len(self.read) >= self.held:
+                self.read.pop(next(iter(self.read)))
+            got = self.rows.where(F.col("block") == b).select("place", "value", "upto").toPandas().sort_values("place")
+            self.read[b] = got["value"].to_numpy(np.int64), got["upto"].to_numpy(np.int64)
+        return self.read[b]
+
+    def upto(self, i: int) -> int:
+        return 0 if i == 0 else int(self.part((i - 1) // self.block)[1][(i - 1) % self.block])
+
+    def value(self, i: int) -> int:
+        return int(self.part(i // self.block)[0][i % self.block])
+
+    def find(self, load: float) -> int:
+        if load <= 0:
+            return 0
+        b = int(np.searchsorted(self.ends, load, "left"))
+        if b == len(self.ends):
+            return self.n + 1
+        return b * self.block + int(np.searchsorted(self.part(b)[1], load, "left")) + 1
+
+
+def step_ends(run: Totals, k: int) -> list[int]:
     """Index of the last value of each of the first k - 1 buckets.
 
     A bucket closes when its load reaches the target; the last takes the rest.
     The target starts at total / k and goes down by one until the last bucket
     gets a value. Targets that would leave the walk as it is are passed over.
     """
-    n = len(value)
+    n = run.n
     if n < k:
         raise HistogramError(f"{n} distinct values can't fill {k} buckets")
-    run = np.concatenate([[0], np.cumsum(freq, dtype=np.int64)])
-    target = run[-1] / k
+    target = run.upto(n) / k
     while True:
-        ends, at, below = [], 0, 0
+        ends, at, base, below = [], 0, 0, 0
         while len(ends) < k - 1 and at < n:
-            end = int(np.searchsorted(run, run[at] + target, "left"))
-            end = max(end, at + 1)
+            end = max(run.find(base + target), at + 1)
             # the load just before the bucket closed: only a target down there changes the walk
-            below = max(below, run[min(end, n + 1) - 1] - run[at] if end <= n else run[n] - run[at])
+            below = max(below, run.upto(min(end, n + 1) - 1) - base)
             if end > n:
                 break
             ends.append(end - 1)
-            at = end
+            at, base = end, run.upto(end)
         if len(ends) == k - 1 and ends[-1] < n - 1 if k > 1 else True:
-            return np.array(ends, np.int64)
+            return ends
         if target <= 0:
             raise HistogramError("no target fills all buckets")
         target -= max(1, int(np.ceil(target - below)))
 
 
-def optimal_bounds(value: np.ndarray, freq: np.ndarray, k: int) -> np.ndarray:
-    """Bounds that a local search finds least squares of the loads with: one boundary is moved by one value as long as that lowers the sum."""
-    n = len(value)
+def optimal_ends(run: Totals, k: int) -> list[int]:
+    """Ends that a local search finds least squares of the loads with: one boundary is moved as long as that lowers the sum."""
+    n = run.n
     if n < k:
         raise HistogramError(f"{n} distinct values can't fill {k} buckets")
-    run = np.concatenate([[0], np.cumsum(freq, dtype=np.float64)])
-    ends = np.arange(k - 1)
-    cut = np.concatenate([[0], ends + 1, [n]])
+    cut = [*range(k), n]
     changed = True
     while changed:
         changed = False
         for i in range(1, k):
             # between two fixed neighbours the best cut is where the two loads are closest
             lo, hi = cut[i - 1] + 1, cut[i + 1] - 1
-            middle = (run[cut[i - 1]] + run[cut[i + 1]]) / 2
-            at = int(np.clip(np.searchsorted(run, middle), lo, hi))
-            best = min((x for x in (at - 1, at, at + 1) if lo <= x <= hi), key=lambda x: abs(run[x] - middle))
-            if abs(run[best] - middle) < abs(run[cut[i]] - middle):
+            middle = (run.upto(cut[i - 1]) + run.upto(cut[i + 1])) / 2
+            at = min(max(run.find(middle), lo), hi)
+            best = min((x for x in (at - 1, at, at + 1) if lo <= x <= hi), key=lambda x: abs(run.upto(x) - middle))
+            if abs(run.upto(best) - middle) < abs(run.upto(cut[i]) - middle):
                 cut[i], changed = best, True
-    return cut[1:-1] - 1
+    return [c - 1 for c in cut[1:-1]]
 
 
-POLICIES = {"step": step_bounds, "optimal": optimal_bounds}
+def step_bounds(value: np.ndarray, freq: np.ndarray, k: int) -> np.ndarray:
+    return np.array(step_ends(Totals(value, freq), k), np.int64)
+
+
+def optimal_bounds(value: np.ndarray, freq: np.ndarray, k: int) -> np.ndarray:
+    return np.array(optimal_ends(Totals(value, freq), k), np.int64)
+
+
+POLICIES = {"step": step_ends, "optimal": optimal_ends}
 
 
 def running_total(freq: DataFrame, parts: int | None = None) -> DataFrame:
-    """freq with `upto`, the sum of freq over smaller values of the relation, without one task seeing a whole relation."""
+    """freq with `upto`, the sum of freq over smaller values of the relation, and `place`, their number, without one task seeing a whole relation."""
     spark = freq.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = freq.repartitionByRange(n, "rel", "value").withColumn("part", F.spark_partition_id())
-    totals = placed.groupBy("rel", "part").agg(F.sum("freq").alias("own"))
-    before = totals.withColumn("base", F.coalesce(F.sum("own").over(Window.partitionBy("rel").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("rel", "part", "base")
-    inside = Window.partitionBy("rel", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("rel", "part").agg(F.sum("freq").alias("own"), F.count("*").alias("many"))
+    over = Window.partitionBy("rel").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("rel", "part", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(b) for c, b in (("own", "base"), ("many", "first"))])
+    by_value = Window.partitionBy("rel", "part").orderBy("value")
+    inside = by_value.rowsBetween(Window.unboundedPreceding, -1)
     # one row of totals per relation and part: of bounded size
-    return placed.join(F.broadcast(before), ["rel", "part"]).withColumn("upto", F.col("base") + F.coalesce(F.sum("freq").over(inside), F.lit(0))).drop("part", "base")
-
+    rows = placed.join(F.broadcast(before), ["rel", "part"])
+    rows = rows.withColumn("upto", F.col("base") + F.coalesce(F.sum("freq").over(inside), F.lit(0))).withColumn("place", F.col("first") + F.row_number().over(by_value) - 1)
+    return rows.drop("part", "base", "first")
 
-def condensed(freq: DataFrame, k: int) -> DataFrame:
-    """Runs of neighbouring values of at most 1/64 of a bucket each: rel, value (the last of the run), freq."""
-    total = freq.groupBy("rel").agg(F.sum("freq").alias("total"))
-    run = running_total(freq).join(F.broadcast(total), "rel")
-    block = F.floor(F.col("upto") * (k * FINE) / F.col("total"))
-    return run.groupBy("rel", block.alias("block")).agg(F.max("value").alias("value"), F.sum("freq").alias("freq")).drop("block")
 
+def boundaries(freq: DataFrame, k: int, *, policy: str = "step", limit: int = 2_000_000, block: int = 1 << 16) -> DataFrame:
+    """rel, bucket, lo, hi from a frequency table, at least two buckets.
 
-def boundaries(freq: DataFrame, k: int, *, policy: str = "step", limit: int = 2_000_000) -> DataFrame:
-    """rel, bucket, lo, hi from a frequency table, at least two buckets; each relation is one bounded group."""
+    Up to `limit` distinct values a relation is one group of a task; beyond, it is
+    walked by blocks of `block` values (StoredTotals).
+    """
     if k < 2:
         raise HistogramError("at least two buckets are needed")
     ends = extremes(freq)
-    if (freq.groupBy("rel").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > limit:
-        freq = condensed(freq, k)
     rule = POLICIES[policy]
 
+    def rows_of(rel: str, run: Totals, least: int, most: int) -> pd.DataFrame:
+        last = np.array([run.value(i) for i in rule(run, k)], np.int64)
+        return pd.DataFrame({"rel": rel, "bucket": np.arange(k, dtype=np.int32), "lo": np.concatenate([[least], last + 1]), "hi": np.append(last, most)})
+
+    schema = "rel string, bucket int, lo long, hi long"
+    if (freq.groupBy("rel").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > limit:
+        run = stored(running_total(freq).select("rel", "value", "place", (F.col("upto") + F.col("freq")).cast("long").alias("upto"), F.floor(F.col("place") / block).cast("long").alias("block")))
+        made = [rows_of(r["rel"], StoredTotals(run.where(F.col("rel") == r["rel"]), block), r["min_value"], r["max_value"]) for r in ends.collect()]
+        return freq.sparkSession.createDataFrame(pd.concat(made), schema)
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
-        value = pdf["value"].to_numpy(np.int64)
-        last = value[rule(value, pdf["freq"].to_numpy(np.int64), k)]
-        hi = np.append(last, pdf["max_value"].iloc[0])
-        lo = np.concatenate([[pdf["min_value"].iloc[0]], last + 1])
-        return pd.DataFrame({"rel": pdf["rel"].iloc[0], "bucket": np.arange(k, dtype=np.int32), "lo": lo, "hi": hi})
+        run = Totals(pdf["value"].to_numpy(np.int64), pdf["freq"].to_numpy(np.int64))
+        return rows_of(pdf["rel"].iloc[0], run, pdf["min_value"].iloc[0], pdf["max_value"].iloc[0])
 
     grouped = freq.select("rel", "value", "freq").join(F.broadcast(ends), "rel").groupBy("rel")
-    return grouped.applyInPandas(one, "rel string, bucket int, lo long, hi long")
+    return grouped.applyInPandas(one, schema)
 
 
 def ntile_boundaries(freq: DataFrame, k: int) -> DataFrame:

@@ -3,7 +3,14 @@
 A row is sent to every partition that has its bucket; rows of buckets without
 candidate cells are left out before the shuffle. A pair of buckets belongs to one
 cell and a cell to one partition, so each pair of rows is joined once, also where
-the rows and columns of a free-form partition enclose cells of others.
+the rows and columns of a free-form partition enclose cells of others. Within a
+partition and cell, a value of S probes the range of T that a band gives it: the
+cells of the band's width are in the join key (bandjoin.grid_pairs), so the work
+follows the output and not the product of two buckets. Only bands with an open end,
+which hold a fixed share of such a product, compare all pairs of a cell.
+
+Tables of the plan are broadcast: at most buckets * buckets rows, so a plan may have
+MOST_BUCKETS buckets a side.
 """
 
 from __future__ import annotations
@@ -11,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import JoinError
 from ..functions.bands import BandQuery
-from .bandjoin import frequency
+from .bandjoin import MOST_BUCKETS, by_width, frequency, grid_pairs, union_all
 from .buckets import bucket_of, literal_bounds
 
 
@@ -26,7 +34,10 @@ def routing_table(assignment: DataFrame) -> DataFrame:
 def routed(values: DataFrame, rel: str, histogram: DataFrame, routing: DataFrame) -> DataFrame:
     """value, freq, bucket, partition_id: compressed rows, once for each partition that needs them."""
     own = routing.where(F.col("rel") == rel).select("bucket", "partition_ids")
-    placed = values.withColumn("bucket", bucket_of(F.col("value"), literal_bounds(histogram, rel)))
+    bounds = literal_bounds(histogram, rel)
+    if len(bounds) > MOST_BUCKETS:
+        raise JoinError(f"a plan may have {MOST_BUCKETS} buckets a side, not {len(bounds)}")
+    placed = values.withColumn("bucket", bucket_of(F.col("value"), bounds))
     return placed.join(F.broadcast(own), "bucket").select("value", "freq", "bucket", F.explode("partition_ids").alias("partition_id"))
 
 
@@ -42,12 +53,16 @@ def partitioned_join(s: DataFrame, t: DataFrame, query: BandQuery | str, histogr
     b = routed(t, "T", histogram, routing).select("partition_id", F.col("bucket").alias("t_bucket"), F.col("value").alias("t"), F.col("freq").alias("t_freq"))
     # own cells only, known before the rows meet
     a = a.join(F.broadcast(assignment.select("partition_id", "s_bucket", "t_bucket")), ["partition_id", "s_bucket"])
-    pairs = a.join(b, ["partition_id", "t_bucket"])
+    keys, merged = ("partition_id", "t_bucket"), q.merged()
+    parts = [grid_pairs(a, b, "s", "t", g, also=keys) for g in by_width(merged.closed())]
+    if opened := merged.opened():
+        parts.append(a.join(b, list(keys)).where(BandQuery(opened).holds(F.col("s"), F.col("t"))))
+    pairs = union_all([p.select("partition_id", "s", "s_freq", "t", "t_freq") for p in parts])
     product = (F.col("s_freq") * F.col("t_freq")).alias("mult")
     if mode == "per_band":
         hits = F.array(*[F.when(x.holds(F.col("s"), F.col("t")), F.lit(i)) for i, x in enumerate(q.bands)])
-        return pairs.where(q.holds(F.col("s"), F.col("t"))).select("partition_id", F.explode(F.array_compact(hits)).alias("band_id"), "s", "t", product)
-    return pairs.where(q.holds(F.col("s"), F.col("t"))).select("partition_id", "s", "t", product)
+        return pairs.select("partition_id", F.explode(F.array_compact(hits)).alias("band_id"), "s", "t", product)
+    return pairs.select("partition_id", "s", "t", product)
 
 
 def counters(s: DataFrame, t: DataFrame, query: BandQuery | str, histogram: DataFrame, assignment: DataFrame, *, counted: bool = False) -> DataFrame:

@@ -59,16 +59,28 @@ def bond_energy_order(bond: np.ndarray) -> np.ndarray:
     return np.array(placed)
 
 
-def pearson_distances(m: np.ndarray, top: int = 999) -> np.ndarray:
-    """round(5000 - 5000 r) between rows of the matrix scaled to 0..top; r is 0 where the covariance is below 1e-5."""
+#: A value from here on stands for one that is missing.
+MISSING = 1000
+
+
+def pearson_distances(m: np.ndarray, top: int | None = 999) -> np.ndarray:
+    """round(5000 - 5000 r) between rows of the matrix scaled to 0..top (None: as it is).
+
+    Two rows are compared where neither has a missing value (MISSING or more, which
+    a scaled matrix has not); r is 0 without such places and where the covariance is
+    below 1e-5.
+    """
     x = m.astype(np.float64)
     high = x.max(initial=0)
-    x = np.floor(x * top / high) if high else x
-    d = x - x.mean(1, keepdims=True)
-    cov = d @ d.T / x.shape[1]
-    spread = np.sqrt(np.diag(cov))
+    x = np.floor(x * top / high) if high and top is not None else x
+    known = (x < MISSING).astype(np.float64)
+    x = x * known
+    n = known @ known.T
+    one, two = x @ known.T, (x * x) @ known.T
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.where(np.abs(cov) < 1e-5, 0.0, cov / (spread[:, None] * spread[None, :]))
+        cov = (x @ x.T - one * one.T / n) / n
+        var = (two - one * one / n) / n
+        r = np.where((n == 0) | ~(np.abs(cov) >= 1e-5), 0.0, cov / np.sqrt(var * var.T))
     return np.floor(5000 - 5000 * np.clip(r, -1, 1) + 0.5).astype(np.int64)
 
 
@@ -106,8 +118,8 @@ def tour(distance: np.ndarray, dummies: int) -> np.ndarray:
         here = np.array(sorted(left))
         path.append(int(here[far[path[-1], here].argmin()]))
         left.discard(path[-1])
-    p = np.array(path)
-    for _ in range(50):
+    p, better = np.array(path), True
+    while better:  # every turn shortens the tour, so it ends
         better = False
         for i in range(1, size - 1):
             a, b = p[i - 1], p[i]
@@ -118,8 +130,6 @@ def tour(distance: np.ndarray, dummies: int) -> np.ndarray:
             if gain[j] > 1e-9:
                 p[i : i + 2 + j] = p[i : i + 2 + j][::-1].copy()
                 better = True
-        if not better:
-            break
     return p
 
 

@@ -12,6 +12,8 @@ import json
 import time
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+from threading import Lock
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -78,12 +80,29 @@ def run_plans(configs: DataFrame, s: Histogram, t: Histogram, done: DataFrame |
     return as_text.groupBy("config_id").applyInPandas(one, RESULT_SCHEMA)
 
 
-def run_jobs(params: Iterable[Mapping[str, str]], job: Callable[[Mapping[str, str]], object], threads: int = 4) -> list[tuple[Mapping[str, str], str, str | None]]:
-    """Run Spark jobs of several configurations side by side on the driver's threads: (params, status, error)."""
+def job_line(params: Mapping[str, str]) -> str:
+    """Parameters as a line of a parameter file."""
+    return "\t".join(f"{k}={v}" for k, v in sorted(params.items()))
+
+
+def run_jobs(params: Iterable[Mapping[str, str]], job: Callable[[Mapping[str, str]], object], threads: int = 4, log: str | None = None) -> list[tuple[Mapping[str, str], str, str | None]]:
+    """Run Spark jobs of several configurations side by side on the driver's threads: (params, status, error).
+
+    log: a file of the driver with the lines that have succeeded; these are left
+    out ("done"), and further ones are added as they end.
+    """
+    lock, done = Lock(), set()
+    if log is not None and Path(log).exists():
+        done = set(Path(log).read_text().splitlines())
 
     def one(p: Mapping[str, str]) -> tuple[Mapping[str, str], str, str | None]:
+        if job_line(p) in done:
+            return p, "done", None
         try:
             job(p)
+            if log is not None:
+                with lock, Path(log).open("a") as f:
+                    f.write(job_line(p) + "\n")
             return p, "ok", None
         except Exception as e:  # the error is the result of this configuration
             return p, "failed", f"{type(e).__name__}: {e}"

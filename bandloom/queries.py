@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics as M
@@ -17,8 +17,9 @@ from .operators import routing as R
 from .plans import assignment as A
 from .plans import merge, search, seriation, sweep, virtual
 from .plans.plan import Plan
-from .sources import charts, generators
+from .sources import artefacts, charts, generators
 from .sources import relations as rel
+from .storage import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,9 +245,18 @@ def histogram_totals_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("rel").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("buckets"))
 
 
-@query("histogram_optimal", f"SELECT rel, CAST(sum(n) AS BIGINT) AS cnt FROM ({_BOTH_SHIP}) GROUP BY rel")
+@query("histogram_optimal", f"SELECT rel, CAST(sum(n) AS BIGINT) AS cnt, min(v) AS lo, max(v) AS hi, CAST(10 AS BIGINT) AS buckets, CAST(0 AS BIGINT) AS moves_that_help FROM ({_BOTH_SHIP}) GROUP BY rel")
 def histogram_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.create_histograms(both_of(spark, sf_dir, "ship_order"), 10, policy="optimal").groupBy("rel").agg(F.sum("cnt").alias("cnt"))
+    """No boundary may be such that the sum of squared loads falls when one value goes to the next bucket or comes from it."""
+    freq = written(H.frequencies(both_of(spark, sf_dir, "ship_order")))
+    h = written(H.create_histograms(both_of(spark, sf_dir, "ship_order"), 10, policy="optimal", freq=freq))
+    at = freq.withColumnRenamed("rel", "r").join(F.broadcast(h), (F.col("r") == F.col("rel")) & F.col("value").between(F.col("lo"), F.col("hi")))
+    ends = at.groupBy("rel", "bucket", "lo", "hi", "cnt").agg(F.min_by("freq", "value").alias("first"), F.max_by("freq", "value").alias("last"))
+    w = Window.partitionBy("rel").orderBy("bucket")
+    gap = F.col("cnt") - F.lead("cnt").over(w)
+    helps = ((gap > F.col("last")) | (-gap > F.lead("first").over(w))).cast("long")
+    rows = ends.withColumn("helps", F.coalesce(helps, F.lit(0)))
+    return rows.groupBy("rel").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("buckets"), F.sum("helps").alias("moves_that_help"))
 
 
 _SHARE = f"SELECT rel, v, n, least(CAST(floor(coalesce(sum(n) OVER (PARTITION BY rel ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 10 / CAST(sum(n) OVER (PARTITION BY rel) AS DOUBLE)) AS INTEGER), 9) AS b FROM ({_BOTH_SHIP})"
@@ -279,14 +289,24 @@ def candidate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.candidate_cells(H.frame(spark, g.s, g.t), "[-1|1]_[40|45]")
 
 
-@query("cell_weights", _cells_sql("[-1|1]_[40|45]") + " SELECT s_bucket, t_bucket, weight FROM c")
+def ship_grid(spark: SparkSession, sf_dir: str) -> G.Grid:
+    """The grid of shipping and order days in ten buckets each, with the counts of the table."""
+    return Plan.of(both_of(spark, sf_dir, "ship_order"), _BANDS, buckets=10).grid
+
+
+def _ship_cells_sql() -> str:
+    fits = " OR ".join(f"(t.lo + {b.lo} <= s.hi AND s.lo <= t.hi + {b.hi})" for b in BandQuery.of(_BANDS).bands)
+    return f"{_steps_sql(10)}, c AS (SELECT s.bucket AS s_bucket, t.bucket AS t_bucket, s.cnt + t.cnt AS weight, s.cnt AS cs, t.cnt AS ct FROM h s JOIN h t ON s.rel = 'S' AND t.rel = 'T' AND ({fits}))"
+
+
+@query("cell_weights", _ship_cells_sql() + " SELECT s_bucket, t_bucket, weight FROM c")
 def cell_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ten(spark, "[-1|1]_[40|45]").frame(spark)
+    return ship_grid(spark, sf_dir).frame(spark)
 
 
-@query("cell_output_cost", _cells_sql("[-1|1]") + " SELECT count(*) AS cells, CAST(sum(cs * ct) AS BIGINT) AS output_cost FROM c")
+@query("cell_output_cost", _ship_cells_sql() + " SELECT count(*) AS cells, CAST(sum(cs * ct) AS BIGINT) AS output_cost FROM c")
 def cell_output_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = ten(spark, "[-1|1]")
+    g = ship_grid(spark, sf_dir)
     return spark.createDataFrame([(g.candidate_cells, g.output_cost)], "cells long, output_cost long")
 
 
@@ -297,14 +317,19 @@ def brute_force_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.exact_cells(freq, H.frame(spark, g.s, g.t), "[-1|1]_[40|45]")
 
 
-@query("matrix_dense_roundtrip", _cells_sql("[-1|1]") + " SELECT s_bucket, t_bucket, weight FROM c")
+@query("matrix_dense_roundtrip", _ship_cells_sql() + " SELECT s_bucket, t_bucket, weight FROM c")
 def matrix_dense_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.sparse(G.dense(ten(spark, "[-1|1]").frame(spark), 10, 10))
+    return G.sparse(G.dense(ship_grid(spark, sf_dir).frame(spark), 10, 10))
 
 
-@query("matrix_normalized", _cells_sql("[-1|1]") + " SELECT s_bucket, t_bucket, CAST(999 AS BIGINT) AS weight FROM c")
+@query("matrix_normalized", _ship_cells_sql() + " SELECT s_bucket, t_bucket, CAST(weight * 999 // (SELECT max(weight) FROM c) AS BIGINT) AS weight FROM c")
 def matrix_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.normalized(ten(spark, "[-1|1]").frame(spark))
+    return G.normalized(ship_grid(spark, sf_dir).frame(spark))
+
+
+@query("matrix_transposed", _ship_cells_sql() + " SELECT t_bucket AS s_bucket, s_bucket AS t_bucket, weight FROM c")
+def matrix_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ship_grid(spark, sf_dir).transposed().frame(spark)
 
 
 @query("matrix_permuted", _cells_sql("[-1|1]") + " SELECT s_bucket, t_bucket, weight, CAST(9 - s_bucket AS INTEGER) AS s_pos, t_bucket AS t_pos FROM c")
@@ -313,9 +338,18 @@ def matrix_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.permuted_cells(ten(spark, "[-1|1]").frame(spark), order)
 
 
-@query("virtual_matrix")
+#: The second and third draw of the generator with seed 0.
+_DRAWS = "0.24053641567148587 AS u, 0.6374174253501083 AS v"
+
+
+@query(
+    "virtual_matrix",
+    f"""WITH d AS (SELECT CAST(floor(25 + (u - 0.5) * 25) AS INTEGER) AS r, CAST(floor(25 + (v - 0.5) * 25) AS INTEGER) AS q FROM (SELECT {_DRAWS})),
+    w AS (SELECT r + i AS s, i AS t FROM d, generate_series(0, 49) x(i) UNION ALL SELECT i, q + i FROM d, generate_series(0, 49) x(i))
+    SELECT DISTINCT CAST(s AS INTEGER) AS s_bucket, CAST(greatest(t - 1, 0) + k AS INTEGER) AS t_bucket, CAST(2 AS BIGINT) AS weight FROM w, generate_series(0, 2) y(k) WHERE s < 50 AND t < 50 AND greatest(t - 1, 0) + k < 50 AND greatest(t - 1, 0) + k < t + 2""",
+)
 def virtual_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return virtual.virtual_grid(50, 5, 3, 0, "randomstep").frame(spark)
+    return virtual.virtual_grid(50, 2, 3, 0, "normalstep").frame(spark)
 
 
 @query("chart_points", _cells_sql("[-1|1]") + " SELECT CAST(t_bucket AS DOUBLE) AS x, CAST(-s_bucket AS DOUBLE) AS y, 'candidate' AS series FROM c")
@@ -328,91 +362,128 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WIDE = "[-1|1]"
 
 
-def _made(spark: SparkSession, policy: str) -> A.Assignment:
+def _made(spark: SparkSession, sf_dir: str, policy: str) -> A.Assignment:
     limit = merge.MAX_CELLS if policy == "EPCC" else merge.MAX_INPUT
-    return search.make(ten(spark, _WIDE), 5, policy, limit=limit)
+    return search.make(ship_grid(spark, sf_dir), 5, policy, limit=limit)
 
 
 for _p in POLICIES:
 
     def _cover(spark: SparkSession, sf_dir: str, policy: str = _p) -> DataFrame:
-        return _made(spark, policy).frame(spark).select("s_bucket", "t_bucket")
+        return _made(spark, sf_dir, policy).frame(spark).select("s_bucket", "t_bucket")
 
     def _limits(spark: SparkSession, sf_dir: str, policy: str = _p) -> DataFrame:
-        a = _made(spark, policy)
+        a = _made(spark, sf_dir, policy)
         over = search.coverage(a, merge.MAX_CELLS if policy == "EPCC" else merge.MAX_INPUT)["over_cap"]
         cells = a.frame(spark)
         twice = cells.groupBy("s_bucket", "t_bucket").count().where("count > 1").agg(F.count("*").alias("overlaps"))
         return twice.select("overlaps", F.lit(over).cast("long").alias("over_cap"), F.lit(max(0, a.partitions - 5)).cast("long").alias("partitions_too_many"))
 
-    query(f"partition_coverage_{_p.lower()}", _cells_sql(_WIDE) + " SELECT s_bucket, t_bucket FROM c")(_cover)
+    query(f"partition_coverage_{_p.lower()}", _ship_cells_sql() + " SELECT s_bucket, t_bucket FROM c")(_cover)
     query(f"partition_limits_{_p.lower()}", "SELECT CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS over_cap, CAST(0 AS BIGINT) AS partitions_too_many")(_limits)
 
 
-@query("routing_confusion_fn", _cells_sql(_WIDE) + " SELECT count(*) AS tp, CAST(0 AS BIGINT) AS fn FROM c")
+@query("routing_confusion_fn", _ship_cells_sql() + " SELECT count(*) AS tp, CAST(0 AS BIGINT) AS fn, 100 - count(*) AS others FROM c")
 def routing_confusion_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _made(spark, "MBI")
-    return R.confusion(a.grid.frame(spark), R.routing_table(a.frame(spark)), 10, 10).select("tp", "fn")
+    a = _made(spark, sf_dir, "MBI")
+    return R.confusion(a.grid.frame(spark), R.routing_table(a.frame(spark)), 10, 10).select("tp", "fn", (F.col("tn") + F.col("fp")).alias("others"))
 
 
-#: A fixed assignment: two buckets of the diagonal to a partition.
-_FIXED = "p AS (SELECT b // 2 AS partition_id, b AS s_bucket, b AS t_bucket FROM h)"
+#: Ten buckets a side with unequal counts, and the candidate cells of a query dealt to four partitions by their numbers.
+_DEALT = (
+    "WITH h AS (SELECT b, 10 * b + 1 AS lo, 10 * b + 10 AS hi, b * b + 3 AS cs, (7 * b) % 11 + 1 AS ct FROM generate_series(0, 9) x(b)), "
+    "p AS (SELECT (3 * s.b + t.b * t.b) % 4 AS partition_id, s.b AS s_bucket, t.b AS t_bucket, s.cs, t.ct FROM h s JOIN h t ON (t.lo - 1 <= s.hi AND s.lo <= t.hi + 1) OR (t.lo + 40 <= s.hi AND s.lo <= t.hi + 45))"
+)
 
 
-def _fixed(spark: SparkSession) -> DataFrame:
-    return spark.range(10).select(F.floor(F.col("id") / 2).cast("int").alias("partition_id"), F.col("id").cast("int").alias("s_bucket"), F.col("id").cast("int").alias("t_bucket"))
+def _dealt(spark: SparkSession) -> A.Assignment:
+    at = np.arange(10)
+    s = H.Histogram(10 * at + 1, 10 * at + 10, at * at + 3)
+    t = H.Histogram(10 * at + 1, 10 * at + 10, (7 * at) % 11 + 1)
+    g = G.Grid.of(s, t, "[-1|1]_[40|45]")
+    return A.Assignment(g, np.where(g.possible, (3 * at[:, None] + at[None, :] ** 2) % 4, -1))
 
 
-@query("routing_table", f"{_TEN}, {_FIXED} SELECT 'S' AS rel, CAST(s_bucket AS INTEGER) AS bucket, CAST(partition_id AS VARCHAR) AS partition_ids FROM p UNION ALL SELECT 'T', CAST(t_bucket AS INTEGER), CAST(partition_id AS VARCHAR) FROM p")
+@query("routing_table", f"{_DEALT} SELECT rel, CAST(b AS INTEGER) AS bucket, string_agg(CAST(partition_id AS VARCHAR), ',' ORDER BY partition_id) AS partition_ids FROM (SELECT DISTINCT 'S' AS rel, s_bucket AS b, partition_id FROM p UNION SELECT DISTINCT 'T', t_bucket, partition_id FROM p) GROUP BY rel, b")
 def routing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.routing_table(_fixed(spark)).select("rel", "bucket", F.array_join(F.transform("partition_ids", lambda x: x.cast("string")), ",").alias("partition_ids"))
+    return R.routing_table(_dealt(spark).frame(spark)).select("rel", "bucket", F.array_join(F.transform("partition_ids", lambda x: x.cast("string")), ",").alias("partition_ids"))
 
 
-_COSTS = f"{_TEN}, {_FIXED}, k AS (SELECT partition_id, CAST(20 * count(*) AS DOUBLE) AS ic, CAST(count(*) AS DOUBLE) AS cc, CAST(2 * count(*) AS DOUBLE) AS b, CAST(10 * count(*) AS DOUBLE) AS sic, CAST(count(*) AS DOUBLE) AS sb FROM p GROUP BY partition_id)"
+_COSTS = (
+    f"{_DEALT}, s AS (SELECT partition_id, sum(cs) AS ic, count(*) AS n FROM (SELECT DISTINCT partition_id, s_bucket, cs FROM p) GROUP BY 1), "
+    "t AS (SELECT partition_id, sum(ct) AS ic, count(*) AS n FROM (SELECT DISTINCT partition_id, t_bucket, ct FROM p) GROUP BY 1), "
+    "o AS (SELECT partition_id, sum(cs) AS ic, count(*) AS n FROM (SELECT DISTINCT partition_id, s_bucket AS b FROM p UNION SELECT DISTINCT partition_id, t_bucket FROM p) JOIN h USING (b) GROUP BY 1), "
+    "k AS (SELECT partition_id, CAST(any_value(s.ic) + any_value(t.ic) AS DOUBLE) AS ic, CAST(count(*) AS DOUBLE) AS cc, CAST(any_value(s.n) + any_value(t.n) AS DOUBLE) AS b, CAST(any_value(o.ic) AS DOUBLE) AS sic, CAST(any_value(o.n) AS DOUBLE) AS sb, sum(cs * ct) AS oc FROM p JOIN s USING (partition_id) JOIN t USING (partition_id) JOIN o USING (partition_id) GROUP BY partition_id)"
+)
 
 
-def _metrics_sql(prefix: str, ic: str, b: str, size: int, buckets: int) -> str:
+def _metrics_sql(prefix: str, ic: str, b: str, size: str, buckets: int) -> str:
     parts = []
     for name, x in (("IC", ic), ("CC", "cc"), ("B", b), ("BdivCC", f"{b} / cc")):
         made = {"max": f"max({x})", "min": f"min({x})", "mean": f"avg({x})", "median": f"median({x})", "stdev": f"var_pop({x})", "stddev": f"stddev_pop({x})", "imb": f"max({x}) / avg({x})"}
-        parts += [f"{e} AS {prefix}{k}{name}" for k, e in made.items()]
-    return f"{_COSTS} SELECT {', '.join(parts)}, sum({ic}) / {size} AS {prefix}repIC, sum({b}) / {buckets} AS {prefix}repB FROM k"
+        # rounded, as sums of doubles may be taken in another order
+        parts += [f"round({e}, 9) AS {prefix}{k}{name}" for k, e in made.items()]
+    return f"{_COSTS} SELECT {', '.join(parts)}, round(sum({ic}) / (SELECT {size} FROM h), 9) AS {prefix}repIC, round(sum({b}) / {buckets}, 9) AS {prefix}repB FROM k"
 
 
-for _prefix, _args in {"BJ": ("ic", "b", 200, 20), "SJ": ("sic", "sb", 100, 10)}.items():
+for _prefix, _args in {"BJ": ("ic", "b", "sum(cs + ct)", 20), "SJ": ("sic", "sb", "sum(cs)", 10)}.items():
 
     def _measure(spark: SparkSession, sf_dir: str, prefix: str = _prefix) -> DataFrame:
-        g = ten(spark, "[0|0]")
-        row = M.metric_row(M.cost_table(_fixed(spark), H.frame(spark, g.s, g.t)), 100, 100, 10, 10)
-        return row.select(*[c for c in row.columns if c.startswith(prefix)])
+        a = _dealt(spark)
+        row = M.metric_row(M.cost_table(a.frame(spark), H.frame(spark, a.grid.s, a.grid.t)), a.grid.s.size, a.grid.t.size, 10, 10)
+        return row.select(*[F.round(c, 9).alias(c) for c in row.columns if c.startswith(prefix)])
 
     query(f"metrics_{_prefix.lower()}", _metrics_sql(_prefix, *_args))(_measure)
 
 
-@query("partition_costs", f"{_COSTS} SELECT CAST(partition_id AS INTEGER) AS partition_id, CAST(ic AS BIGINT) AS input_cost, CAST(cc * 100 AS BIGINT) AS output_cost, CAST(cc AS BIGINT) AS cells, CAST(b AS BIGINT) AS buckets, CAST(sic AS BIGINT) AS self_input_cost, CAST(sb AS BIGINT) AS self_buckets FROM k")
+_PLANNED_COSTS = "CAST(partition_id AS INTEGER) AS partition_id, CAST(ic AS BIGINT) AS input_cost, CAST(oc AS BIGINT) AS output_cost, CAST(cc AS BIGINT) AS cells, CAST(b AS BIGINT) AS buckets, CAST(sic AS BIGINT) AS self_input_cost, CAST(sb AS BIGINT) AS self_buckets"
+
+
+@query("partition_costs", f"{_COSTS} SELECT {_PLANNED_COSTS} FROM k")
 def partition_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = ten(spark, "[0|0]")
-    return M.cost_table(_fixed(spark), H.frame(spark, g.s, g.t)).withColumn("output_cost", F.col("output_cost").cast("long"))
+    a = _dealt(spark)
+    return M.cost_table(a.frame(spark), H.frame(spark, a.grid.s, a.grid.t)).withColumn("output_cost", F.col("output_cost").cast("long"))
+
+
+@query("partition_costs_planned", f"{_COSTS} SELECT {_PLANNED_COSTS} FROM k")
+def partition_costs_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_dealt(spark).costs()).select(*[F.col(c).cast("int" if c == "partition_id" else "long").alias(c) for c in ("partition_id", "input_cost", "output_cost", "cells", "buckets", "self_input_cost", "self_buckets")])
 
 
-@query("replication_rate", "SELECT CAST(1.0 AS DOUBLE) AS replication_rate")
+@query("replication_rate", f"{_COSTS} SELECT sum(ic) / (SELECT sum(cs + ct) FROM h) AS replication_rate FROM k")
 def replication_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = ten(spark, "[0|0]")
-    return M.replication_rate(M.cost_table(_fixed(spark), H.frame(spark, g.s, g.t)), 100, 100)
+    a = _dealt(spark)
+    return M.replication_rate(M.cost_table(a.frame(spark), H.frame(spark, a.grid.s, a.grid.t)), a.grid.s.size, a.grid.t.size)
 
 
-@query("partition_distances", "SELECT CAST(a AS INTEGER) AS p1, CAST(b AS INTEGER) AS p2, CAST(1.0 AS DOUBLE) AS distance FROM generate_series(0, 4) x(a) JOIN generate_series(0, 4) y(b) ON a < b")
+@query(
+    "partition_distances",
+    f"""{_DEALT}, e AS (SELECT DISTINCT partition_id AS p, 'S' AS rel, s_bucket AS b FROM p UNION SELECT DISTINCT partition_id, 'T', t_bucket FROM p), n AS (SELECT p, count(*) AS n FROM e GROUP BY p),
+    i AS (SELECT x.p AS a, y.p AS b, count(*) AS shared FROM e x JOIN e y ON x.rel = y.rel AND x.b = y.b AND x.p < y.p GROUP BY 1, 2)
+    SELECT CAST(x.p AS INTEGER) AS p1, CAST(y.p AS INTEGER) AS p2, 1 - coalesce(shared, 0) / CAST(x.n + y.n - coalesce(shared, 0) AS DOUBLE) AS distance FROM n x JOIN n y ON x.p < y.p LEFT JOIN i ON i.a = x.p AND i.b = y.p""",
+)
 def partition_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.partition_distances(_fixed(spark))
+    return R.partition_distances(_dealt(spark).frame(spark))
 
 
-@query("range_search_scores")
+#: On the diagonal of ten equal cells a cap of c takes f = c / 20 cells, so M-Bucket-I gives 10 / f partitions, rounded up.
+@query(
+    "range_search_scores",
+    """WITH x AS (SELECT CAST(80 - 3 * i AS BIGINT) AS cap FROM generate_series(0, 9) g(i) UNION ALL SELECT 40), y AS (SELECT cap, cap // 20 AS f FROM x)
+    SELECT cap, CAST(ceil(10.0 / f) AS INTEGER) AS partitions, CAST(1 AS DOUBLE) AS BJrepIC, CAST(20 * f AS DOUBLE) AS BJmaxIC, CAST(f AS DOUBLE) AS BJmaxCC, round(0.4 + 0.6 * f / (SELECT max(f) FROM y), 9) AS score FROM y""",
+)
 def range_search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, _ = search.range_search(spark, ten(spark, _WIDE), 5, "MBI", {"BJrepIC": 0.4, "BJmaxIC": 0.3, "BJmaxCC": 0.3})
-    return ranked.select("cap", "partitions", "BJrepIC", "BJmaxIC", "BJmaxCC", "score")
+    ranked, _ = search.range_search(spark, ten(spark, "[0|0]"), 5, "MBI", {"BJrepIC": 0.4, "BJmaxIC": 0.3, "BJmaxCC": 0.3})
+    return ranked.select("cap", "partitions", "BJrepIC", "BJmaxIC", "BJmaxCC", F.round("score", 9).alias("score"))
 
 
-@query("sweep_results")
+#: The random queries of the sweep, which the query random_query checks; candidate cells follow from them.
+@query(
+    "sweep_results",
+    f"""{_TEN}, q AS (SELECT * FROM (VALUES (0, -51, -50), (1, -21, -20), (2, -71, -70), (2, 51, 70), (3, -61, -60), (3, 11, 30)) x(i, a, z)),
+    c AS (SELECT i, count(*) AS cells FROM (SELECT DISTINCT i, s.b, t.b AS tb FROM h s, h t, q WHERE t.lo + a <= s.hi AND s.lo <= t.hi + z) GROUP BY i)
+    SELECT CAST(4 * i + k AS INTEGER) AS config_id, 'ok' AS status, CAST(cells AS DOUBLE) AS cells FROM c, generate_series(0, 3) y(k)""",
+)
 def sweep_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ten(spark, _WIDE)
     configs = sweep.configurations(spark, bands=[1, 2], bandsOffsetSeed=[0, 1], numPartitions=[3, 5], partitioningPolicy=["MBI", "AICPM"])
@@ -426,15 +497,23 @@ def sweep_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # orders
 
+def _fives(spark: SparkSession) -> G.Grid:
+    """Ten rows and columns of five kinds, like ones far from each other."""
+    g, at = ten(spark, _WIDE), np.arange(10)
+    return G.Grid.of(g.s, g.t, possible=at[:, None] % 5 == at[None, :] % 5)
+
+
 for _o in ORDERS:
 
     def _order(spark: SparkSession, sf_dir: str, policy: str = _o) -> DataFrame:
-        g = ten(spark, "[-1|1]_[40|45]")
-        rows, cols = seriation.orders(g, policy, **({"dummies": 2} if policy.startswith("TSP") else {}))
-        return seriation.order_frame(spark, rows, cols).groupBy("axis").agg(F.count("*").alias("n"), F.count_distinct("bucket").alias("buckets"), F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+        """An order is right if it brings all five pairs of like rows together; the given one has none together."""
+        rows, cols = seriation.orders(_fives(spark), policy, **({"dummies": 2} if policy.startswith("TSP") else {}))
+        order = seriation.order_frame(spark, rows, cols)
+        pairs = (F.col("bucket") % 5 == F.lag("bucket").over(Window.partitionBy("axis").orderBy("pos")) % 5).cast("long")
+        return order.withColumn("like", pairs).groupBy("axis").agg(F.count("*").alias("n"), F.count_distinct("bucket").alias("buckets"), F.min("bucket").alias("low"), F.max("bucket").alias("high"), F.sum("like").alias("pairs"))
 
     _axes = "('rows')" if _o == "TSPk" else "('rows'), ('columns')"
-    query(f"order_{_o.lower()}", f"SELECT axis, CAST(10 AS BIGINT) AS n, CAST(10 AS BIGINT) AS buckets, CAST(0 AS INTEGER) AS low, CAST(9 AS INTEGER) AS high FROM (VALUES {_axes}) x(axis)")(_order)
+    query(f"order_{_o.lower()}", f"SELECT axis, CAST(10 AS BIGINT) AS n, CAST(10 AS BIGINT) AS buckets, CAST(0 AS INTEGER) AS low, CAST(9 AS INTEGER) AS high, CAST(5 AS BIGINT) AS pairs FROM (VALUES {_axes}) x(axis)")(_order)
 
 
 @query(
@@ -454,13 +533,71 @@ def gen_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.generate_range(spark, 1, 100, 3)
 
 
+#: Mean and standard deviation of the draws from 1 to 1000, by the distributions' definitions.
+_MOMENTS = {"UNIFORM": (500.0, 288.4), "GAUSSIAN": (500.0, 165.5), "ZIPF": (250.3, 193.5)}
+
 for _name in generators.DISTRIBUTIONS:
 
     def _gen(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
-        d = generators.generate_distribution(spark, 1, 1000, 5000, 3000, name, 7)
-        return d.groupBy("rel").agg(F.count("*").alias("n"), F.count_if((F.col("value") < 1) | (F.col("value") > 1000)).alias("outside"))
+        mean, spread = _MOMENTS[name]
+        d = generators.generate_distribution(spark, 1, 1000, 50_000, 30_000, name, 7)
+        near = lambda x, y: (F.abs(x - y) < 5).alias(f"right_{'mean' if y == mean else 'spread'}")  # noqa: B023, E731
+        return d.groupBy("rel").agg(F.count("*").alias("n"), F.count_if((F.col("value") < 1) | (F.col("value") > 1000)).alias("outside"), near(F.avg("value"), mean), near(F.stddev_pop("value"), spread))
+
+    query(f"gen_{_name.lower()}", "SELECT *, true AS right_mean, true AS right_spread FROM (VALUES ('S', CAST(50000 AS BIGINT), CAST(0 AS BIGINT)), ('T', CAST(30000 AS BIGINT), CAST(0 AS BIGINT))) x(rel, n, outside)")(_gen)
+
+
+# files: written to the shared folder and read back
+
+
+def _through(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    path = shared_folder(spark, "files")
+    write(path)
+    return read(path)
+
+
+def _ship_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.create_histograms(both_of(spark, sf_dir, "ship_order"), 10)
+
+
+@query("file_tagged", f"SELECT rel, v AS value, n FROM ({_BOTH_SHIP})")
+def file_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = both_of(spark, sf_dir, "ship_order")
+    return _through(spark, lambda p: rel.write_tagged(both, p), lambda p: rel.read_tagged(spark, p)).groupBy("rel", "value").agg(F.count("*").alias("n"))
+
+
+@query("file_boundaries", _steps_sql(10) + " SELECT rel, bucket, lo, hi FROM h")
+def file_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, lambda p: artefacts.write_boundaries(_ship_histogram(spark, sf_dir), p), lambda p: artefacts.read_boundaries(spark, p)).select("rel", "bucket", "lo", "hi")
+
+
+@query("file_counts", _steps_sql(10) + " SELECT rel, bucket, cnt FROM h")
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, lambda p: artefacts.write_counts(_ship_histogram(spark, sf_dir), p), lambda p: artefacts.read_counts(spark, p)).select("rel", "bucket", "cnt")
+
+
+@query("file_matrix", _ship_cells_sql() + " SELECT s_bucket, t_bucket, weight FROM c")
+def file_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = ship_grid(spark, sf_dir).frame(spark)
+    return _through(spark, lambda p: artefacts.write_grid(cells, p, 10, 10), lambda p: artefacts.read_grid(spark, p)).select("s_bucket", "t_bucket", "weight")
+
+
+@query("file_assignment", f"{_DEALT} SELECT CAST(partition_id AS INTEGER) AS partition_id, CAST(s_bucket AS INTEGER) AS s_bucket, CAST(t_bucket AS INTEGER) AS t_bucket FROM p")
+def file_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(spark, lambda p: artefacts.write_assignment(_dealt(spark).frame(spark), p), lambda p: artefacts.read_assignment(spark, p)).select("partition_id", "s_bucket", "t_bucket")
+
+
+@query("file_orders", "SELECT axis, CAST(i AS INTEGER) AS pos, CAST(CASE axis WHEN 'rows' THEN 9 - i ELSE (3 * i) % 10 END AS INTEGER) AS bucket FROM generate_series(0, 9) x(i), (VALUES ('rows'), ('columns')) y(axis)")
+def file_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = seriation.order_frame(spark, np.arange(10)[::-1], 3 * np.arange(10) % 10)
+    return _through(spark, lambda p: artefacts.write_order(order, p), lambda p: artefacts.read_order(spark, p)).select("axis", "pos", "bucket")
+
 
-    query(f"gen_{_name.lower()}", "SELECT * FROM (VALUES ('S', CAST(5000 AS BIGINT), CAST(0 AS BIGINT)), ('T', CAST(3000 AS BIGINT), CAST(0 AS BIGINT))) x(rel, n, outside)")(_gen)
+@query("file_properties", "SELECT * FROM (VALUES ('query', '[-1|1]_[40|45]'), ('sizeS', '100')) x(key, value)")
+def file_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "files")
+    artefacts.write_properties(spark, {"query": "[-1|1]_[40|45]", "sizeS": 100}, path)
+    return spark.createDataFrame(sorted(artefacts.read_properties(spark, path).items()), "key string, value string")
 
 
 @query("query_string_roundtrip", "SELECT '[-71|-70]_[51|70]' AS query, CAST(2 AS INTEGER) AS bands, CAST(-71 AS BIGINT) AS first_lo, CAST(70 AS BIGINT) AS last_hi")

@@ -228,6 +228,11 @@ def join_statistics(counters: DataFrame, size_s: int, size_t: int) -> DataFrame:
     return counters.agg(F.max("input_rows").alias("max_partition_input"), (F.sum("input_rows") / F.lit(max(1, size_s + size_t))).alias("replication_rate"))
 
 
+def write_max_input(counters: DataFrame, path: str) -> None:
+    """One line: the rows that the largest partition of a join read."""
+    _write(counters.agg(F.coalesce(F.max("input_rows"), F.lit(0)).cast("string").alias("line")), path, "line")
+
+
 class Timings:
     """Milliseconds by stage; stages are timed with `with timings("name"):`."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,22 +94,21 @@ def test_sampled_boundaries_lose_nothing(spark):
     assert J.totals(plan.join()).first()["row_pairs"] == 4 * (421 + 420)
 
 
-def test_many_buckets_use_search(spark):
+def test_buckets_by_a_tree_of_comparisons(spark):
     both = generators.generate_range(spark, 1, 500)
-    h = H.create_histograms(both, 200)
-    bounds = B.literal_bounds(h, "S")
-    rows = spark.range(0, 503).select(F.col("id").alias("v")).select("v", B.bucket_of(F.col("v"), bounds).alias("a"), B.bucket_of(F.col("v"), bounds, search_from=1000).alias("b")).collect()
-    assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"] == -1 and rows[502]["a"] == -1
+    bounds = B.literal_bounds(H.create_histograms(both, 200), "S")
+    rows = spark.range(0, 503).select(F.col("id").alias("v")).select("v", B.bucket_of(F.col("v"), bounds).alias("b")).collect()
+    for r in rows:
+        assert r["b"] == next((i for i, (lo, hi) in enumerate(bounds) if lo <= r["v"] <= hi), -1)
 
 
-def test_condensed_histogram(spark):
-    both = generators.generate_range(spark, 1, 5000, 2)
-    freq = H.frequencies(both)
-    small = H.condensed(freq, 4)
-    assert small.groupBy("rel").count().agg(F.max("count")).first()[0] <= 4 * H.FINE + 1
-    bounds = H.boundaries(freq, 4, limit=100).where("rel = 'S'").orderBy("bucket").collect()
-    assert bounds[0]["lo"] == 1 and bounds[-1]["hi"] == 5000
-    assert all(abs((r["hi"] - r["lo"] + 1) - 1250) <= 60 for r in bounds)
+@pytest.mark.parametrize("policy", ["step", "optimal"])
+def test_stored_histogram_has_the_same_bounds(spark, policy):
+    rng = np.random.default_rng(3)
+    rows = [(r, int(v)) for r in "ST" for v in np.concatenate([rng.integers(0, 400, 3000), np.repeat(rng.integers(0, 400, 4), 900)])]
+    freq = H.frequencies(spark.createDataFrame(rows, "rel string, value long"))
+    plain = sorted(map(tuple, H.boundaries(freq, 7, policy=policy).collect()))
+    assert sorted(map(tuple, H.boundaries(freq, 7, policy=policy, limit=10, block=13).collect())) == plain
 
 
 def test_artefacts_round_trip(spark, tmp_path):
@@ -177,9 +177,11 @@ def test_command_line(spark, tmp_path):
     run(spark, {"executionMode": "rearrangement", "outputDirectory": f"{p}/o", "partitionMatrixDirectory": f"{p}/m", "rearrangementPolicy": "BEA"})
     run(spark, {"executionMode": "partitioning", "outputDirectory": f"{p}/p", "partitionMatrixDirectory": f"{p}/o", "numPartitions": "4", "partitioningPolicy": "MBI"})
     run(spark, {"executionMode": "join", "outputDirectory": f"{p}/j", "dataset": f"{p}/d/dataset.csv", "partitionMatrixDirectory": f"{p}/o", "partitionToCellsMapping": f"{p}/p/partitionToCellsMapping.csv"})
-    assert spark.read.text(f"{p}/j/join").count() == 849
+    assert spark.read.text(f"{p}/j/join").count() == 849 and int(spark.read.text(f"{p}/j/maxPartitionInput.csv").first()[0]) > 0
     run(spark, {"executionMode": "virtualPartitionMatrix", "outputDirectory": f"{p}/v", "buckets": "20", "bands": "3", "bandType": "randomstep"})
     run(spark, {"executionMode": "partitioning", "outputDirectory": f"{p}/w", "partitionMatrixDirectory": f"{p}/m", "numPartitions": "4", "partitioningPolicy": "AICPM", "searchPolicy": "RANGE_SEARCH", "rangeSearchWeights": "BJrepIC_1-BJmaxIC_1"})
+    normal = spark.read.csv(f"{p}/w/0/rangeSearchMetricsNormalized.csv", header=True, inferSchema=True)
+    assert normal.agg(F.max("BJmaxIC")).first()[0] == 1.0 and normal.count() == spark.read.csv(f"{p}/w/0/rangeSearchMetrics.csv", header=True).count()
 
 
 def test_streams(spark, tmp_path):
@@ -213,6 +215,82 @@ def test_no_nested_loop_on_the_main_path(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("query", ["[1|3]_[10|12]", "[0|0]_[5|900]", "[20|]", "[|-15]_[3|4]", "[-2|]_[|-30]", "[|]"])
+@pytest.mark.parametrize("kind", ["inner", "left_semi", "left_anti", "left_outer"])
+def test_row_joins_of_every_kind(spark, query, kind):
+    rng = random.Random(2)
+    left = [(i, rng.choice([None, *range(-20, 20)]), "x") for i in range(60)]
+    right = [(i, rng.choice([None, *range(-20, 20)])) for i in range(40)]
+    s, t = spark.createDataFrame(left, "a long, v long, name string"), spark.createDataFrame(right, "b long, w long")
+    holds = lambda x, y: any((b.lo is None or x - y >= b.lo) and (b.hi is None or x - y <= b.hi) for b in BandQuery.of(query).bands)
+    met = {l[0]: [r for r in right if None not in (l[1], r[1]) and holds(l[1], r[1])] for l in left}  # noqa: E741
+    want = {
+        "inner": [(*x, *r) for x in left for r in met[x[0]]],
+        "left_semi": [x for x in left if met[x[0]]],
+        "left_anti": [x for x in left if not met[x[0]]],
+        "left_outer": [(*x, *r) for x in left for r in met[x[0]] or [(None, None)]],
+    }[kind]
+    for salt in (1, 3) if kind == "inner" else (1,):
+        out = J.band_join_rows(s, t, "v", "w", query, kind=kind, salt=salt, buckets=5)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_row_joins_with_an_empty_side(spark):
+    s, none = spark.createDataFrame([(1, 5), (2, None)], "a long, v long"), spark.createDataFrame([], "b long, w long")
+    for query in ("[0|1]", "[0|]"):
+        count = lambda k, a=s, b=none, q=query: J.band_join_rows(a, b, *(("v", "w") if a is s else ("w", "v")), q, kind=k).count()
+        assert [count(k) for k in ("inner", "left_semi", "left_anti", "left_outer")] == [0, 0, 2, 2]
+        assert [count(k, none, s) for k in ("inner", "left_semi", "left_anti", "left_outer")] == [0, 0, 0, 0]
+
+
+def test_partitioned_join_probes_ranges(spark):
+    both = rel.tagged(*frames(spark, range(300), range(300)))
+    plan = Plan.of(both, "[1|3]", buckets=4).partitioned(2)
+    out = plan.join()
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cell" in text and out.count() == sum(1 for x in range(300) for y in range(300) if 1 <= x - y <= 3)
+
+
+def test_too_many_buckets_are_refused(spark):
+    s, t = frames(spark, range(10), range(10))
+    with pytest.raises(JoinError):
+        J.band_join_values(s, t, "[0|]", buckets=J.MOST_BUCKETS + 1)
+
+
+def test_job_log_leaves_out_what_is_done(tmp_path):
+    seen, log = [], f"{tmp_path}/done"
+    job = lambda p: seen.append(int(p["a"]))
+    assert [x[1] for x in sweep.run_jobs([{"a": "1"}, {"a": "x"}], job, log=log)] == ["ok", "failed"]
+    assert [x[1] for x in sweep.run_jobs([{"a": "1"}, {"a": "x"}, {"a": "2"}], job, log=log)] == ["done", "failed", "ok"] and seen == [1, 2]
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from bandloom import storage
+    from bandloom.errors import StorageError
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(StorageError):
+        storage.ensure_checkpoint_dir(Session())
+    path = storage.shared_folder(spark, "own")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(storage, "_made", [(spark, path)])
+    storage.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_entry_module():
     import __spark_entry__ as entry
 
@@ -223,7 +301,6 @@ def test_entry_module():
 def test_limits_of_epcc_compare_cells_with_the_cap(spark, monkeypatch):
     from dataclasses import replace
 
-    import numpy as np
 
     from bandloom import queries
     from bandloom.operators.grid import Grid
@@ -235,6 +312,6 @@ def test_limits_of_epcc_compare_cells_with_the_cap(spark, monkeypatch):
     made = search.make(Grid.of(h, h, "[-1|1]"), 5, "EPCC", limit=merge.MAX_CELLS)
     cells = made.costs()["cells"]
     for cap in (made.cap, int(cells.min()), 0):
-        monkeypatch.setattr(queries, "_made", lambda spark, policy, cap=cap: replace(made, cap=cap))
+        monkeypatch.setattr(queries, "_made", lambda spark, sf_dir, policy, cap=cap: replace(made, cap=cap))
         row = queries.QUERIES["partition_limits_epcc"](spark, "").first()
         assert row["over_cap"] == (cells > cap).sum() and (cap != made.cap or row["over_cap"] == 0)

@@ -217,3 +217,18 @@ def test_tour_is_cut_at_a_dummy():
 def test_pearson_distance():
     d = seriation.pearson_distances(np.array([[1, 0, 1, 0], [1, 0, 1, 0], [0, 1, 0, 1], [1, 1, 1, 1]]))
     assert d[0, 1] == 0 and d[0, 2] == 10000 and d[0, 3] == 5000
+
+
+def test_pearson_distance_leaves_out_missing_values():
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 50, (6, 30)).astype(float)
+    m[rng.random(m.shape) < 0.2] = 1000
+    m[5], m[4, :] = 1000, 7
+    got = seriation.pearson_distances(m, None)
+    for a in range(6):
+        for b in range(6):
+            both = (m[a] < 1000) & (m[b] < 1000)
+            x, y = m[a][both], m[b][both]
+            cov = ((x - x.mean()) * (y - y.mean())).mean() if len(x) else 0.0
+            r = cov / (x.std() * y.std()) if abs(cov) >= 1e-5 else 0.0
+            assert got[a, b] == int(np.floor(5000 - 5000 * min(1, max(-1, r)) + 0.5 + 1e-9)) or abs(got[a, b] - (5000 - 5000 * r)) <= 0.5 + 1e-6
