@@ -6,6 +6,7 @@ are handled as one byte buffer with offsets and never as a Python list of rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +87,12 @@ def byte_codes(fold: bool = False, seed: int = 1) -> np.ndarray:
 
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Running polynomial sums (n + 1) of 64-bit codes; see span_hash."""
+    """Running polynomial sums (n + 1) of 64-bit codes; see span_hash.
+
+    Modulo a power of two there are long texts that differ and have one hash
+    whatever the base. So this serves where a coincidence does no harm (to choose
+    minimisers, buckets and features); what decides on equality is Prints.
+    """
     p, _ = powers(len(codes) + 1)
     out = np.zeros(len(codes) + 1, _U64)
     with np.errstate(over="ignore"):
@@ -101,6 +107,105 @@ def span_hash(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
         return mix((run[end] - run[start]) * inv[start] + mix((end - start).astype(_U64) + _U64(0x5851F42D4C957F2D)))
 
 
+#: The Mersenne prime that fingerprints are taken modulo.
+PRIME = (1 << 61) - 1
+_P, _M30, _M31 = _U64(PRIME), _U64((1 << 30) - 1), _U64((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def mul_mod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, both below it; the product is put together from halves of 30 and 31 bits."""
+    ah, al, bh, bl = a >> _U64(31), a & _M31, b >> _U64(31), b & _M31
+    mid = ah * bl + al * bh
+    return _reduced(((ah * bh) << _U64(1)) + (mid >> _U64(30)) + ((mid & _M30) << _U64(31)) + al * bl)
+
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """The first n powers of base modulo PRIME; the longest table of a base is kept."""
+    p = _tables.get(base, np.ones(1, _U64))
+    if len(p) < n:
+        while len(p) < n:
+            p = np.concatenate([p, mul_mod(p, _U64(pow(base, len(p), PRIME)))])
+        _tables[base] = p
+    return p[:n]
+
+
+class Prints:
+    """Fingerprints below 2**61 - 1: polynomials modulo that prime at places drawn by the seed.
+
+    For two different contents of n units that were not chosen by the seed, the
+    chance of one fingerprint is at most (n + 2) / 2**61; seeds are independent.
+    """
+
+    def __init__(self, seed: int):
+        self.seed = seed
+        self.inner, self.outer = np.random.default_rng([seed, 61]).integers(1 << 32, PRIME, 2, dtype=np.uint64).tolist()
+
+    def runs(self, units: np.ndarray, base: int | None = None) -> np.ndarray:
+        """Running polynomial sums (n + 1) of units below PRIME."""
+        x = mul_mod(units, _powers_of(base or self.outer, len(units)))
+        out = np.zeros(len(units) + 1, _U64)
+        high = _reduced(np.cumsum(x >> _U64(31)))
+        out[1:] = _reduced(((high << _U64(31)) & _P) + (high >> _U64(30)) + _reduced(np.cumsum(x & _M31)))
+        return out
+
+    def spans(self, run: np.ndarray, start: np.ndarray, end: np.ndarray, base: int | None = None) -> np.ndarray:
+        """Fingerprints of spans [start, end) of running sums."""
+        base = base or self.outer
+        inverse = _powers_of(pow(base, -1, PRIME), len(run))
+        own = mul_mod(_reduced(run[end] + (_P - run[start])), inverse[start])
+        # the length is a coefficient of its own, below all units
+        return _reduced(mul_mod(own, _U64(base)) + (end - start).astype(_U64) + _U64(1))
+
+    def words(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Fingerprints of words (byte ranges): blocks of seven bytes as coefficients, and the length; very long words go through a keyed digest."""
+        size = e - s
+        out = size.astype(_U64) + _U64(1)
+        word = eight_bytes(data)
+        at, left = np.arange(len(s)), size
+        long = size > 56
+        if long.any():
+            key = self.inner.to_bytes(8, "little")
+            for i in np.flatnonzero(long).tolist():
+                raw = hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=8, key=key).digest()
+                out[i] = int.from_bytes(raw, "little") % PRIME
+            at, left = at[~long], left[~long]
+        block = 0
+        while len(at):
+            keep = np.minimum(left, 7).astype(_U64) * _U64(8)
+            unit = word[s[at] + 7 * block] & ((_U64(1) << keep) - _U64(1))
+            out[at] = _reduced(mul_mod(out[at], np.full(len(at), self.inner, _U64)) + unit)
+            more = left > 7
+            at, left, block = at[more], left[more] - 7, block + 1
+        return out
+
+
+def eight_bytes(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros beyond the end), as a view of the padded bytes."""
+    return np.ndarray((len(data) + 1,), kind, data.tobytes() + bytes(8), strides=(1,))
+
+
+def word_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Numbers that are equal exactly where words of this call are equal: up to seven bytes and their number, else the turn of the word."""
+    size = e - s
+    short = size <= 7
+    bits = np.minimum(size, 7).astype(_U64) * _U64(8)
+    out = (eight_bytes(data)[s] & ((_U64(1) << bits) - _U64(1))) | (size.astype(_U64) << _U64(56))
+    rest = np.flatnonzero(~short)
+    if len(rest):
+        raw, turn = data.tobytes(), {}
+        own = (turn.setdefault(raw[a:b], len(turn)) for a, b in zip(s[rest].tolist(), e[rest].tolist(), strict=True))
+        out[rest] = np.fromiter(own, np.uint64, len(rest)) | (_U64(1) << _U64(63))
+    return out
+
+
 #: Bytes that separate words: space and 09 to 0D.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -1,15 +1,16 @@
 """Substring removal over words: super-k-mer partitioning.
 
 Windows of `length` words travel in super-k-mers (windows.py) to the bucket of
-their minimiser. There all windows are hashed and sorted; of equal windows all
-but the earliest (smaller id, then earlier start) are marked, and the words that
-a marked window covers are removed. 128 bits of hash stand for a window.
+their minimiser. There all windows are sorted by a hash of their words, neighbours
+with one hash are compared word by word, and of equal windows all but the earliest
+(smaller id, then earlier start) are marked. The words that a marked window covers
+are removed.
 
 Cases: null text has no words; a text with fewer words than a window keeps all;
 rows equal in id and text are not earlier than each other, so neither removes
 the other; rows with the same id but other texts count as one document whose
-windows are compared by start; a null id is smaller than any other; an empty
-table gives an empty table; other columns are not read; texts of any length are
+windows are compared by start (so do rows without an id, which all have the
+same); a null id is smaller than any other; an empty table gives an empty table; other columns are not read; texts of any length are
 handled whole.
 """
 
@@ -22,38 +23,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, prefix_hash, span_hash, spread, steps, utf8, word_spans
-from .windows import NO_ID, Rule, Segments, bucket_count, covered, keyed, union_spans
+from .common import mix, spread, utf8, word_keys, word_spans
+from .windows import NO_ID, ROW, Rule, Segments, bucket_count, covered, keyed, union_spans
 
 
-def later_windows(rule: Rule):
-    codes = byte_codes(seed=2), byte_codes(seed=3)
+def window_classes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Class of each window (place of its first word among words): the same number where all words are the same, -1: no other is equal."""
+    n = len(words) - length + 1
+    run, span = mix(words), 1
+    with np.errstate(over="ignore"):
+        # a hash of `length` words by doubling; what decides is the comparison below
+        while span * 2 <= length:
+            run = mix(run[: len(run) - span] * np.uint64(0xD6E8FEB86659FD93) + run[span:])
+            span *= 2
+        rest = length - span
+        if rest:
+            run = mix(run[:n] * np.uint64(0xD6E8FEB86659FD93) + run[rest : rest + n])
+    out, open_, made = np.full(len(at), -1), np.arange(len(at)), 0
+    key = run[at]
+    while len(open_):
+        open_ = open_[np.argsort(key[open_], kind="stable")]
+        own = key[open_]
+        same = own[1:] == own[:-1]
+        twin = np.append(same, False) | np.concatenate([[False], same])
+        open_, own = open_[twin], own[twin]
+        if not len(open_):
+            break
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))
+        x, y = at[open_], at[open_[lead]]
+        equal = np.ones(len(open_), bool)
+        for k in range(length):
+            equal &= words[x + k] == words[y + k]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group, equal)[group] > 1
+        out[open_[equal & several]] = made + group[equal & several]
+        made += int(group[-1]) + 1
+        open_ = open_[~equal]  # other words with the same hash are classes of their own
+    return out
+
 
+def later_windows(rule: Rule):
     def judge(seg: Segments) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(seg.text, np.uint8)
         off = np.concatenate([[0], np.cumsum(seg.sizes, dtype=np.int64)])
+        data = np.frombuffer(seg.text, np.uint8)
+        s, e, first = word_spans(data, off)
+        words = word_keys(data, s, e)
         owner, place = spread(seg.windows.astype(np.int64))
-        found: tuple[list, list] = [], []
-        for a, b in steps(off):
-            part = data[off[a] : off[b]]
-            s, e, first = word_spans(part, off[a : b + 1] - off[a])
-            o, p = spread(seg.windows[a:b].astype(np.int64))
-            at = first[:-1][o] + p
-            for code, out in zip(codes, found, strict=True):
-                h = span_hash(prefix_hash(code[part]), s, e)
-                out.append(span_hash(prefix_hash(h), at, at + rule.length))
-        pair = [np.concatenate(x) for x in found]
-        order = np.argsort(pair[0], kind="stable")
-        a = pair[0][order]
-        twin = np.zeros(len(a), bool)
-        twin[1:] = a[1:] == a[:-1]
-        twin[:-1] |= twin[1:]
-        order = order[twin]  # only windows with a partner are ordered further
+        if not len(owner):
+            return owner, place
+        group = window_classes(words, first[:-1][owner] + place, rule.length)
+        order = np.flatnonzero(group >= 0)
         ids, start = seg.ids[owner[order]], seg.start[owner[order]] + place[order]
-        o = np.lexsort((start, ids, pair[1][order], pair[0][order]))
+        o = np.lexsort((start, ids, group[order]))
         order, ids, start = order[o], ids[o], start[o]
         new = np.ones(len(order), bool)
-        new[1:] = (pair[0][order][1:] != pair[0][order][:-1]) | (pair[1][order][1:] != pair[1][order][:-1])
+        new[1:] = group[order[1:]] != group[order[:-1]]
         lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         later = np.sort(order[(ids != ids[lead]) | (start != start[lead])])
         return owner[later], place[later]
@@ -61,7 +86,7 @@ def later_windows(rule: Rule):
     return judge
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 20, gram: int = 2, hot: float = 8.0) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 20, gram: int = 2, hot: float = 4.0) -> DataFrame:
     """doc_id, text (kept words joined by one blank), spans (removed ranges of words), n_words and n_removed of each row."""
     rows = keyed(df, id_col, text_col)
     rule = Rule(length, gram, words=True, first_stays=True, buckets=bucket_count(rows), hot=hot)
@@ -89,5 +114,5 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 ["doc_id", "text", "spans", "n_words", "n_removed"],
             )
 
-    joined = rows.join(spans.hint("shuffle_hash"), ["id", "fp"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
+    joined = rows.join(spans.hint("shuffle_hash"), ROW, "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(apply, "doc_id long, text string, spans array<struct<s:int,e:int>>, n_words long, n_removed long")

@@ -2,16 +2,19 @@
 
 Suffixes are compared to a depth of `length` bytes. They are dealt to buckets by
 the minimiser of their first `length` bytes (windows.py), so equal ones meet,
-and a bucket is sorted one block of suffixes at a time. Within a block:
+and the text of a bucket is sorted one block of minimiser groups at a time:
 
-1. suffixes are named (ranked) by their first `v` bytes, by doubling;
-2. the cover sample, the places whose residue modulo v is in a difference
-   cover, gets ranks to depths v, 2v and 4v, once for the block;
-3. suffixes that tie on v bytes are sorted by three-way partitioning. For any
-   two residues there is a shift below v that takes both suffixes to places of
-   the sample, whose ranks settle the tie but for a tail of less than v bytes,
-   and that tail has a name from step 1. So a comparison of long ties costs a
-   few look-ups, and memory is a few numbers per place of the block.
+1. the cover sample, the places whose residue modulo v is in a difference
+   cover, gets ranks to depths v, 2v and 4v, once for the block's text;
+2. suffixes are dealt to suffix buckets by their first eight bytes, and one run
+   of suffix buckets of bounded size is sorted at a time, by three-way
+   partitioning. For any two residues there is a shift below v that takes both
+   suffixes to places of the sample, whose ranks settle long ties; the bytes
+   before the shift, and a tail of less than v bytes, are compared as they are.
+
+Memory is the text, two to three numbers for each of its places in the sample
+(one in seven), and a few numbers for each suffix of the run. A bucket's text is
+bounded by the split of hot buckets in windows.py.
 
 Groups of suffixes whose minimiser stands in one place of the corpus are left
 out before sorting: nothing can equal them. Equal suffixes to the full depth
@@ -32,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, utf8
-from .windows import NO_ID, Rule, Segments, bucket_count, covered, keyed, union_spans
+from .common import eight_bytes, spread, utf8
+from .windows import NO_ID, ROW, Rule, Segments, bucket_count, covered, keyed, union_spans
 
 #: A perfect difference cover (every residue but 0 is one difference of two members).
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
-#: Bytes of a block of suffixes; a group with one minimiser is never parted.
-BLOCK = 1 << 20
+#: Bytes of text of a block (a group with one minimiser stays whole), and suffixes that are sorted at once.
+BLOCK = 2 << 20
+SUFFIXES = 1 << 18
 
 
 def shifts() -> np.ndarray:
@@ -55,78 +59,108 @@ def shifts() -> np.ndarray:
     return out
 
 
-def _rank(keys: np.ndarray) -> np.ndarray:
-    """Order-preserving ranks of numbers."""
-    order = np.argsort(keys, kind="stable")
-    new = np.zeros(len(keys), np.int64)
-    s = keys[order]
-    new[1:] = s[1:] != s[:-1]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(new)
+def _rank(*keys: np.ndarray) -> np.ndarray:
+    """Order-preserving ranks of tuples of numbers."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        own = key[order]
+        new[1:] |= own[1:] != own[:-1]
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
-def _ahead(rank: np.ndarray, by: int) -> np.ndarray:
-    out = np.zeros_like(rank)
-    out[: len(rank) - by] = rank[by:]
-    return out
+class CoverSample:
+    """Ranks of the places of a text whose residue modulo PERIOD is in the cover, to depths PERIOD * 2**j up to `length`."""
+
+    def __init__(self, text: np.ndarray, word: np.ndarray, length: int):
+        v = PERIOD
+        self.number = np.full(v, -1)
+        self.number[list(COVER)] = np.arange(len(COVER))
+        rows = -(-len(text) // v)
+        at = (np.arange(rows)[:, None] * v + np.array(COVER)).reshape(-1)
+        at = at[at < len(text)]
+        rank = np.zeros(len(at), np.int32)
+        for j in [*range(0, v - 8, 8), v - 8]:
+            # places near the end look at bytes beyond it; no window that is asked for does
+            rank = _rank(rank, word[np.minimum(at + j, len(text))].astype(np.uint64))
+        self.reach = 1
+        while self.reach * 2 * v <= length - v + 1:
+            ahead = np.zeros_like(rank)
+            step = self.reach * len(COVER)
+            ahead[: max(0, len(rank) - step)] = rank[step:]
+            rank = _rank(rank, ahead)
+            self.reach *= 2
+        self.rank = rank
+
+    def of(self, place: np.ndarray) -> np.ndarray:
+        return self.rank[place // PERIOD * len(COVER) + self.number[place % PERIOD]]
+
+
+def _sign(word: np.ndarray, x: np.ndarray, p: np.ndarray, verdict: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Settle by the PERIOD bytes from x and p on; gives what is still open."""
+    for j in [*range(0, PERIOD - 8, 8), PERIOD - 8]:
+        if not len(open_):
+            break
+        a, b = word[x[open_] + j].astype(np.uint64), word[p[open_] + j].astype(np.uint64)
+        verdict[open_] = (a > b).astype(np.int8) - (a < b).astype(np.int8)
+        open_ = open_[a == b]
+    return open_
 
 
 def equal_suffixes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Class of each suffix (start in `at`, at least `length` bytes of its own text follow): equal to `length` bytes have the same class >= 0; -1: no other is equal."""
-    v, n = PERIOD, len(text)
-    if length < 2 * v or n < v + 8:
+    v = PERIOD
+    if length < 2 * v:
         raise ValueError(f"the depth must be at least {2 * v}")
-    pad = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word |= pad[i : n + i].astype(np.uint64) << np.uint64(56 - 8 * i)
-    rank, span = _rank(word), 8
-    while span * 2 <= v:
-        rank = _rank(rank << 32 | _ahead(rank, span))
-        span *= 2
-    head = _rank(rank << 32 | _ahead(rank, v - span))  # names of v bytes
-    # ranks of the cover sample to depths v * 2**j
-    inside = np.zeros(v, bool)
-    inside[list(COVER)] = True
-    sample = np.flatnonzero(inside[np.arange(n) % v])
-    deep, depth = [head], v
-    while depth * 2 <= length - v + 1:
-        ranks = np.zeros(n, np.int64)
-        ranks[sample] = _rank(deep[-1][sample] << 32 | _ahead(deep[-1], depth)[sample])
-        deep.append(ranks)
-        depth *= 2
-    top, reach, shift = deep[-1], depth // v, shifts()
-    # groups that tie on v bytes
     out = np.full(len(at), -1, np.int64)
-    order = np.argsort(head[at], kind="stable")
-    value = head[at][order]
-    label = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]])) if len(value) else value
-    made = 0
+    word = eight_bytes(text, ">u8")
+    first = word[at].astype(np.uint64)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]]) if len(order) else np.zeros(0, bool)
+    label = np.cumsum(new) - 1
+    several = (np.bincount(label) > 1)[label] if len(label) else new
+    order, label = order[several], label[several]
+    if not len(order):
+        return out
+    sample, shift, made, a = CoverSample(text, word, length), shifts(), 0, 0
+    ends = np.flatnonzero(np.diff(label, append=-1)) + 1
+    while a < len(order):
+        # whole suffix buckets, up to SUFFIXES of them together
+        b = int(ends[max(np.searchsorted(ends, a + SUFFIXES, "right") - 1, np.searchsorted(ends, a, "right"))])
+        made = _sorted_run(word, sample, shift, at, order[a:b], label[a:b], length, out, made)
+        a = b
+    return out
+
+
+def _sorted_run(word: np.ndarray, sample: CoverSample, shift: np.ndarray, at: np.ndarray, order: np.ndarray, label: np.ndarray, length: int, out: np.ndarray, made: int) -> int:
+    """Three-way partitioning of suffixes (order: their numbers, label: their suffix buckets) until all are settled."""
+    v = PERIOD
     while len(order):
-        size = np.bincount(label)
-        keep = size[label] > 1
-        order, label = order[keep], label[keep]
-        if not len(order):
-            break
         _, begin, label, size = np.unique(label, return_index=True, return_inverse=True, return_counts=True)
-        x, p = at[order], at[order[(begin + size // 2)]][label]
-        k = shift[x % v, p % v]
-        far = ((length - k) // v - reach) * v
+        x, p = at[order], at[order[begin + size // 2]][label]
         verdict = np.zeros(len(x), np.int8)
-        for names, dx in ((top, k), (top, k + far), (head, length - v)):
-            open_ = verdict == 0
-            verdict = np.where(open_, np.sign(names[x + dx] - names[p + dx]), verdict).astype(np.int8)
+        open_ = _sign(word, x, p, verdict, np.arange(len(x)))
+        k = shift[x[open_] % v, p[open_] % v]
+        for last in (False, True):  # the ranks from the shift on, and those that end with the last whole period
+            to = k + ((length - k) // v - sample.reach) * v if last else k
+            own = sample.of(x[open_] + to) - sample.of(p[open_] + to)
+            verdict[open_] = np.sign(own)
+            open_, k = open_[own == 0], k[own == 0]
+        _sign(word, x + (length - v), p + (length - v), verdict, open_)
         same = verdict == 0
-        several = np.bincount(label, same)[label] > 1
-        done = same & several
+        done = same & (np.bincount(label, same)[label] > 1)
         out[order[done]] = made + label[done]
         made += len(size)
         rest = ~same
         order, label = order[rest], label[rest] * 2 + (verdict[rest] > 0)
-        o = np.argsort(label, kind="stable")
-        order, label = order[o], label[o]
-    return out
+        turn = np.argsort(label, kind="stable")
+        order, label = order[turn], label[turn]
+        keep = (np.bincount(label) > 1)[label] if len(label) else label.astype(bool)
+        order, label = order[keep], label[keep]
+    return made
 
 
 def repeated_windows(rule: Rule):
@@ -150,8 +184,7 @@ def repeated_windows(rule: Rule):
             b = int(fits[-1] if len(fits) else turn[turn >= a][0]) + 1
             own = use[a:b]
             a = b
-            owner, place = spread(seg.sizes[own].astype(np.int64))
-            text = data[begin[own][owner] + place]
+            text = np.concatenate([data[x:y] for x, y in zip(begin[own].tolist(), (begin[own] + seg.sizes[own]).tolist(), strict=True)])
             base = np.cumsum(seg.sizes[own], dtype=np.int64) - seg.sizes[own]
             ws, wp = spread(seg.windows[own].astype(np.int64))
             hit = equal_suffixes(text, base[ws] + wp, length) >= 0
@@ -169,7 +202,7 @@ def repeated_windows(rule: Rule):
     return judge
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 24, hot: float = 8.0, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 24, hot: float = 4.0, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, bytes (what is left), spans (maximal removed ranges of bytes), n_bytes and n_removed of each row.
 
     as_text: a column text instead of bytes, without characters that a cut has
@@ -200,6 +233,6 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 names,
             )
 
-    joined = rows.join(spans.hint("shuffle_hash"), ["id", "fp"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "spans", *[f"_bl_{i}" for i in range(len(carry))])
+    joined = rows.join(spans.hint("shuffle_hash"), ROW, "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "spans", *[f"_bl_{i}" for i in range(len(carry))])
     kinds = ["long", "string" if as_text else "binary", "array<struct<s:int,e:int>>", "long", "long", *types]
     return joined.mapInArrow(apply, ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds, strict=True)))

@@ -14,9 +14,15 @@ blob. A bucket's rows are the only thing that a reducing task holds at once.
 A very common gram can be the minimiser of windows in a large share of all rows,
 whose contexts differ, so that merging does not help. The bytes for each bucket
 are therefore counted first, over all rows. Windows of a bucket with more than
-`hot` times its share are dealt one by one, by a hash of their whole content, to
-a second range of buckets; 128 bits of hash stand for such a window. Either way
-the bucket depends on the window's content alone, so equal windows still meet.
+`hot` times its share are dealt one by one, by a fingerprint of their whole
+content, to a second range of buckets; two fingerprints (common.Prints, with
+seeds of their own) stand for such a window, and two windows that differ share
+both with a chance of less than 2**-100. Either way the bucket depends on the
+window's content alone, so equal windows still meet.
+
+A row is known by its id where ids are all different. Where some are not (null
+ids, repeated rows) it is known by id and 120 bits of the SHA-256 of its text;
+rows that are equal in both get the same spans.
 """
 
 from __future__ import annotations
@@ -29,27 +35,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, cut, mix, prefix_hash, span_hash, spread, steps, utf8, word_spans
+from .common import Prints, byte_codes, cut, mix, prefix_hash, span_hash, spread, steps, utf8, word_spans
 
 #: Stands for a null id inside; smaller than any id.
 NO_ID = -(2**63)
 _LOW = np.uint64((1 << 24) - 1)
+#: Windows dealt one by one that are merged at a time.
+HELD = 1 << 19
 
 
 @dataclass
 class Segments:
-    """Entries of one bucket: row (id, fp), first window, windows, and the text where it is sent (size 0: a bare range)."""
+    """Entries of one bucket: row (id and digest), first window, windows, and the text where it is sent (size 0: a bare range)."""
 
     ids: np.ndarray
-    fp: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
     start: np.ndarray
     windows: np.ndarray
     sizes: np.ndarray
     flags: np.ndarray
     keys: np.ndarray
-    text: bytes
+    text: bytes | bytearray
 
-    _types = (("ids", "<i8"), ("fp", "<i4"), ("start", "<i4"), ("windows", "<i4"), ("sizes", "<i4"), ("flags", "u1"), ("keys", "<u8"))
+    _types = (("ids", "<i8"), ("one", "<i8"), ("two", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("sizes", "<i4"), ("flags", "u1"), ("keys", "<u8"))
 
     def pack(self) -> bytes:
         head = np.array([len(self.ids), len(self.text)], "<i8").tobytes()
@@ -57,7 +66,7 @@ class Segments:
         delta = np.diff(ids, prepend=ids[:1] * 0)
         cols = [delta.tobytes()] + [getattr(self, n).astype(t).tobytes() for n, t in self._types[1:]]
         raw = b"".join([head, *cols, self.text])
-        return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+        return np.int64(len(raw)).tobytes() + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
     @classmethod
     def unpack(cls, blob: bytes) -> Segments:
@@ -76,6 +85,20 @@ class Segments:
     def join(cls, parts: list[Segments]) -> Segments:
         return cls(**{n: np.concatenate([getattr(p, n) for p in parts]) for n, _ in cls._types}, text=b"".join(p.text for p in parts))
 
+    @classmethod
+    def unpack_all(cls, blobs: pa.ChunkedArray) -> Segments:
+        """The entries of all blobs; texts go to their place one blob at a time."""
+        parts, text = [], bytearray()
+        for blob in blobs:
+            own = cls.unpack(blob.as_py())
+            text += own.text
+            parts.append({n: getattr(own, n).copy() for n, _ in cls._types})
+        return cls(**{n: np.concatenate([p[n] for p in parts]) for n, _ in cls._types}, text=text)
+
+    def at(self, rows: np.ndarray) -> Segments:
+        """Some entries, with the whole text."""
+        return Segments(**{n: getattr(self, n)[rows] for n, _ in self._types}, text=self.text)
+
 
 @dataclass
 class Rule:
@@ -90,20 +113,20 @@ class Rule:
     keyed: bool = False
     buckets: int = 64
     #: Buckets with more than `hot` times their share of bytes are spread window by window.
-    hot: float = 8.0
-    step_bytes: int = 6 << 20
+    hot: float = 4.0
+    step_bytes: int = 8 << 20
     code: np.ndarray = field(default_factory=byte_codes)
     spread_over: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def window_hashes(self, data: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the content of the windows that begin at the given units."""
+    def window_prints(self, data: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two fingerprints of the content of the windows that begin at the given units."""
         out = []
-        for seed in (2, 3):
-            run = prefix_hash(byte_codes(seed=seed)[data])
-            if self.words:
-                s, e, _ = word_spans(data, off)
-                run = prefix_hash(span_hash(run, s, e))
-            out.append(span_hash(run, at, at + self.length))
+        if self.words:
+            s, e, _ = word_spans(data, off)
+        for p in (Prints(2), Prints(3)):
+            run = p.runs(p.words(data, s, e) if self.words else data.astype(np.uint64))
+            parts = [at[x : x + HELD] for x in range(0, len(at), HELD)]
+            out.append(np.concatenate([p.spans(run, x, x + self.length) for x in parts]))
         return out[0], out[1]
 
     def hashes(self, data: np.ndarray, off: np.ndarray):
@@ -157,14 +180,14 @@ class Rule:
 
 
 def deal(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, fp, text) to (bucket, blob): one row for each step and bucket."""
+    """Rows (id, one, two, text) to (bucket, blob): one row for each step and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(2))
-            ids, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, off = utf8(batch.column(3))
+            who = np.stack([batch.column(i).to_numpy() for i in range(3)])
             for a, b in steps(off, rule.step_bytes):
-                yield from _deal_step(rule, data[off[a] : off[b]], off[a : b + 1] - off[a], ids[a:b], fp[a:b])
+                yield from _deal_step(rule, data[off[a] : off[b]], off[a : b + 1] - off[a], who[:, a:b])
 
     return run
 
@@ -196,8 +219,9 @@ def hot_buckets(df: DataFrame, rule: Rule) -> np.ndarray:
     return np.array(sorted(r["bucket"] for r in rows), np.int64)
 
 
-def _deal_step(rule: Rule, data: np.ndarray, off: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-    found, single = [], []
+def _deal_step(rule: Rule, data: np.ndarray, off: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """who: id and digest (two numbers) of each row."""
+    found, single, out, held = [], [], {}, 0
     for a, b in steps(off):
         own, lim = data[off[a] : off[b]], off[a : b + 1] - off[a]
         part = rule.segments(own, lim)
@@ -209,15 +233,18 @@ def _deal_step(rule: Rule, data: np.ndarray, off: np.ndarray, ids: np.ndarray, f
         if hot.any():
             seg, step = spread(n[hot])
             r, p = row[hot][seg], place[hot][seg] + step
-            single.append((r + a, p, *rule.window_hashes(own, lim, first[r] + p)))
+            single.append((r + a, p, *rule.window_prints(own, lim, first[r] + p)))
+            held += len(seg)
+            if held > HELD:
+                _deal_windows(rule, [np.concatenate(x) for x in zip(*single, strict=True)], who, out)
+                single, held = [], 0
             row, place, n, key, bucket, lo, hi = (x[~hot] for x in (row, place, n, key, bucket, lo, hi))
         texts = [raw[s:e] for s, e in zip(lo.tolist(), hi.tolist(), strict=True)]
         found.append((row + a, place, n, key, bucket, texts))
-    out: dict[int, list[Segments]] = {}
     if found:
-        _deal_segments(rule, found, ids, fp, out)
+        _deal_segments(rule, found, who, out)
     if single:
-        _deal_windows(rule, [np.concatenate(x) for x in zip(*single, strict=True)], ids, fp, out)
+        _deal_windows(rule, [np.concatenate(x) for x in zip(*single, strict=True)], who, out)
     if out:
         blobs = [Segments.join(parts).pack() for parts in out.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -245,24 +272,26 @@ def _by_bucket(bucket: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.
         yield int(bucket[order[s]]), order[s:e]
 
 
-def _deal_segments(rule: Rule, found: list, ids: np.ndarray, fp: np.ndarray, out: dict[int, list[Segments]]) -> None:
+def _deal_segments(rule: Rule, found: list, who: np.ndarray, out: dict[int, list[Segments]]) -> None:
     row, place, n, key, bucket = (np.concatenate([f[i] for f in found]) for i in range(5))
     texts = [t for f in found for t in f[5]]
     if not texts:
         return
     number: dict[bytes, int] = {}
     same = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+    ids = who[0]
     sends, several = _chiefs(rule, same, ids[row], place)
     sizes = np.where(sends, np.fromiter(map(len, texts), np.int64, len(texts)), 0)
     for b, own in _by_bucket(bucket, np.lexsort((place, ids[row]))):
         text = b"".join([texts[i] for i in own.tolist() if sends[i]])
         keys = np.where(sends[own] & rule.keyed, key[own], np.uint64(0))
-        out.setdefault(b, []).append(Segments(ids[row[own]], fp[row[own]], place[own], n[own], sizes[own], several[own], keys, text))
+        out.setdefault(b, []).append(Segments(*who[:, row[own]], place[own], n[own], sizes[own], several[own], keys, text))
 
 
-def _deal_windows(rule: Rule, single: list[np.ndarray], ids: np.ndarray, fp: np.ndarray, out: dict[int, list[Segments]]) -> None:
-    """Windows one by one: the first hash is the key, the second the text of eight bytes."""
+def _deal_windows(rule: Rule, single: list[np.ndarray], who: np.ndarray, out: dict[int, list[Segments]]) -> None:
+    """Windows one by one: the first fingerprint is the key, the second the text of eight bytes."""
     row, place, one, two = single
+    ids = who[0]
     order = np.lexsort((two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -272,7 +301,7 @@ def _deal_windows(rule: Rule, single: list[np.ndarray], ids: np.ndarray, fp: np.
     bucket = rule.buckets + (mix(one) % np.uint64(rule.buckets)).astype(np.int64)
     eight = lambda own: np.full(len(own), 8)
     for b, own in _by_bucket(bucket, np.flatnonzero(sends)):
-        out.setdefault(b, []).append(Segments(ids[row[own]], fp[row[own]], place[own], np.ones(len(own), np.int64), eight(own), several[own], one[own], two[own].tobytes()))
+        out.setdefault(b, []).append(Segments(*who[:, row[own]], place[own], np.ones(len(own), np.int64), eight(own), several[own], one[own], two[own].tobytes()))
     # what is settled here goes along as ranges
     done = np.flatnonzero(~sends)
     if len(done):
@@ -285,10 +314,10 @@ def _deal_windows(rule: Rule, single: list[np.ndarray], ids: np.ndarray, fp: np.
         zero = np.zeros(len(own), np.int64)
         for b, at in _by_bucket(bare, np.arange(len(own))):
             o = own[at]
-            out.setdefault(b, []).append(Segments(ids[row[o]], fp[row[o]], place[o], n[at], zero[at], zero[at], zero[at].astype(np.uint64), b""))
+            out.setdefault(b, []).append(Segments(*who[:, row[o]], place[o], n[at], zero[at], zero[at], zero[at].astype(np.uint64), b""))
 
 
-def judge_hashes(rule: Rule, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
+def judge_prints(rule: Rule, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
     """Which of the windows dealt one by one go."""
     two = np.frombuffer(seg.text, "<u8")
     order = np.lexsort((seg.start, seg.ids, two, seg.keys))
@@ -305,20 +334,24 @@ def judge_hashes(rule: Rule, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
 def runs(segment: np.ndarray, window: np.ndarray, seg: Segments, length: int) -> tuple[np.ndarray, ...]:
     """Ranges of units [s, e) covered by the given windows (segment, window in it), sorted by segment and window."""
     if not len(segment):
-        return seg.ids[:0], seg.fp[:0], seg.start[:0], seg.start[:0]
+        return seg.ids[:0], seg.one[:0], seg.two[:0], seg.start[:0], seg.start[:0]
     new = np.ones(len(segment), bool)
     new[1:] = (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1)
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(segment)) - 1
     own = segment[head]
-    return seg.ids[own], seg.fp[own], seg.start[own] + window[head], seg.start[own] + window[tail] + length
+    return seg.ids[own], seg.one[own], seg.two[own], seg.start[own] + window[head], seg.start[own] + window[tail] + length
 
 
 Judge = Callable[[Segments], tuple[np.ndarray, np.ndarray]]
 
 
+#: What a row is known by, beside its text.
+ROW = ["id", "one", "two"]
+
+
 def covered(df: DataFrame, rule: Rule, judge: Judge) -> DataFrame:
-    """id, fp and spans (sorted, disjoint ranges of units to remove) of the rows (id, fp, text) that have any.
+    """id, one, two and spans (sorted, disjoint ranges of units to remove) of the rows (id, one, two, text) that have any.
 
     judge gets the segments of one bucket that carry text and tells which windows go (segment, window).
     """
@@ -326,26 +359,32 @@ def covered(df: DataFrame, rule: Rule, judge: Judge) -> DataFrame:
     rule = replace(rule, spread_over=hot_buckets(df, rule))
 
     def reduce(table: pa.Table) -> pa.Table:
-        seg = Segments.join([Segments.unpack(b) for b in table.column("blob").to_pylist()])
-        bare = np.flatnonzero(seg.sizes == 0)
-        parts = [(seg.ids[bare], seg.fp[bare], seg.start[bare], seg.start[bare] + seg.windows[bare] + rule.length - 1)]
+        seg = Segments.unpack_all(table.column("blob"))
+        bare = seg.at(np.flatnonzero(seg.sizes == 0))
+        parts = [(bare.ids, bare.one, bare.two, bare.start, bare.start + bare.windows + rule.length - 1)]
         sent = np.flatnonzero(seg.sizes > 0)
         if len(sent):
-            text = Segments(**{n: getattr(seg, n)[sent] for n, _ in Segments._types}, text=seg.text)
-            hashed = table.column("bucket")[0].as_py() >= rule.buckets
-            parts.append(runs(*(judge_hashes(rule, text) if hashed else judge(text)), text, rule.length))
+            text = seg.at(sent)
+            by_print = table.column("bucket")[0].as_py() >= rule.buckets
+            parts.append(runs(*(judge_prints(rule, text) if by_print else judge(text)), text, rule.length))
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        return pa.table({"id": pa.array(cols[0], pa.int64()), "fp": pa.array(cols[1], pa.int32()), "s": pa.array(cols[2], pa.int32()), "e": pa.array(cols[3], pa.int32())})
+        kinds = [*[pa.int64()] * 3, pa.int32(), pa.int32()]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip([*ROW, "s", "e"], cols, kinds, strict=True)})
 
-    dealt = df.select("id", "fp", "text").mapInArrow(deal(rule), "bucket int, blob binary")
-    marks = dealt.groupBy("bucket").applyInArrow(reduce, "id long, fp int, s int, e int")
-    return marks.groupBy("id", "fp").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    dealt = df.select(*ROW, "text").mapInArrow(deal(rule), "bucket int, blob binary")
+    marks = dealt.groupBy("bucket").applyInArrow(reduce, "id long, one long, two long, s int, e int")
+    return marks.groupBy(*ROW).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """id (null as the smallest), fp (tells texts with the same id apart) and text (null: empty), and more columns."""
+    """id (null as the smallest), one and two (a digest of the text where ids are not all different, else 0), text (null: empty), and more columns."""
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("id")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("id"), F.hash(text).alias("fp"), text.alias("text"), *more)
+    if df.select(own).groupBy("id").count().where("count > 1").isEmpty():
+        digest = [F.lit(0).cast("long")] * 2
+    else:
+        digest = [F.conv(F.substring(F.sha2(text.cast("binary"), 256), at, 15), 16, 10).cast("long") for at in (1, 16)]
+    return df.select(own, digest[0].alias("one"), digest[1].alias("two"), text.alias("text"), *more)
 
 
 def union_spans(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,7 +399,7 @@ def union_spans(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[head], e[np.append(head[1:], len(s)) - 1]
 
 
-def bucket_count(df: DataFrame, bytes_each: int = 4 << 20) -> int:
+def bucket_count(df: DataFrame, bytes_each: int = 2 << 20) -> int:
     """Buckets such that each gets about the segments of bytes_each bytes of text (one pass over the sizes)."""
     total = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     return max(16, -(-total // bytes_each))
