@@ -6,8 +6,13 @@ states at all places come from an associative scan: the text is cut into rows
 of equal length, every row's transition function (a map from state to state) is
 composed column by column for all rows at once, the rows' functions are
 composed by doubling, and a last pass replays the columns from known states and
-reads off the boundaries. The slices then feed a cached pair merging. Byte
-offsets of all tokens are kept beside the ids; decoding joins the ids' bytes.
+reads off the boundaries. The slices then feed a cached pair merging. The byte
+offset at which each token ends is kept beside the ids; decoding copies the bytes
+of all tokens of a step from one flat table to those offsets at once.
+
+A step holds at most STEP_BYTES of text (or one longer text). encode() and
+decode() are operators of their own; round_trip() does both in one pass, so that
+ids need not go through the JVM in between.
 
 Cases: null text counts as empty (no ids, empty bytes); repeated rows give
 repeated rows; an empty table gives an empty table; other columns are not read;
@@ -164,7 +169,7 @@ def rank_table(spec: bytes) -> dict[bytes, int]:
 class Encoder(dict):
     """Ids of pre-tokens as packed 32-bit numbers; made when first asked for, at most `cap` kept."""
 
-    def __init__(self, ranks: dict[bytes, int], cap: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], cap: int = 120_000):
         super().__init__()
         self.ranks, self.cap = ranks, cap
 
@@ -239,13 +244,50 @@ def pre_tokens(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> Iterat
         yield [raw[s:e] for s, e in zip(edge[:-1], edge[1:], strict=True)], np.searchsorted(start, lim).tolist()
 
 
-def encode_rows(data: np.ndarray, off: np.ndarray, encoder: Encoder, classes: np.ndarray) -> list[bytes]:
-    """Packed ids of each row."""
-    out: list[bytes] = []
+class TokenBytes:
+    """The bytes of all tokens in one flat table, by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int32)
+        self.size[list(ranks.values())] = [len(k) for k in ranks]
+        self.begin = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """The byte offset at which each token ends, if all stand one after the other."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.size[ids].all()):
+            raise ValueError("an id that the ranks lack")
+        return np.cumsum(self.size[ids], dtype=np.int64)
+
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes of all tokens, each put where it ends."""
+        size = self.size[ids]
+        return self.flat[np.repeat(self.begin[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def encoded(data: np.ndarray, off: np.ndarray, encoder: Encoder, table: TokenBytes, classes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For steps of rows a to b: a, b, the ids, the first id of each row (and the end), and the offsets at which tokens end in the step."""
+    a = 0
     for tokens, of in pre_tokens(data, off, classes):
-        ids = [encoder[t] for t in tokens]
-        out += [b"".join(ids[s:e]) for s, e in zip(of[:-1], of[1:], strict=True)]
-    return out
+        packed = list(map(encoder.__getitem__, tokens))
+        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+        count = np.zeros(len(packed) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4, out=count[1:])
+        del tokens, packed
+        b = a + len(of) - 1
+        yield a, b, ids, count[of], table.ends(ids)
+        a = b
+
+
+def _from_zero(ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Offsets counted from the start of each row."""
+    before = np.concatenate([[0], ends])[first]
+    return (ends - np.repeat(before[:-1], np.diff(first))).astype(np.int32)
+
+
+def _text(data: np.ndarray, lim: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows of a flat byte array."""
+    return pa.Array.from_buffers(kind, len(lim) - 1, [None, pa.py_buffer(lim.astype(np.int32)), pa.py_buffer(data)])
 
 
 def encode(df: DataFrame, spec: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,24 +296,15 @@ def encode(df: DataFrame, spec: bytes, *, id_col: str = "doc_id", text_col: str
     spec is the content of a tiktoken rank file (a fixed, small size), sent as a
     broadcast variable. No shuffle takes place.
     """
-    sc = df.sparkSession.sparkContext
-    shared = sc.broadcast((spec, code_classes()))
+    shared = df.sparkSession.sparkContext.broadcast((spec, code_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec_, classes = shared.value
-        ranks = rank_table(spec_)
-        encoder, size = Encoder(ranks), np.zeros(max(ranks.values()) + 1, np.int32)
-        size[list(ranks.values())] = [len(k) for k in ranks]
+        ranks, classes = rank_table(shared.value[0]), shared.value[1]
+        encoder, table = Encoder(ranks), TokenBytes(ranks)
         for batch in batches:
-            data, off = utf8(batch.column(1))
-            for a, b in steps(off, 8 << 20):
-                packed = encode_rows(data[off[a] : off[b]], off[a : b + 1] - off[a], encoder, classes)
-                ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
-                n = np.array([len(p) // 4 for p in packed], np.int64)
-                run_ = np.cumsum(size[ids], dtype=np.int64)
-                base = np.concatenate([[0], run_])[np.cumsum(n) - n]
-                ends = (run_ - np.repeat(base, n)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), packed_lists(pa.array(ids), n), packed_lists(pa.array(ends), n)], ["doc_id", "ids", "ends"])
+            for a, b, ids, first, ends in encoded(*utf8(batch.column(1)), encoder, table, classes):
+                n = np.diff(first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), packed_lists(pa.array(ids), n), packed_lists(pa.array(_from_zero(ends, first)), n)], ["doc_id", "ids", "ends"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, ends array<int>")
 
@@ -281,31 +314,42 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], off - off[0]
 
 
-def decode(df: DataFrame, spec: bytes, *, id_col: str = "doc_id", ids_col: str = "ids", digests: bool = False, keep_ids: bool = False) -> DataFrame:
-    """doc_id and the decoded bytes of each row of ids; digests: only n_tokens and SHA-256 of ids and bytes; keep_ids: the ids as well.
-
-    Null ids count as none; an id that the ranks lack is an error.
-    """
+def decode(df: DataFrame, spec: bytes, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id and the decoded bytes of each row of ids. Null ids count as none; an id that the ranks lack is an error."""
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = rank_table(shared.value)
-        table = [b""] * (max(ranks.values()) + 1)
-        for k, v in ranks.items():
-            table[v] = k
-        get = table.__getitem__
+        table = TokenBytes(rank_table(shared.value))
         for batch in batches:
             ids, off = _lists(batch.column(1))
-            lim = off.tolist()
-            rows = list(zip(lim[:-1], lim[1:], strict=True))
-            if not digests:
-                back = pa.array([b"".join(map(get, ids[s:e].tolist())) for s, e in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if keep_ids else []), back], ["doc_id", *(["ids"] if keep_ids else []), "bytes"])
-                continue
-            packed = ids.astype("<u4")
-            one = [hashlib.sha256(packed[s:e].tobytes()).hexdigest() for s, e in rows]
-            two = [hashlib.sha256(b"".join(map(get, ids[s:e].tolist()))).hexdigest() for s, e in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for a, b in steps(off * 4):
+                own = ids[off[a] : off[b]]
+                ends = table.ends(own)
+                lim = np.concatenate([[0], ends])[off[a : b + 1] - off[a]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _text(table.joined(own, ends), lim, pa.binary())], ["doc_id", "bytes"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"doc_id long{', ids array<int>' * keep_ids}, bytes binary")
+    return rows.mapInArrow(run, "doc_id long, bytes binary")
+
+
+def round_trip(df: DataFrame, spec: bytes, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids, and the text that is decoded from them; digests: SHA-256 of the ids (little-endian, 32 bits) and of the decoded bytes instead."""
+    shared = df.sparkSession.sparkContext.broadcast((spec, code_classes()))
+    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "text"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, classes = rank_table(shared.value[0]), shared.value[1]
+        encoder, table = Encoder(ranks), TokenBytes(ranks)
+        sha = lambda data, lim: pa.array([hashlib.sha256(data[s:e]).hexdigest() for s, e in zip(lim[:-1].tolist(), lim[1:].tolist(), strict=True)], pa.string())
+        for batch in batches:
+            for a, b, ids, first, ends in encoded(*utf8(batch.column(1)), encoder, table, classes):
+                back, lim = table.joined(ids, ends), np.concatenate([[0], ends])[first]
+                n = np.diff(first)
+                if digests:
+                    made = [sha(memoryview(ids.astype("<u4")).cast("B") if len(ids) else b"", first * 4), sha(memoryview(back), lim)]
+                else:
+                    made = [packed_lists(pa.array(ids), n), _text(back, lim, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *made], names)
+
+    kinds = ["long", "long", *(["string", "string"] if digests else ["array<int>", "string"])]
+    return id_text(df, id_col, text_col).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))

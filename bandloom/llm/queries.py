@@ -44,8 +44,7 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    return bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks), ranks, digests=True)
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), digests=True)
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

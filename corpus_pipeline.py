@@ -7,7 +7,6 @@ lost executor never sends the job back across a stage.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bandloom.llm import bpe, mixing, neardup, quality, suffixes
 from bandloom.llm.queries import vocabulary
-from bandloom.storage import ensure_checkpoint_dir
+from bandloom.storage import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,9 +58,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the text decoded from them."""
-    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, ranks), ranks, keep_ids=True)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("bytes", "UTF-8").alias("text"))
+    return bpe.round_trip(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES = [
@@ -77,7 +74,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
 
     def stored(docs: DataFrame, stage: tuple) -> DataFrame:
         path = f"{folder}/{STAGES.index(stage)}"
