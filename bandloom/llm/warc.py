@@ -21,12 +21,10 @@ empty table gives an empty archive; other columns are not read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import ensure_checkpoint_dir
+from ..storage import shared_folder
 from .common import cut
 
 #: Digits of base 32 as conv() writes them and as RFC 4648 does.
@@ -100,4 +98,4 @@ def summary(records: DataFrame) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    return shared_folder(spark, "archive")
