@@ -178,6 +178,14 @@ def optimal_ends(run: Totals, k: int) -> list[int]:
     return [c - 1 for c in cut[1:-1]]
 
 
+def distinct_ends(run: Totals, k: int) -> list[int]:
+    """Every (n / k)-th distinct value, whatever its frequency, closes a bucket; with as many values as buckets each has its own."""
+    n = run.n
+    if n < k:
+        raise HistogramError(f"{n} distinct values can't fill {k} buckets")
+    return [*range(k - 1)] if n == k else [c * (n // k) for c in range(1, k)]
+
+
 def step_bounds(value: np.ndarray, freq: np.ndarray, k: int) -> np.ndarray:
     return np.array(step_ends(Totals(value, freq), k), np.int64)
 
@@ -186,7 +194,7 @@ def optimal_bounds(value: np.ndarray, freq: np.ndarray, k: int) -> np.ndarray:
     return np.array(optimal_ends(Totals(value, freq), k), np.int64)
 
 
-POLICIES = {"step": step_ends, "optimal": optimal_ends}
+POLICIES = {"step": step_ends, "optimal": optimal_ends, "distinct": distinct_ends}
 
 
 def running_total(freq: DataFrame, parts: int | None = None) -> DataFrame:

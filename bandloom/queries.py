@@ -259,6 +259,16 @@ def histogram_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("rel").agg(F.sum("cnt").alias("cnt"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("buckets"), F.sum("helps").alias("moves_that_help"))
 
 
+@query(
+    "histogram_distinct",
+    f"""WITH d AS (SELECT rel, v, row_number() OVER (PARTITION BY rel ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY rel) // 10 AS step FROM ({_BOTH_SHIP})),
+    e AS (SELECT rel, v AS hi, i // step AS c FROM d WHERE i % step = 0 AND i // step BETWEEN 1 AND 9 UNION ALL SELECT rel, max(v), 10 FROM d GROUP BY rel)
+    SELECT rel, CAST(c - 1 AS INTEGER) AS bucket, coalesce(lag(hi) OVER (PARTITION BY rel ORDER BY c) + 1, (SELECT min(v) FROM d WHERE d.rel = e.rel)) AS lo, hi FROM e""",
+)
+def histogram_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.boundaries(H.frequencies(both_of(spark, sf_dir, "ship_order")), 10, policy="distinct")
+
+
 _SHARE = f"SELECT rel, v, n, least(CAST(floor(coalesce(sum(n) OVER (PARTITION BY rel ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 10 / CAST(sum(n) OVER (PARTITION BY rel) AS DOUBLE)) AS INTEGER), 9) AS b FROM ({_BOTH_SHIP})"
 
 

@@ -102,7 +102,7 @@ def test_buckets_by_a_tree_of_comparisons(spark):
         assert r["b"] == next((i for i, (lo, hi) in enumerate(bounds) if lo <= r["v"] <= hi), -1)
 
 
-@pytest.mark.parametrize("policy", ["step", "optimal"])
+@pytest.mark.parametrize("policy", ["step", "optimal", "distinct"])
 def test_stored_histogram_has_the_same_bounds(spark, policy):
     rng = np.random.default_rng(3)
     rows = [(r, int(v)) for r in "ST" for v in np.concatenate([rng.integers(0, 400, 3000), np.repeat(rng.integers(0, 400, 4), 900)])]
