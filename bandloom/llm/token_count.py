@@ -6,6 +6,11 @@ lowest-rank adjacent pair and merges all places of that pair at once; sequences
 without a mergeable pair leave with their number of symbols. Counts of
 pre-tokens are kept in a bounded cache.
 
+A round costs the length of every sequence that is left, and a sequence takes about
+as many rounds as it has distinct merges. Beyond LONG bytes that would be quadratic,
+so such pre-tokens are merged one by one with a heap of their ranked pairs, which
+gives the same symbols.
+
 Cases: null text counts as empty (0 bytes, 0 tokens); repeated rows give
 repeated rows; an empty table gives an empty table; a null id stays null; only
 the id and the text are read, so other columns can have any name; one very long
@@ -14,8 +19,10 @@ pre-token is a sequence like any other.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +33,8 @@ from .bpe import code_classes, pre_tokens
 from .common import id_text, utf8
 
 NONE = np.int64(1 << 40)
+#: Bytes of a pre-token from which it is merged by a heap.
+LONG = 4096
 #: Pre-tokens in the cache before it is emptied.
 CACHE = 400_000
 
@@ -47,15 +56,48 @@ class MergeTable:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.made = key[order], order.astype(np.int64), made
+        self.pairs: dict[int, tuple[int, int]] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.rank[at], NONE)
 
+    def count_long(self, sequence: bytes) -> int:
+        """Symbols left of one sequence: always the lowest rank, the leftmost of equals, from a heap."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.made[self.rank].tolist(), strict=True), strict=True))
+        sym = self.byte[np.frombuffer(sequence, np.uint8)]
+        rank = self.ranks(sym[:-1], sym[1:])
+        heap = [(r, i, a, b) for r, i, a, b in zip(rank.tolist(), range(len(rank)), sym[:-1].tolist(), sym[1:].tolist(), strict=True) if r < NONE]
+        heapq.heapify(heap)
+        n, left, sym = len(sym), len(sym), array("q", sym.tolist())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+
+        def offer(i: int, j: int) -> None:
+            if found := self.pairs.get(sym[i] << 32 | sym[j]):
+                heapq.heappush(heap, (found[0], i, sym[i], sym[j]))
+
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue
+            sym[i], sym[j], after[i], left = self.pairs[a << 32 | b][1], -1, after[j], left - 1
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return left
+
     def count(self, sequences: list[bytes]) -> np.ndarray:
         """Symbols left of each sequence after all merges."""
         out = np.zeros(len(sequences), np.int64)
+        for i, s in enumerate(sequences):
+            if len(s) > LONG:
+                out[i] = self.count_long(s)
+        sequences = [s if len(s) <= LONG else b"" for s in sequences]
         sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
         sym = self.byte[np.frombuffer(b"".join(sequences), np.uint8)]
         alive = np.flatnonzero(sizes > 0)
