@@ -6,21 +6,26 @@ reaches. A query walks the tree with a priority queue keyed by the distance to
 cluster centres: the nearest unopened node is opened next, and leaves are
 visited in that order. The number of leaves to visit is calibrated: sample
 vectors are searched in the sample by brute force, and visits are widened until
-the mean share of true neighbours in the visited leaves reaches `recall`. With
-fewer rows than leaves would pay for, the tree has one leaf and the search is
-exact.
+the mean share of true neighbours in the visited leaves reaches `recall`. Leaves
+are fitted for half the square root of all rows each, 8 at least and 512 at most;
+beyond what the sample can place (16 sample vectors a leaf), leaves grow.
 
 A query goes on beyond that number while its leaves hold fewer than k sample
 rows. The sample rows in its leaves give each query a distance within which k
 rows lie that it searches, and no leaf returns rows beyond it.
 
-Leaves of any size are split by a hash of the id into parts of bounded size, and
-queries of a leaf likewise, so a hot leaf is spread over tasks. Distances are
-computed in double precision on the original vectors.
+Neighbouring leaves of the tree form groups of about PART rows. A row goes to its
+group once; a query goes once to each group that has leaves which it visits, with
+the numbers of these, and is compared with the rows of these leaves only. A leaf of
+more rows, and more queries of a group than that, are split by a hash of the id, so
+hot ones are spread over tasks. Distances are computed in double precision on the
+original vectors.
 
 Cases: vectors that are null, empty, all zero or hold null or non-finite
 components, and rows without an id, take no part; rows that share the query's id
-count as the query's own row; vectors of another dimension than the sample's
+count as the query's own row; a repeated query row counts once, and rows that share
+an id and differ are one query with several vectors, each of which can bring a row
+into the list; vectors of another dimension than the sample's
 most frequent one are searched among themselves, exactly; ties go to the smaller
 vec_id; empty tables give empty tables; other columns are not read.
 """
@@ -28,6 +33,7 @@ vec_id; empty tables give empty tables; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,14 +143,15 @@ class Tree:
         self.visits = int(min(self.leaves, np.searchsorted(share, recall) + 1))
 
 
-def fit_tree(rows: DataFrame, *, k: int, sample: int, recall: float, fan: int = 8, probes: int = 256, seed: int = 5) -> tuple[int, Tree | None, np.ndarray, np.ndarray]:
-    """Dimension, calibrated tree, ids and vectors of at most about `sample` rows (vec_id, vec), chosen by a hash of the id."""
+def fit_tree(rows: DataFrame, *, k: int, sample: int, recall: float, fan: int = 8, probes: int = 512, seed: int = 5) -> tuple[int, Tree | None, np.ndarray, np.ndarray]:
+    """Dimension, calibrated tree, ids and vectors of at most about `sample` rows (vec_id, vec), chosen by a hash of the id, one for each id."""
     nothing = (0, None, np.zeros(0, np.int64), np.zeros((0, 0)))
     total = rows.count()
     if not total:
         return nothing
     unit = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20))
-    got = rows.where(unit < max(1, min(1 << 20, int((1 << 20) * sample / total)))).select("vec_id", "vec").limit(2 * sample).toArrow()
+    chosen = rows.where(unit < max(1, min(1 << 20, int((1 << 20) * sample / total))))
+    got = chosen.groupBy("vec_id").agg(F.min("vec").alias("vec")).toArrow()
     if not got.num_rows:
         return nothing
     values, off = lists(got["vec"].combine_chunks())
@@ -154,8 +161,8 @@ def fit_tree(rows: DataFrame, *, k: int, sample: int, recall: float, fan: int =
     x, ids = values[off[:-1][own][:, None] + np.arange(dim)], got["vec_id"].to_numpy()[own]
     order = np.lexsort((ids, *x.T[::-1]))  # the same tree whatever the order of the rows
     x, ids = x[order], ids[order]
-    # about 512 rows in a leaf; never more leaves than the sample can place
-    leaf = max(16, len(x) * 512 // max(total, 1))
+    each = min(512, max(8, math.isqrt(total) // 2))
+    leaf = max(min(16, each), len(x) * each // total)
     tree = Tree.fit(x, leaf, fan, seed)
     tree.calibrate(x, k, recall, probes, seed)
     return dim, tree, ids, x
@@ -188,6 +195,20 @@ def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding"
                 leaf = tree.assign(mat) if mat.shape[1] == dim else np.full(len(ids), -mat.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(mat), pa.list_(pa.float64())), pa.array(leaf)], ["vec_id", "vec", "leaf"])
 
+    index = rows.mapInArrow(leaf_of, "vec_id long, vec array<double>, leaf long")
+    # rows of each leaf: one row per leaf, at most as many as the sample allows (and one per odd dimension)
+    sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    group_of, parts, held = {}, [], PART
+    for leaf in sorted(sizes):
+        if leaf < 0 or held + sizes[leaf] > PART:
+            parts.append(0)
+            held = 0
+        group_of[leaf] = len(parts) - 1
+        held = held + sizes[leaf] if leaf >= 0 else PART
+        parts[-1] += sizes[leaf]
+    c_parts = [-(-n // PART) for n in parts]
+    grouped = spark.sparkContext.broadcast(group_of)
+
     def visits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim, tree, some, x = shared.value
         own = tree.assign(x) if tree else np.zeros(0, np.int64)
@@ -201,41 +222,55 @@ def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding"
                     most = within(mat, ids, walk, x, some, own, tree.leaves, k)
                 else:
                     walk, most = [[-mat.shape[1]]] * len(ids), np.full(len(ids), np.inf)
-                at = np.repeat(np.arange(len(ids)), [len(w) for w in walk])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(list(mat[at]), pa.list_(pa.float64())), pa.array([leaf for w in walk for leaf in w], pa.int64()), pa.array(most[at])], ["vec_id", "vec", "leaf", "most"])
-
-    index = rows.mapInArrow(leaf_of, "vec_id long, vec array<double>, leaf long")
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(visits_of, "vec_id long, vec array<double>, leaf long, most double")
-    # parts of each leaf: one row per leaf, at most as many as the sample allows (and one per odd dimension)
-    parts = index.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("c_parts")).join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("q_parts")), "leaf")
-    part = {r["leaf"]: (r["c_parts"], r["q_parts"]) for r in parts.collect()}
-    split = spark.createDataFrame([(leaf, c, q) for leaf, (c, q) in part.items()] or [(0, 1, 1)], "leaf long, c_parts int, q_parts int")
-    split = F.broadcast(split)
+                at, group, leaves = [], [], []
+                for i, w in enumerate(walk):
+                    of: dict[int, list[int]] = {}
+                    for leaf in w:
+                        if leaf in grouped.value:
+                            of.setdefault(grouped.value[leaf], []).append(leaf)
+                    at += [i] * len(of)
+                    group += of
+                    leaves += of.values()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(list(mat[at]), pa.list_(pa.float64())), pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int64())), pa.array(most[at])], ["vec_id", "vec", "grp", "leaves", "most"])
+
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"]).mapInArrow(visits_of, "vec_id long, vec array<double>, grp int, leaves array<long>, most double")
+    q_parts = {r["grp"]: -(-r["count"] // PART) for r in asked.groupBy("grp").count().collect()}
+    table = [(leaf, g, c_parts[g], q_parts[g]) for leaf, g in group_of.items() if g in q_parts]
+    split = spark.createDataFrame(table or [(0, 0, 1, 1)], "leaf long, grp int, c_parts int, q_parts int")
+    by_group = F.broadcast(split.select("grp", "c_parts", "q_parts").distinct())
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["leaf", "cp", "qp"]
-    left = index.join(split, "leaf").withColumn("cp", own("c_parts")).withColumn("qp", each("q_parts")).select("vec_id", "vec", *keys)
-    right = asked.join(split, "leaf").withColumn("qp", own("q_parts")).withColumn("cp", each("c_parts")).select("vec_id", "vec", "most", *keys)
+    keys = ["grp", "cp", "qp"]
+    left = index.join(F.broadcast(split), "leaf").withColumn("cp", own("c_parts")).withColumn("qp", each("q_parts")).select("vec_id", "vec", "leaf", *keys)
+    right = asked.join(by_group, "grp").withColumn("qp", own("q_parts")).withColumn("cp", each("c_parts")).select("vec_id", "vec", "leaves", "most", *keys)
 
     def search(c_rows: pa.Table, q_rows: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if c_rows.num_rows and q_rows.num_rows:
-            cid, qid = c_rows["vec_id"].to_numpy(), q_rows["vec_id"].to_numpy()
             mat = lambda t: np.array(t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(t.num_rows, -1)
-            c, q, most = mat(c_rows), mat(q_rows), q_rows["most"].to_numpy()
-            for a in range(0, len(qid), 256):
-                d = distances(q[a : a + 256], c)
-                d[qid[a : a + 256][:, None] == cid[None, :]] = np.inf
-                near = min(k, len(cid)) - 1
-                kth = np.minimum(np.partition(d, near, axis=1)[:, near], most[a : a + 256])
-                # what rounding could bring among the k nearest is measured again, difference by difference
-                slack = 1e-9 * (1 + (q[a : a + 256] ** 2).sum(1) + (c * c).sum(1).max())
-                qi, ci = np.nonzero((d <= (kth + slack)[:, None]) & (d < np.inf))
-                s = np.concatenate([np.zeros(0)] + [np.sqrt(((q[a + qi[x : x + 8192]] - c[ci[x : x + 8192]]) ** 2).sum(1)) for x in range(0, len(qi), 8192)])
-                top = best_of(qi, s, cid[ci], k)
-                for o, v in zip(out, (qid[a + qi[top]], cid[ci[top]], s[top]), strict=True):
-                    o.append(v)
+            all_c, all_q, c_leaf = mat(c_rows), mat(q_rows), c_rows["leaf"].to_numpy()
+            c_ids, q_ids, q_most = (t[n].to_numpy() for t, n in ((c_rows, "vec_id"), (q_rows, "vec_id"), (q_rows, "most")))
+            flat, off = lists(q_rows["leaves"].combine_chunks())
+            place = np.repeat(np.arange(len(q_ids)), np.diff(off))
+            for leaf in np.unique(c_leaf).tolist():
+                here, ask = np.flatnonzero(c_leaf == leaf), place[flat == leaf]
+                c, cid, q, qid, most = all_c[here], c_ids[here], all_q[ask], q_ids[ask], q_most[ask]
+                for a in range(0, len(qid), 256):
+                    d = distances(q[a : a + 256], c)
+                    d[qid[a : a + 256][:, None] == cid[None, :]] = np.inf
+                    near = min(k, len(cid)) - 1
+                    kth = np.minimum(np.partition(d, near, axis=1)[:, near], most[a : a + 256])
+                    # what rounding could bring among the k nearest is measured again, difference by difference
+                    slack = 1e-9 * (1 + (q[a : a + 256] ** 2).sum(1) + (c * c).sum(1).max())
+                    qi, ci = np.nonzero((d <= (kth + slack)[:, None]) & (d < np.inf))
+                    s = np.concatenate([np.zeros(0)] + [np.sqrt(((q[a + qi[x : x + 8192]] - c[ci[x : x + 8192]]) ** 2).sum(1)) for x in range(0, len(qi), 8192)])
+                    top = best_of(qi, s, cid[ci], k)
+                    for o, v in zip(out, (ask[a + qi[top]], cid[ci[top]], s[top]), strict=True):
+                        o.append(v)
         cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        if len(cols[0]):  # the best of all leaves of the group, by query row
+            best = best_of(cols[0].astype(np.int64), cols[2], cols[1].astype(np.int64), k)
+            cols = [q_ids[cols[0][best].astype(np.int64)], cols[1][best], cols[2][best]]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
