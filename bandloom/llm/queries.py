@@ -40,7 +40,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     warc.write_archive(_table(spark, sf_dir, "pages"), folder)
-    return warc.summary(warc.read_archive(spark, folder))
+    return warc.summary(spark, folder)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ An archive has two Parquet tables in a folder that all executors share:
 * headers: one row per record with the exact bytes of its WARC record header
   and the digest of its payload.
 
-Reading joins the two on the digest, checks the payload against it, and gives
-back whole records: a response is header, payload and the two line ends; a
-revisit is its header and the line ends (its payload is that of the record it
-refers to).
+Reading checks every payload against its digest, once, and notes its length and
+SHA-1; headers meet these few numbers by the digest. Only responses meet the bytes:
+a response is header, payload and the two line ends; a revisit is its header and the
+line ends (its payload is that of the record it refers to, and comes along on
+request). Both sides of the joins are plain exchanges, which AQE splits where very
+many records share a payload.
 
 Cases: null html is an empty payload; with equal payloads of at least
 min_payload bytes the smallest page_id is the response and the others revisit
@@ -73,16 +75,32 @@ def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     once.select("digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, header, payload and record (the exact bytes of the whole record); a payload that fails its digest is an error."""
-    heads = spark.read.parquet(f"{folder}/headers")
+def payload_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """digest, payload_bytes and sha1 (base32) of each payload; one that fails its digest is an error."""
     body = spark.read.parquet(f"{folder}/payloads")
-    rec = heads.join(body, "digest", "left")
     good = F.unhex(F.sha2("payload", 256)) == F.col("digest")
-    payload = F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged or missing payload "), F.hex("digest"))).cast("binary"))
-    rec = rec.select("page_id", "header", payload.alias("payload"))
-    own = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return rec.withColumn("record", F.concat("header", own, F.lit((_END * 2).encode())))
+    size = F.when(good, F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.hex("digest"))).cast("long"))
+    return cut(body.select("digest", size.alias("payload_bytes"), base32_sha1(F.col("payload")).alias("sha1")))
+
+
+def _heads(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, digest, header, and the facts of the payload; a missing payload is an error."""
+    rec = spark.read.parquet(f"{folder}/headers").join(payload_facts(spark, folder).withColumnRenamed("digest", "known"), F.col("digest") == F.col("known"), "left")
+    size = F.when(F.col("known").isNotNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("missing payload "), F.hex("digest"))).cast("long"))
+    return rec.select("page_id", "digest", "header", size.alias("payload_bytes"), "sha1")
+
+
+def read_archive(spark: SparkSession, folder: str, *, with_revisits: bool = False) -> DataFrame:
+    """page_id, header, payload_bytes, sha1, payload and record (the exact bytes of the whole record).
+
+    The payload of a revisit is null unless with_revisits.
+    """
+    heads = _heads(spark, folder).withColumn("again", field(F.col("header"), "WARC-Type") == "revisit")
+    body = spark.read.parquet(f"{folder}/payloads").withColumnRenamed("digest", "known")
+    meets = (F.col("digest") == F.col("known")) & (F.lit(with_revisits) | ~F.col("again"))
+    rec = heads.join(body, meets, "left")
+    own = F.when(F.col("again"), F.lit(b"")).otherwise(F.col("payload"))
+    return rec.select("page_id", "header", "payload_bytes", "sha1", "payload", F.concat("header", own, F.lit((_END * 2).encode())).alias("record"))
 
 
 def field(header: Column, name: str) -> Column:
@@ -90,10 +108,10 @@ def field(header: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(F.decode(header, "UTF-8"), rf"\r\n{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
-def summary(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to as read back from records."""
+def summary(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to as read back from an archive, without moving payloads."""
     kind, to = field(F.col("header"), "WARC-Type"), field(F.col("header"), "WARC-Refers-To")
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), kind.alias("record_type"), F.regexp_extract(to, r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"))
+    return _heads(spark, folder).select("page_id", "payload_bytes", F.col("sha1").alias("payload_digest"), kind.alias("record_type"), F.regexp_extract(to, r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("refers_to"))
 
 
 def archive_folder(spark: SparkSession) -> str:
