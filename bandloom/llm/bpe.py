@@ -47,13 +47,14 @@ COLUMNS = 128
 FAR = 1 << 40
 
 
-#: Every code point that a text can hold, and its place among them.
-_EVERY = [*range(0xD800), *range(0xE000, 0x110000)]
+def _every() -> np.ndarray:
+    """Every code point that a text can hold."""
+    return np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
 
 
 def _matched(library: str, kind: str) -> np.ndarray | None:
     """Code points of a general category as the Unicode tables of the named library have them."""
-    every = "".join(map(chr, _EVERY))
+    every = _every().astype("<u4").tobytes().decode("utf-32-le")
     try:
         if library == "tiktoken":
             import tiktoken
@@ -67,7 +68,7 @@ def _matched(library: str, kind: str) -> np.ndarray | None:
             keep = np.ones(len(every), bool)
             for _, (a, b) in parts:
                 keep[a:b] = False
-            return np.array(_EVERY, np.uint32)[keep]
+            return _every()[keep]
     except ImportError:
         pass
     return None
@@ -84,7 +85,7 @@ def code_classes(library: str = "tiktoken") -> np.ndarray:
     out = np.zeros(0x110000, np.uint8)
     for kind, k in (("L", LETTER), ("N", NUMBER)):
         found = _matched(library, kind)
-        out[[c for c in _EVERY if unicodedata.category(chr(c))[0] == kind] if found is None else found] = k
+        out[[c for c in _every().tolist() if unicodedata.category(chr(c))[0] == kind] if found is None else found] = k
     white = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
     out[white] = SPACE
     out[0x20] = BLANK

@@ -1,23 +1,29 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text content (shape measures and the words it
-holds) and its page metadata (language, source, stated length). A view is a pair
-of logistic models, one for low quality and one for toxicity. Both views start
-on the labelled rows; in each round a view scores unlabelled documents, and those
-of which its calibrated score is confident become pseudo-labels for the other
-view. A view that can't tell the classes apart on held-out labels is never
-confident, and so teaches nothing. At last each view's scores are calibrated on
-cross-fitted scores of the labelled rows (Platt scaling), the calibrated log-odds
-are added (less the prior, which both hold), the cut that parts the classes best
-is found on the same scores, and all documents are scored.
+holds) and its page metadata (language, source, stated length in steps of a
+quarter of an octave, and pairs of these). A view is a pair of logistic models,
+one for low quality and one for toxicity. Both views start on the labelled rows;
+in each round a view scores unlabelled documents and gives the other view the
+most confident ones of each class, by rank: of N unlabelled documents and a class
+with the prior p, the `share` * p * N documents with the most evidence for the
+class (all that tie with the last of them in a step of 1/256; none whose evidence
+speaks against it). The share grows with each round. What a view teaches weighs as
+much as it was found to know: 2 * AUC - 1 on held-out labels (LEAST at least), so a
+view that can't tell the classes apart is heard, but hardly counts. At last each
+view's scores are calibrated on cross-fitted scores of the labelled rows (Platt
+scaling), the calibrated log-odds (less the prior, which both hold) are added with
+weights fitted on the same scores, the cut that parts the classes best is found on
+them, and all documents are scored.
 
 Labelled rows are a bounded sample on the driver (max_labelled of each
 class: neither, low quality, toxic, both; chosen by a hash of the id). Unlabelled documents stay on the executors, and all
 of them take part: each round scores every one, words are chosen on the counts of
 all pseudo-labelled documents, and models that start from a fit on the labelled
 rows follow gradients summed up over all of them. Pseudo-labelled documents of a
-class weigh one each, but together no more than the labelled ones of the class.
-All documents are scored, whole, by the executors.
+class weigh one each, but together no more than the labelled ones of the class
+(both times what the teaching view is worth). All documents are scored, whole, by
+the executors.
 
 Cases: null text counts as empty; null or unknown language and source are values
 of their own; a null or missing length is taken as 0; repeated rows get equal
@@ -31,8 +37,9 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +74,12 @@ def text_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     upper = (data >= 65) & (data <= 90)
     letter = _LETTER[data]
     digit = (data >= 48) & (data <= 57)
-    # words without marks at either end, in lower case
-    lo, hi = s.copy(), e.copy()
-    for _ in range(4):
-        cut = (lo < hi) & _TRIM[data[np.minimum(lo, len(data) - 1)]] if len(data) else np.zeros(0, bool)
-        lo = lo + cut
-        cut = (lo < hi) & _TRIM[data[np.maximum(hi - 1, 0)]] if len(data) else np.zeros(0, bool)
-        hi = hi - cut
+    # words without marks at either end, in lower case: from the next to the last byte that is none
+    place = np.arange(len(data))
+    after = np.minimum.accumulate(np.where(_TRIM[data], len(data), place)[::-1])[::-1]
+    upto = np.maximum.accumulate(np.where(_TRIM[data], -1, place))
+    lo = np.minimum(after[s], e)
+    hi = np.maximum(upto[e - 1] + 1, lo)
     run = prefix_hash(code[data])
     h = (span_hash(run, lo, hi) >> np.uint64(64 - BITS)).astype(np.int64)
     whole = span_hash(run, s, e)
@@ -110,10 +116,17 @@ def text_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def meta_features(lang: list, source: list, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two measures of the length, and hashed language, source and their pair."""
+    """Two measures of the length, and hashed language, source, length step and their pairs."""
     hashed = lambda t: zlib.crc32(t.encode()) % (1 << META_BITS)
     known: dict[tuple, list[int]] = {}
-    ids = np.array([known.setdefault((a, b), sorted({hashed(f"l{a}"), hashed(f"s{b}"), hashed(f"p{a}|{b}")})) for a, b in zip(lang, source, strict=True)], dtype=object)
+
+    def members(a: str, b: str, c: int) -> list[int]:
+        if (a, b, c) not in known:
+            known[a, b, c] = sorted({hashed(x) for x in (f"l{a}", f"s{b}", f"n{c}", f"p{a}|{b}", f"m{a}|{c // 4}", f"o{b}|{c // 4}")})
+        return known[a, b, c]
+
+    step = np.floor(4 * np.log2(np.maximum(length, 0) + 1)).astype(np.int64).tolist()
+    ids = [members(a, b, c) for a, b, c in zip(lang, source, step, strict=True)]
     n = np.array([len(x) for x in ids], np.int64)
     flat = np.array([y for x in ids for y in x], np.int64)
     size = np.log1p(np.maximum(length, 0)) / 10
@@ -138,8 +151,20 @@ class Linear:
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     spread: np.ndarray = field(default_factory=lambda: np.ones(0))
 
-    def score(self, x: np.ndarray, member: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.spread) @ self.dense + _ragged_sum(self.sparse[member], first) + self.bias
+    def score(self, x: np.ndarray, member: np.ndarray, first: np.ndarray, step: int = 2048) -> np.ndarray:
+        ends = [*range(0, len(x), step), len(x)]
+        words = [_ragged_sum(self.sparse[member[first[a] : first[b]]], first[a : b + 1] - first[a]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return ((x - self.mean) / self.spread) @ self.dense + np.concatenate([np.zeros(0), *words]) + self.bias
+
+    def __getstate__(self) -> dict:
+        """Few members have a weight, and only these are sent."""
+        used = np.flatnonzero(self.sparse)
+        return self.__dict__ | {"sparse": (len(self.sparse), used, self.sparse[used])}
+
+    def __setstate__(self, state: dict) -> None:
+        size, used, weight = state["sparse"]
+        self.__dict__.update(state | {"sparse": np.zeros(size)})
+        self.sparse[used] = weight
 
     @classmethod
     def fit(cls, x: np.ndarray, member: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, chosen: np.ndarray | None = None, *, epochs: int = 120, rate: float = 0.05, decay: float = 2e-4) -> Linear:
@@ -148,23 +173,25 @@ class Linear:
         if not 0 < y.sum() < len(y):
             return m
         z = (x - m.mean) / m.spread
-        used, member = np.unique(member, return_inverse=True)
-        row = np.repeat(np.arange(len(y)), np.diff(first))
-        one_ = np.bincount(member, y[row], minlength=len(used))
-        zero_ = np.bincount(member, 1 - y[row], minlength=len(used))
-        value = (telling(one_, zero_, y.sum(), len(y) - y.sum()) if chosen is None else chosen[used]).astype(np.float64)
+        if chosen is None:
+            one_, zero_ = (np.bincount(_take((x, member, first), np.flatnonzero(y == k))[1], minlength=size) for k in (1, 0))
+            chosen = telling(one_, zero_, y.sum(), len(y) - y.sum())
+        # the others never get a weight, and are left out before the turns
+        keep = chosen[member]
+        row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))[keep]
+        used, member = np.flatnonzero(chosen), (np.cumsum(chosen) - 1)[member[keep]]
         weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
         theta = np.zeros(z.shape[1] + len(used) + 1)
         one, two = np.zeros_like(theta), np.zeros_like(theta)
         d = z.shape[1]
         for t in range(1, epochs + 1):
-            s = z @ theta[:d] + np.bincount(row, (theta[d:-1] * value)[member], minlength=len(y)) + theta[-1]
+            s = z @ theta[:d] + np.bincount(row, theta[d:-1][member], minlength=len(y)) + theta[-1]
             g = weight * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y)
-            grad = np.concatenate([z.T @ g, np.bincount(member, g[row], minlength=len(used)) * value, [g.sum()]]) + decay * np.append(theta[:-1], 0) / 10
+            grad = np.concatenate([z.T @ g, np.bincount(member, g[row], minlength=len(used)), [g.sum()]]) + decay * np.append(theta[:-1], 0) / 10
             one, two = 0.9 * one + 0.1 * grad, 0.99 * two + 0.01 * grad * grad
             theta -= rate * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-6)
         m.dense, m.bias = theta[:d], float(theta[-1])
-        m.sparse[used] = theta[d:-1] * value
+        m.sparse[used] = theta[d:-1]
         return m
 
 
@@ -195,19 +222,20 @@ def best_cut(p: np.ndarray, y: np.ndarray, worth: float = 10.0) -> float:
 
 
 def _take(part: tuple, rows: np.ndarray) -> tuple:
+    """Some rows, in order."""
     x, member, first = part
-    n = np.diff(first)[rows]
-    begin = first[:-1][rows]
-    total = np.concatenate([[0], np.cumsum(n)])
-    at = np.repeat(begin - total[:-1], n) + np.arange(total[-1])
-    return x[rows], member[at], total
+    n = np.diff(first)
+    chosen = np.zeros(len(n), bool)
+    chosen[rows] = True
+    return x[rows], member[np.repeat(chosen, n)], np.concatenate([[0], np.cumsum(n[rows])])
 
 
 @dataclass
 class CoTrained:
-    """For each head (low quality, toxic): the two views' models, their calibration, the prior log-odds and the cut."""
+    """For each head (low quality, toxic): the two views' models, their calibration, the prior log-odds and the cut; taught: pseudo-labels by round (head, learning view, documents of class 0, of class 1)."""
 
     heads: list[tuple[Linear, Linear, tuple[float, float], tuple[float, float], float, float]]
+    taught: list[list[tuple[int, int, int, int]]] = field(default_factory=list)
 
     def scores(self, text: tuple, meta: tuple) -> list[np.ndarray]:
         """Calibrated probability of each head."""
@@ -228,61 +256,152 @@ def _rows_of(batch: pa.RecordBatch) -> tuple[tuple, tuple]:
 
     def part(dense: pa.Array, members: pa.Array, width: int) -> tuple:
         data, off = utf8(members)
-        return np.frombuffer(utf8(dense)[0].tobytes()).reshape(-1, width), np.frombuffer(data.tobytes(), np.int32).astype(np.int64), off // 4
+        return np.frombuffer(utf8(dense)[0].tobytes()).reshape(-1, width), np.frombuffer(data.tobytes(), np.int32), off // 4
 
     return part(batch.column(0), batch.column(1), SHAPES), part(batch.column(2), batch.column(3), 2)
 
 
+#: Steps of evidence (log-odds beyond the prior), 256 for one, from -8 to 8.
+STEPS = 4096
+
+
+#: What a view is worth at least, whatever held-out labels say of it.
+LEAST = 0.005
+
+
+def _marked(score: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset of the log-odds of a view that teaches; one that does not know the classes still ranks by its score."""
+    slope, offset = platt(score, y)
+    if slope > 0 or not 0 < prior < 1:
+        return slope, offset
+    spread = float(score.std()) + 1e-9 if len(score) else 1.0
+    return 1 / spread, float(np.log(prior / (1 - prior))) - (float(np.median(score)) / spread if len(score) else 0.0)
+
+
+def joint(one: np.ndarray, two: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights of the two views' evidence and an offset, none below 0, by logistic regression that shrinks a little towards 1 and 0."""
+    use, w = np.array([True, True, True]), np.array([1.0, 1.0, 0.0])
+    x, to = np.stack([one, two, np.ones(len(y))], 1), np.array([1.0, 1.0, 0.0])
+    while True:
+        own = x[:, use]
+        w = np.where(use, w, 0.0)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h = (own * (p * (1 - p))[:, None]).T @ own + np.eye(own.shape[1])
+            w[use] -= np.linalg.solve(h, own.T @ (p - y) + (w - to)[use])
+        if (w[:2] >= 0).all():
+            return float(w[0]), float(w[1]), float(w[2])
+        use &= np.append(w[:2] >= 0, True)
+
+
+def auc(score: np.ndarray, y: np.ndarray) -> float:
+    """The chance that a row of class 1 scores above one of class 0; ties count half."""
+    _, at, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    one = y.sum()
+    return float((rank[y == 1].sum() - one * (one + 1) / 2) / (one * (len(y) - one))) if 0 < one < len(y) else 0.5
+
+
 @dataclass
 class Teachers:
-    """The models of a round, by head and view, with their calibration; each gives the other view its pseudo-labels."""
+    """The models of a round, by head and view, with slope and offset of their evidence, what they are worth, and the first steps for and last steps against."""
 
     models: list[list[Linear]]
     marks: list[list[tuple[float, float]]]
-    confident: float
+    worth: list[list[float]]
+    priors: list[float]
+    edges: list[list[tuple[int, int]]] = field(default_factory=list)
 
-    def sure(self, views: tuple[tuple, tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Head, view that learns, rows and pseudo-labels."""
+    @classmethod
+    def of(cls, models: list[list[Linear]], views: tuple, labels: list[np.ndarray], held: np.ndarray) -> Teachers:
+        marks, worth = [], []
+        for pair, y in zip(models, labels, strict=True):
+            scores = [m.score(*_take(views[v], held)) for v, m in enumerate(pair)]
+            marks.append([_marked(s, y[held], y.mean() if len(y) else 0.0) for s in scores])
+            worth.append([max(LEAST, 2 * auc(s, y[held]) - 1) for s in scores])
+        return cls(models, marks, worth, [float(y.mean()) if len(y) else 0.0 for y in labels])
+
+    def steps_of(self, views: tuple[tuple, tuple]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Head, view and the step of evidence of each row; the middle step is none."""
         for h, pair in enumerate(self.models):
             for v, m in enumerate(pair):
-                c = self.marks[h][v]
-                if c[0] > 0:
-                    p = 1 / (1 + np.exp(-np.clip(c[0] * m.score(*views[v]) + c[1], -30, 30)))
-                    rows = np.flatnonzero((p > self.confident) | (p < 1 - self.confident))
-                    yield h, 1 - v, rows, (p[rows] > 0.5).astype(np.int64)
+                c, p = self.marks[h][v], self.priors[h]
+                if 0 < p < 1:
+                    evidence = c[0] * m.score(*views[v]) + c[1] - np.log(p / (1 - p))
+                    yield h, v, np.clip(np.rint(evidence * 256) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
+
+    def ranked(self, pool: DataFrame, share: float) -> Teachers:
+        """With the edges that leave the share of each class, from the steps of all documents of the pool."""
+        got, middle = summed_rows(pool, self._histograms), STEPS // 2
+        self.edges = [[(-1, STEPS)] * 2 for _ in self.models]
+        for h, p in enumerate(self.priors):
+            for v in (0, 1):
+                n = got.get(h * 2 + v, np.zeros(STEPS, np.int64))
+                up, down = np.cumsum(n[::-1]), np.cumsum(n)
+                hi = STEPS - 1 - int(np.searchsorted(up, np.ceil(share * p * n.sum())))
+                lo = int(np.searchsorted(down, np.ceil(share * (1 - p) * n.sum())))
+                if n.sum():
+                    self.edges[h][v] = (min(lo, middle - 1), max(hi, middle + 1))
+        return self
+
+    def _histograms(self, views: tuple[tuple, tuple], add: Callable[[int, np.ndarray], None]) -> None:
+        for h, v, step in self.steps_of(views):
+            add(h * 2 + v, np.bincount(step, minlength=STEPS))
 
+    def sure(self, views: tuple[tuple, tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Head, view that learns, rows and pseudo-labels."""
+        for h, v, step in self.steps_of(views):
+            lo, hi = self.edges[h][v]
+            rows = np.flatnonzero((step >= hi) | (step <= lo))
+            yield h, 1 - v, rows, (step[rows] >= hi).astype(np.int64)
 
-def counted(pool: DataFrame, teachers: Teachers) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """For each head and view: pseudo-labelled documents of the two classes in the pool, and how many of them hold each member."""
-    shared = pool.sparkSession.sparkContext.broadcast(teachers)  # a fixed size
-    heads = len(teachers.models)
+
+def summed_rows(pool: DataFrame, count: Callable) -> dict[int, np.ndarray]:
+    """Sums over the pool of what count(views, add) adds under its keys (arrays of int64, summed up in ranges of RANGE)."""
+    shared = pool.sparkSession.sparkContext.broadcast(count)  # models: the members that have a weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[tuple, np.ndarray] = {}
+        n: dict[int, np.ndarray] = {}
+
+        def add(key: int, own: np.ndarray) -> None:
+            n[key] = n[key] + own if key in n else own
+
         for batch in batches:
-            views = _rows_of(batch)
-            for h, v, rows, y in shared.value.sure(views):
-                _, member, first = _take(views[v], rows)
-                own = n.setdefault((h, v), np.zeros((2, SIZES[v] + 1), np.int64))
-                own[:, -1] += np.bincount(y, minlength=2)
-                own[:, :-1] += np.bincount(member + SIZES[v] * np.repeat(y, np.diff(first)), minlength=2 * SIZES[v]).reshape(2, -1)
+            shared.value(_rows_of(batch), add)
         key, blob = [], []
-        for (h, v), own in n.items():
-            for r, a in enumerate(range(0, own.shape[1], RANGE)):
-                key.append((h * 2 + v) * 64 + r)
-                blob.append(zlib.compress(own[:, a : a + RANGE].tobytes(), 1))
+        for k, own in n.items():
+            for r, a in enumerate(range(0, len(own), RANGE)):
+                key.append(k * 64 + r)
+                blob.append(zlib.compress(own[a : a + RANGE].astype(np.int64).tobytes(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(blob, pa.binary())], ["key", "blob"])
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(b.as_py()), np.int64) for b in rows["blob"])
-        return pa.table({"key": rows["key"].slice(0, 1), "blob": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    def total(rows: pa.Table) -> pa.Table:
+        own = sum(np.frombuffer(zlib.decompress(b.as_py()), np.int64) for b in rows["blob"])
+        return pa.table({"key": rows["key"].slice(0, 1), "blob": pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())})
 
-    got = {r["key"]: np.frombuffer(zlib.decompress(r["blob"]), np.int64).reshape(2, -1) for r in pool.mapInArrow(run, "key int, blob binary").groupBy("key").applyInArrow(add, "key int, blob binary").collect()}
+    rows = pool.mapInArrow(run, "key int, blob binary").groupBy("key").applyInArrow(total, "key int, blob binary").collect()
+    shared.unpersist()
+    got = {r["key"]: np.frombuffer(zlib.decompress(r["blob"]), np.int64) for r in rows}
+    return {k: np.concatenate([got[x] for x in sorted(got) if x // 64 == k]) for k in {x // 64 for x in got}}
+
+
+def _members(teachers: Teachers, views: tuple[tuple, tuple], add: Callable[[int, np.ndarray], None]) -> None:
+    """Pseudo-labelled documents by class and member, with the numbers of documents at the end of each class."""
+    for h, v, rows, y in teachers.sure(views):
+        _, member, first = _take(views[v], rows)
+        own = np.zeros((2, SIZES[v] + 1), np.int64)
+        own[:, -1] = np.bincount(y, minlength=2)
+        own[:, :-1] = np.bincount(member + SIZES[v] * np.repeat(y, np.diff(first)), minlength=2 * SIZES[v]).reshape(2, -1)
+        add(h * 2 + v, own.ravel())
+
+
+def counted(pool: DataFrame, teachers: Teachers) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For each head and view: pseudo-labelled documents of the two classes in the pool, and how many of them hold each member."""
+    got = summed_rows(pool, partial(_members, teachers))
     out = {}
-    for h in range(heads):
+    for h in range(len(teachers.models)):
         for v in (0, 1):
-            own = [got[key] for key in sorted(got) if key // 64 == h * 2 + v]
-            whole = np.concatenate(own, axis=1) if own else np.zeros((2, SIZES[v] + 1), np.int64)
+            whole = got.get(h * 2 + v, np.zeros(2 * (SIZES[v] + 1), np.int64)).reshape(2, -1)
             out[h, v] = whole[:, -1], whole[:, :-1]
     return out
 
@@ -297,9 +416,14 @@ def _gradient(z: np.ndarray, member: np.ndarray, first: np.ndarray, y: np.ndarra
     return out
 
 
-def fitted(views: tuple[tuple, tuple], labels: list[np.ndarray], subsets: list[list[np.ndarray]], pool: DataFrame | None, teachers: Teachers | None, *, turns: int = 24, rate: float = 0.05, decay: float = 2e-4) -> list[list[list[Linear]]]:
-    """Models of each head, view and subset of labelled rows, fitted on these and on all pseudo-labelled documents of the pool."""
+def fitted(views: tuple[tuple, tuple], labels: list[np.ndarray], subsets: list[list[np.ndarray]], pool: DataFrame | None, teachers: Teachers | None, taught: list | None = None, *, turns: int = 24, rate: float = 0.05, decay: float = 2e-4) -> list[list[list[Linear]]]:
+    """Models of each head, view and subset of labelled rows, fitted on these and on all pseudo-labelled documents of the pool.
+
+    taught: gets (head, learning view, documents of class 0, of class 1).
+    """
     seen = counted(pool, teachers) if pool is not None and teachers else {}
+    if taught is not None:
+        taught += [(h, v, *n.tolist()) for (h, v), (n, _) in seen.items()]
     out: list[list[list[Linear]]] = []
     plan = {}
     for h, y in enumerate(labels):
@@ -310,14 +434,13 @@ def fitted(views: tuple[tuple, tuple], labels: list[np.ndarray], subsets: list[l
             for rows in subsets[h]:
                 own, target = _take(views[v], rows), y[rows]
                 have = np.bincount(target, minlength=2)
-                if not n.sum() or not have.all():
+                if not n.all() or not have.all():
                     models.append(Linear.fit(*own, target, SIZES[v]))
                     continue
                 # all pseudo-labelled documents of a class together weigh no more than its labelled ones
-                each = np.minimum(1.0, have / np.maximum(n, 1))
+                each = np.minimum(1.0, have / np.maximum(n, 1)) * teachers.worth[h][1 - v]
                 total = have + each * n
-                row = np.repeat(target, np.diff(own[2]))
-                count = [np.bincount(own[1][row == k], minlength=SIZES[v]) + each[k] * c[k] for k in (0, 1)]
+                count = [np.bincount(_take(own, np.flatnonzero(target == k))[1], minlength=SIZES[v]) + each[k] * c[k] for k in (0, 1)]
                 masks.append(telling(count[1], count[0], total[1], total[0]))
                 models.append(Linear.fit(*own, target, SIZES[v], masks[-1]))
                 weights.append((0.5 / total, each))
@@ -348,7 +471,9 @@ def fitted(views: tuple[tuple, tuple], labels: list[np.ndarray], subsets: list[l
             parts = {(h, v): (*small(*_take(got[v], rows), (h, v), place, scale), y.astype(np.int8)) for h, v, rows, y in teachers.sure(got) if (h, v) in place and len(rows)}
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts, 5)], pa.binary())], ["blob"])
 
+    # one task a core reads it, as it is small and read once in every turn
     stored = cut(pool.mapInArrow(shrink, "blob binary"))
+    stored = stored.coalesce(max(1, pool.sparkSession.sparkContext.defaultParallelism))
     thetas = {key: p[4] for key, p in plan.items()}
     own = {(h, v): [(*small(*_take(views[v], rows), (h, v), place, scale), labels[h][rows]) for rows in subsets[h]] for h, v in plan}
     pace = {key: (np.zeros_like(t), np.zeros_like(t)) for key, t in thetas.items()}
@@ -387,21 +512,22 @@ def fitted(views: tuple[tuple, tuple], labels: list[np.ndarray], subsets: list[l
     return out
 
 
-def co_train(text: tuple, meta: tuple, labels: list[np.ndarray], pool: DataFrame | None = None, *, rounds: int = 2, confident: float = 0.98, seed: int = 3) -> CoTrained:
+def co_train(text: tuple, meta: tuple, labels: list[np.ndarray], pool: DataFrame | None = None, *, rounds: int = 2, share: float = 0.15, seed: int = 3) -> CoTrained:
     """text, meta, labels (0 or 1 for each head): of the labelled rows; pool: features (x, w, m, k) of all unlabelled documents."""
     views, n = (text, meta), len(labels[0])
     part = np.random.default_rng(seed).integers(0, 4, n)
     held, train = np.flatnonzero(part == 0), np.flatnonzero(part != 0)
-    teachers = None
-    for _ in range(rounds if pool is not None else 0):
-        models = [[of_view[0] for of_view in head] for head in fitted(views, labels, [[train]] * len(labels), pool, teachers)]
-        marks = [[platt(m.score(*_take(views[v], held)), y[held]) for v, m in enumerate(pair)] for pair, y in zip(models, labels, strict=True)]
-        teachers = Teachers(models, marks, confident)
+    teachers, rounds_ = None, []
+    for turn in range(rounds if pool is not None else 0):
+        rounds_.append([])
+        models = [[of_view[0] for of_view in head] for head in fitted(views, labels, [[train]] * len(labels), pool, teachers, rounds_[-1])]
+        teachers = Teachers.of(models, views, labels, held).ranked(pool, share * (turn + 1))
+    rounds_.append([])
     # calibration and the cut on scores of models that have not seen the row; the models themselves on all rows
     everything = np.arange(n)
     subsets = [[everything, *[np.flatnonzero(part != f) for f in range(4)]]] * len(labels)
     heads = []
-    for y, (a, b) in zip(labels, fitted(views, labels, subsets, pool, teachers), strict=True):
+    for y, (a, b) in zip(labels, fitted(views, labels, subsets, pool, teachers, rounds_[-1]), strict=True):
         if not 0 < y.sum() < n:
             heads.append((a[0], b[0], (0.0, -30.0), (0.0, 0.0), 0.0, 0.5))
             continue
@@ -411,10 +537,12 @@ def co_train(text: tuple, meta: tuple, labels: list[np.ndarray], pool: DataFrame
             rows = np.flatnonzero(part == f)
             for v, models in enumerate((a, b)):
                 unseen[v, rows] = models[1 + f].score(*_take(views[v], rows))
-        marks = [platt(unseen[v], y) for v in (0, 1)]
+        one, two = (platt(unseen[v], y) for v in (0, 1))
+        u, v, offset = joint(one[0] * unseen[0] + one[1], two[0] * unseen[1] + two[1] - prior, y)
+        marks = [(u * one[0], u * one[1] + offset), (v * two[0], v * (two[1] - prior) + prior)]
         both = marks[0][0] * unseen[0] + marks[0][1] + marks[1][0] * unseen[1] + marks[1][1] - prior
         heads.append((a[0], b[0], *marks, prior, best_cut(1 / (1 + np.exp(-np.clip(both, -30, 30))), y)))
-    return CoTrained(heads)
+    return CoTrained(heads, rounds_)
 
 
 @dataclass(frozen=True)
@@ -472,6 +600,8 @@ def train(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), colu
     else:
         text, meta = ((np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(1, np.int64)) for width in (SHAPES, 2))
     kind = got["kind"].to_numpy().astype(np.int64)
+    del got
+    pa.default_memory_pool().release_unused()
     low, toxic = kind & 1, kind >> 1
     return co_train(text, meta, [low, toxic], features.where("kind = -1").select(*body), seed=bounds.seed)
 
