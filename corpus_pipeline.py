@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 every stage's rows as Parquet in the shared folder and reads them again, so a
 lost executor never sends the job back across a stage.
+
+Cases, for every stage: columns beside the five are not read and do not come out;
+a null text counts as empty, and stays in all stages but the removal of repeated
+strings and the encoder, which give an empty text; null language, source and length
+are values of their own; ids may be null or repeated, and rows are then told apart
+by what they hold; very long texts are handled whole; an empty table gives an empty
+table. How ties and repeated rows are settled is said at each stage.
 """
 
 from __future__ import annotations
@@ -20,7 +27,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for neither low quality nor toxic."""
+    """Documents that the classifier takes for neither low quality nor toxic.
+
+    Repeated rows get the same verdict; without labels all documents stay.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(*COLUMNS), model, whole=True).where("_bl_keep").select(*COLUMNS)
 
@@ -40,7 +50,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 200 bytes (about 50 tokens) that stand in several places; no row goes."""
+    """Texts without the strings of 200 bytes (about 50 tokens) that stand in several places; no row goes.
+
+    Rows equal in id and text repeat each other (the stage before leaves none). A
+    character that a cut halves goes as a whole.
+    """
     out = suffixes.remove_repeats(docs, length=200, as_text=True, carry=["lang", "source"])
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -49,7 +63,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents repeated or left out so that sources reach their target weights; none is cut.
 
     The document at the edge of a source's fractional repetition is taken whole
-    or not at all, whichever brings the source nearer to its target.
+    or not at all, whichever brings the source nearer to its target. Documents are
+    ordered by a seeded digest of the id, then id and size; rows that tie in all are
+    taken or left alike. A text without words comes as often as its source does in
+    whole repetitions.
     """
     nearer = F.when(F.col("part") * 2 >= F.col("size"), F.col("size")).otherwise(0).cast("long")
     out = mixing.expand(mixing.mix(docs, carry=["text", "lang"]).withColumn("part", nearer))
@@ -57,7 +74,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the text decoded from them."""
+    """doc_id, n_tokens, ids, and the text decoded from them; a row for each row."""
     return bpe.round_trip(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 

@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,52 @@ def test_nearest_fills_every_list(spark, recall, leaf_rows):
     assert counts == {i: 10 for i in range(0, 8000, 40)}
 
 
+def test_nearest_prunes_clustered_vectors(spark):
+    """Well below half of the rows are compared, and nine in ten neighbours are found among all rows."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(200, 16)) * 4
+    x = (centre[rng.integers(200, size=50_000)] + rng.normal(size=(50_000, 16))).astype(np.float32).astype(np.float64)
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))})).repartition(4)
+    got = neighbours.nearest(rows, every=500).toArrow()
+    q = np.arange(0, 50_000, 500)
+    d = neighbours.distances(x[q], x)
+    d[np.arange(len(q)), q] = np.inf
+    near = np.argsort(d, 1)[:, :10]
+    mine = set(zip(got["query_id"].to_pylist(), got["vec_id"].to_pylist(), strict=True))
+    assert len(mine) == 1000 and sum((a, b) in mine for a, own in zip(q.tolist(), near.tolist(), strict=True) for b in own) >= 900
+    dim, tree, ids, sample = neighbours.fit_tree(neighbours.clean(rows, "vec_id", "embedding"), k=10, sample=8192, recall=0.98)
+    size = np.bincount(tree.assign(x), minlength=tree.leaves)
+    held = np.bincount(tree.assign(sample), minlength=tree.leaves)
+    visited = np.mean([size[tree.visit(v, tree.visits, held, 11)].sum() for v in x[q]]) / len(x)
+    assert tree.leaves > 100 and visited < 0.25
+
+
+def test_repeated_queries_count_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(400)]
+    rows += [rows[0], rows[0], rows[7]]
+    df = spark.createDataFrame(rows, VECTORS)
+    for got, k in ((neighbours.nearest(df), 10), (topk.exact_top_k(df, every=100), 5)):
+        own = got.where("query_id = 0").collect()
+        assert len(own) == k and sorted(r["rank"] for r in own) == list(range(1, k + 1))
+        assert len({r["vec_id"] for r in own} - {7}) >= k - 2  # only the repeated candidate can stand twice
+
+
+def test_nearest_splits_a_hot_leaf(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) * (1e-3 if i % 2 else 1)).astype(np.float32).tolist()) for i in range(1200)]
+    got = neighbours.nearest(spark.createDataFrame(rows, VECTORS).repartition(3), every=2, recall=1.0).collect()
+    x = {i: np.array(v, np.float64) for i, v in rows}
+    found = 0
+    for i in range(0, 1200, 60):
+        near = sorted((float(((x[i] - v) ** 2).sum()), j) for j, v in x.items() if j != i)[:10]
+        mine = {r["vec_id"] for r in got if r["query_id"] == i}
+        assert len(mine) == 10
+        found += len(mine & {j for _, j in near})
+    assert found >= 190
+
+
 def test_nearest_of_nothing(spark):
     assert neighbours.nearest(spark.createDataFrame([], VECTORS)).count() == 0
 
@@ -93,7 +140,7 @@ def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(0).normal(size=(500, 8))
     tree = neighbours.Tree.fit(x, 20, 4, 0)
     walk = tree.visit(x[0], tree.leaves)
-    assert sorted(walk) == list(range(tree.leaves)) and walk[0] == tree.assign(x[:1])[0] or tree.leaves > 1
+    assert tree.leaves > 1 and sorted(walk) == list(range(tree.leaves)) and walk[0] == tree.assign(x[:1])[0]
 
 
 @pytest.mark.parametrize("least", [0, 4])
@@ -104,7 +151,7 @@ def test_warc(spark, tmp_path, least):
     rows += [(61, None, None), (62, "u", None), (7, "again", "twice"), (7, "again", "twice"), (None, "n", "<b>same</b>" * 50), (None, "n", "alone")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)
     warc.write_archive(df, f"{tmp_path}/a", min_payload=least)
-    records = warc.read_archive(spark, f"{tmp_path}/a")
+    records = warc.read_archive(spark, f"{tmp_path}/a", with_revisits=least == 0)
     first = {}
     for i, _, h in rows:
         b = (h or "").encode()
@@ -115,25 +162,31 @@ def test_warc(spark, tmp_path, least):
         again = len(b) >= least and i != first[b]
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first[b] if again else None))
     key = lambda r: tuple(map(str, r))
-    assert sorted(map(tuple, warc.summary(records).collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, warc.summary(spark, f"{tmp_path}/a").collect()), key=key) == sorted(want, key=key)
     assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == len({(h or "").encode() for _, _, h in rows})
     for r in records.collect():
         head, body = bytes(r["record"]).split(b"\r\n\r\n", 1)
         size = int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0])
         assert head.startswith(b"WARC/1.1\r\n") and body[size:] == b"\r\n\r\n"
         assert b"revisit" in head or body[:size] == bytes(r["payload"])
+        assert (r["payload"] is None) == (b"revisit" in head and least > 0)
+        assert r["payload"] is None or r["payload_bytes"] == len(r["payload"]) and base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() == r["sha1"]
 
 
 def test_warc_of_nothing_and_damage(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archive(empty, f"{tmp_path}/e")
-    assert warc.summary(warc.read_archive(spark, f"{tmp_path}/e")).count() == 0
+    assert warc.summary(spark, f"{tmp_path}/e").count() == 0
     warc.write_archive(spark.createDataFrame([(1, "u", "body")], empty.schema), f"{tmp_path}/d")
     bad = spark.read.parquet(f"{tmp_path}/d/payloads").withColumn("payload", F.lit(b"other"))
     bad.write.parquet(f"{tmp_path}/d2/payloads")
     spark.read.parquet(f"{tmp_path}/d/headers").write.parquet(f"{tmp_path}/d2/headers")
     with pytest.raises(Exception, match="damaged"):
         warc.read_archive(spark, f"{tmp_path}/d2").collect()
+    spark.read.parquet(f"{tmp_path}/d/headers").write.parquet(f"{tmp_path}/d3/headers")
+    spark.read.parquet(f"{tmp_path}/d/payloads").limit(0).write.parquet(f"{tmp_path}/d3/payloads")
+    with pytest.raises(Exception, match="missing"):
+        warc.summary(spark, f"{tmp_path}/d3").collect()
 
 
 def test_pipeline(spark, tmp_path):
@@ -161,10 +214,26 @@ def test_pipeline(spark, tmp_path):
     third = frames[2].collect()
     assert {r["doc_id"] for r in third} == second and not any("shared10 shared11 shared12" in (r["text"] or "") for r in third)
     ids = {r["doc_id"]: r["text"] for r in frames[3].collect()}
-    assert all(r["text"] == (ids[r["doc_id"]] or "") or len(r["ids"]) == r["n_tokens"] for r in frames[4].collect())
+    assert all(r["text"] == (ids[r["doc_id"]] or "") and len(r["ids"]) == r["n_tokens"] for r in frames[4].collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frames[4].count()
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm.test_text_operators import DOCS
+
+    labels = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/e/documents.parquet")
+    spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/e/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
+    rows = [(None, None, None, None, None), (None, "a b c", None, None, None), (None, "d e f", "en", None, 5), (3, "", "en", "s", 0), (3, "x " * 30_000, None, "s", None), (4, "one", "de", "s", 3)]
+    odd = spark.createDataFrame([(*r, 1, "l") for r in rows], DOCS + ", size int, label string")
+    odd.write.parquet(f"{tmp_path}/o/documents.parquet")
+    spark.createDataFrame([(None, 0, 0), (4, None, 1)], labels).write.parquet(f"{tmp_path}/o/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/o")
+    assert out.columns == ["doc_id", "n_tokens", "ids", "text"] and {r["text"] for r in out.collect()} <= {"", "a b c", "d e f", "one"} | {r["text"] for r in out.where("doc_id = 3").collect()}
+
+
 def test_near_dedup_keeps_one_row_of_a_class(spark):
     import corpus_pipeline
     from tests.llm.test_text_operators import DOCS

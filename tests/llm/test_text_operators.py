@@ -60,13 +60,35 @@ def test_encoding_as_the_library_and_back(spark):
         assert rows[i]["ends"] == ends
     back = {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode(encoded, spec).collect()}
     assert back == {i: (t or "").encode() for i, t in enumerate(texts)}
-    digest = {r["doc_id"]: r for r in bpe.decode(encoded, spec, digests=True).collect()}
-    assert all(digest[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() and digest[i]["n_tokens"] == len(rows[i]["ids"]) for i, t in enumerate(texts))
+    df = table(spark, [(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
+    digest = {r["doc_id"]: r for r in bpe.round_trip(df, spec, digests=True).collect()}
+    packed = lambda ids: hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert {i: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for i, r in digest.items()} == {i: (len(rows[i]["ids"]), packed(rows[i]["ids"]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(texts)}
+    both = {r["doc_id"]: (r["n_tokens"], r["ids"], r["text"]) for r in bpe.round_trip(df, spec).collect()}
+    assert both == {i: (len(rows[i]["ids"]), rows[i]["ids"], t or "") for i, t in enumerate(texts)}
+    with pytest.raises(Exception, match="lack"):
+        bpe.decode(spark.createDataFrame([(1, [10**7])], "doc_id long, ids array<int>"), spec).collect()
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bytes(bpe.decode(nothing, spec).first()["bytes"]) == b""
     assert bpe.encode(table(spark, []), spec).count() == 0
 
 
+def test_very_long_words(spark):
+    import public_tokenizers as public
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    texts = ["a" * 1_000_000, "".join(rng.choice("abcdefgh") for _ in range(300_000)), "é" * 20_000, "".join(rng.choice("etaoin") for _ in range(5000)) + " end", "x" * 4096, "x" * 4097]
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    got = token_count.token_counts(table(spark, list(enumerate(texts))), vocabulary("byte_bpe_50k.json")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    spec = vocabulary("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.rank_table(spec), special_tokens={})
+    back = {r["doc_id"]: r for r in bpe.round_trip(table(spark, list(enumerate(texts[1:]))), spec).collect()}
+    assert all(back[i]["text"] == t and back[i]["ids"] == own.encode_ordinary(t) for i, t in enumerate(texts[1:]))
+
+
 def test_merging_needs_leftmost_first():
     # "ab" once left of "abb" etc.: one merge at a time, as a plain loop does it
     rng = random.Random(0)
@@ -206,6 +228,60 @@ def test_suffixes(spark, seed, hot):
     assert {r["fp"] for r in as_text.collect()} == {"own"}
 
 
+def thue_morse(doublings):
+    """A word over a and b, and its complement: they share every polynomial hash modulo a power of two, if long enough."""
+    word = "a"
+    for _ in range(doublings):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("hot", [8.0, -1.0])
+def test_long_words_are_told_apart(spark, hot):
+    one, two = thue_morse(12)
+    body = [f"w{i}" for i in range(19)]
+    docs = [(1, " ".join([*body, one])), (2, " ".join([*body, two])), (3, " ".join([*body, one, *body, two])), (4, one * 3), (5, two * 3), (6, one[:500]), (7, two[:500])]
+    df = table(spark, docs)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in passages.remove_repeats(df, hot=hot).collect())
+    assert got == brute_words(docs)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["bytes"])) for r in suffixes.remove_repeats(df, hot=hot).collect())
+    assert got == brute_bytes(docs)
+    near = neardup.near_duplicates(table(spark, docs[:5]), scheme=neardup.Scheme(words=4))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near.collect()) == brute_classes(docs[:5], 4)
+
+
+def test_texts_without_ids_are_told_apart(spark):
+    # texts of one 32-bit hash: found among many by the hash itself
+    many = spark.range(600_000).select(F.concat_ws(" ", F.lit("x" * 470), F.col("id").cast("string"), F.lit(" y" * 30)).alias("text"))
+    twins = many.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()["t"][:2]
+    rng = random.Random(4)
+    own = [" ".join(f"{rng.random()}" for _ in range(60)) for _ in range(3)]
+    docs = [(None, twins[0][470:] * 12), (None, own[0]), (None, own[1]), (None, own[1]), (7, own[2]), (7, own[2] + " end"), (None, twins[0]), (None, twins[1])]
+    df = table(spark, docs).repartition(2)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["bytes"])) for r in suffixes.remove_repeats(df).collect())
+    assert got == brute_bytes(docs)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in passages.remove_repeats(df).collect())
+    assert got == brute_words(docs)
+
+
+def test_prints_are_polynomials_modulo_a_prime():
+    from bandloom.llm.common import PRIME, Prints, mul_mod, word_keys, word_spans
+
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, PRIME, (2, 500), dtype=np.uint64)
+    assert [int(x) * int(y) % PRIME for x, y in zip(a, b, strict=True)] == mul_mod(a, b).tolist()
+    p, units = Prints(5), rng.integers(0, 256, 900).astype(np.uint64)
+    start = rng.integers(0, 600, 50)
+    end = start + rng.integers(0, 300, 50)
+    want = [(sum(x * pow(p.outer, k, PRIME) for k, x in enumerate(units[s:e].tolist())) * p.outer + int(e - s) + 1) % PRIME for s, e in zip(start, end, strict=True)]
+    assert p.spans(p.runs(units), start, end).tolist() == want
+    raw = b" ".join(rng.choice([b"a", b"a\0", b"ab", b"abcdefg", b"abcdefgh", b"z" * 57, b"z" * 58, b"z" * 500], 300))
+    data = np.frombuffer(raw, np.uint8)
+    s, e, _ = word_spans(data, np.array([0, len(raw)]))
+    for numbers in (p.words(data, s, e).tolist(), word_keys(data, s, e).tolist()):
+        assert len(set(zip(raw.split(b" "), numbers, strict=True))) == len(set(raw.split(b" "))) == len(set(numbers))
+
+
 def test_removal_of_nothing(spark):
     assert passages.remove_repeats(table(spark, [])).count() == 0 and suffixes.remove_repeats(table(spark, [])).count() == 0
 
@@ -261,8 +337,8 @@ def brute_classes(docs, words, percent=80):
     return Counter((i, len(s), find(i) if s else i, i == (find(i) if s else i)) for i, s in own)
 
 
-@pytest.mark.parametrize(("words", "hot"), [(4, 5000), (5, 5000), (4, 1)])
-def test_near_duplicates(spark, words, hot):
+@pytest.mark.parametrize(("words", "hot", "block"), [(4, 5000, 512), (5, 5000, 3), (4, 1, 7)])
+def test_near_duplicates(spark, words, hot, block):
     rng = random.Random(words)
     vocab = [f"w{i}" for i in range(200)]
     docs, base = [], [[rng.choice(vocab) for _ in range(rng.randint(3, 120))] for _ in range(12)]
@@ -273,7 +349,7 @@ def test_near_duplicates(spark, words, hot):
         docs.append((i + 1, " ".join(own)))
     docs += [(500, None), (501, ""), (502, " \t "), (503, "one"), (504, "ONE"), (505, "two words"), (506, " two  words ")]
     df = table(spark, docs).withColumn("kept", F.lit(0)).withColumn("label", F.lit("x")).repartition(3)
-    out = neardup.near_duplicates(df, scheme=neardup.Scheme(words=words), hot_from=hot)
+    out = neardup.near_duplicates(df, scheme=neardup.Scheme(words=words), hot_from=hot, block=block)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out.collect()) == brute_classes(docs, words)
 
 
@@ -288,6 +364,32 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 3)]
     got = {r["id"]: r["label"] for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100}
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400, i) for i in range(310, 330)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["id"]: r["label"] for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+
+
+def test_near_copies_in_blocks(spark):
+    # copies of one text, each changed elsewhere: many are linked only through others
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    docs = []
+    for i in range(120):
+        own = list(base)
+        for k in range(rng.choice([1, 2, 3, 4, 5])):
+            own[rng.randrange(100)] = f"x{i}y{k}"
+        docs.append((1000 - i, " ".join(own)))
+    want = brute_classes(docs, 5)
+    assert len({r[2] for r in want}) > 3
+    for block in (16, 512):
+        out = neardup.near_duplicates(table(spark, docs).repartition(3), block=block).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == want
 
 
 def test_scheme_misses_little():
@@ -346,6 +448,46 @@ def test_classifier_learns_from_every_unlabelled_document(spark):
     assert model.heads[0][0].sparse[member].item() > 0
 
 
+def test_views_teach_each_other(spark):
+    docs, labels = corpus(1500, 8)
+    rng = random.Random(3)
+    # sources tell of bad pages, but not surely
+    docs = [(i, t, lang, "s1" if (q == 0) != (rng.random() < 0.2) else "s2", n) for (i, t, lang, _, n), (_, q, _) in zip(docs, labels, strict=True)]
+    model = quality.train(table(spark, docs, DOCS).repartition(3), table(spark, labels[:400], "doc_id long, quality int, toxic int"))
+    assert len(model.taught) == 3 and model.taught[0] == []
+    for turn in model.taught[1:]:
+        assert sorted((h, v) for h, v, *_ in turn) == [(0, 0), (0, 1), (1, 0), (1, 1)] and all(a > 0 and b > 0 for *_, a, b in turn)
+    # against a plain run of the same rules: which documents a view gives, by rank
+    rows = [docs[i] for i in range(400, 1500)]
+    part = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)]
+    views = quality._features(part, 0, len(rows))
+    known = quality._features([pa.array(c, k) for c, k in zip(zip(*docs[:400], strict=True), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], 0, 400)
+    y = [np.array([int(q == 0) for _, q, _ in labels[:400]]), np.array([t for *_, t in labels[:400]])]
+    held = np.arange(0, 400, 4)
+    models = [[quality.Linear.fit(*known[v], own, quality.SIZES[v]) for v in (0, 1)] for own in y]
+    teachers = quality.Teachers.of(models, known, y, held)
+    pool = spark.createDataFrame([tuple(bytes(c) for c in r) for r in _packed(views, len(rows))], "x binary, w binary, m binary, k binary").repartition(3)
+    teachers.ranked(pool, 0.15)
+    for h, v, step in teachers.steps_of(views):
+        p = y[h].mean()
+        order = np.sort(step)
+        many, few = int(np.ceil(0.15 * p * len(step))), int(np.ceil(0.15 * (1 - p) * len(step)))
+        assert teachers.edges[h][v] == (min(order[few - 1], quality.STEPS // 2 - 1), max(order[::-1][many - 1], quality.STEPS // 2 + 1))
+    got = quality.counted(pool, teachers)
+    for h, v, chosen, own in teachers.sure(views):
+        assert got[h, v][0].tolist() == np.bincount(own, minlength=2).tolist()
+        _, member, first = quality._take(views[v], chosen)
+        want = np.zeros((2, quality.SIZES[v]), np.int64)
+        np.add.at(want, (np.repeat(own, np.diff(first)), member), 1)
+        assert np.array_equal(got[h, v][1], want)
+
+
+def _packed(views, n):
+    (x, w, wf), (m, k, kf) = views
+    for i in range(n):
+        yield x[i].tobytes(), w[wf[i] : wf[i + 1]].astype(np.int32).tobytes(), m[i].tobytes(), k[kf[i] : kf[i + 1]].astype(np.int32).tobytes()
+
+
 def test_classifier_takes_both_labels_of_a_document(spark):
     rng = random.Random(7)
     body = lambda: " ".join(f"word{rng.randrange(300)}" for _ in range(40))
