@@ -18,11 +18,19 @@ are found in two steps.
    the connected components of these pairs are the families. Whatever shares a
    key and could be linked is in one family.
 2. Links. The members of a family are compared on their full sets of shingle
-   hashes (64 bits each), taken from the whole texts, unless links found before
-   connect them already. A family of any size is cut into blocks, of which every
-   two meet in a task of their own.
-
-Components are found by alternating stars on pairs, in the cluster.
+   fingerprints, taken from the whole texts, unless links found before connect
+   them already. A family of up to a block (by documents and by shingles) meets
+   in one task. In a larger one the pairs that made the family are confirmed
+   first, each star of them in parts of bounded size; then all that these links
+   do not put into the family's largest component meet, in blocks, one another
+   and the blocks of that component. So a large group of near copies costs a
+   task for each block of it and not for each two blocks.
+
+Shingles are compared by fingerprints modulo a prime (common.Prints): two
+different ones agree with a chance of about 2**-58, and the confirmation of links
+uses other fingerprints than the search. Components are found by alternating
+stars on pairs, in the cluster; a star's centre is never the key of more rows
+than AQE can split.
 
 An entry A_i that more than max(5000, a hundred-thousandth of all) rows share is
 hot (at most 100,000 of them). Its rows are dealt by (A_i, B_j) and in blocks of
@@ -45,7 +53,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, cut, mix, prefix_hash, span_hash, spread, steps, utf8, word_spans
+from ..storage import stored
+from .common import Prints, cut, mix, spread, steps, utf8, word_spans
 from .windows import NO_ID
 
 
@@ -67,16 +76,20 @@ class Scheme:
         return max(0, int(np.floor(self.minima * s - 5 * np.sqrt(self.minima * s * (1 - s)))))
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, words: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, one row after the other, and their numbers."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray, words: int, prints: Prints) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle fingerprints of each row, one row after the other, and their numbers."""
+    data = _LOWER[data]
     s, e, first = word_spans(data, off)
-    h = span_hash(prefix_hash(code[data]), s, e)
-    run = prefix_hash(h)
+    run = prints.runs(prints.words(data, s, e))
     n = np.diff(first)
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     row, place = spread(count)
     at = first[:-1][row] + place
-    hashes = span_hash(run, at, at + np.minimum(words, n)[row])
+    hashes = prints.spans(run, at, at + np.minimum(words, n)[row])
     order = np.lexsort((hashes, row))
     hashes, row = hashes[order], row[order]
     keep = np.ones(len(hashes), bool)
@@ -86,14 +99,14 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int, code: np.ndarray
 
 def signatures(scheme: Scheme):
     """(id, text) to (id, n, h, a, b, sig): set size, hash of the set, the two collections, and a byte of each minimum."""
-    code = byte_codes(fold=True)
+    prints = Prints(scheme.seed)
     rng = np.random.default_rng(scheme.seed)
     factor = rng.integers(0, 2**63, scheme.minima, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, scheme.minima, dtype=np.uint64)
     prime = np.uint64(0xD6E8FEB86659FD93)
 
     def step(data: np.ndarray, off: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-        hashes, n = shingle_sets(data, off, scheme.words, code)
+        hashes, n = shingle_sets(data, off, scheme.words, prints)
         some = np.flatnonzero(n)
         begin = (np.cumsum(n) - n)[some]
         low = np.zeros((len(n), scheme.minima), np.uint64)
@@ -179,6 +192,11 @@ class Forest:
             up[x] = x = up.get(y, y)
         return x
 
+    def tie(self, a: int, b: int) -> None:
+        """Join without keeping the pair."""
+        x, y = self.root(a), self.root(b)
+        self.up[max(x, y)] = min(x, y)
+
     def join(self, a: int, b: int) -> None:
         x, y = self.root(a), self.root(b)
         if x != y:
@@ -330,23 +348,24 @@ def bucket_pairs(scheme: Scheme):
 PAIR = "a long, b long"
 
 
-def confirmed(members: DataFrame, rows: DataFrame, scheme: Scheme, block: int = 512) -> DataFrame:
-    """Links (a, b) within families (members: id, label), on the full shingle sets of the whole texts (rows: id, text).
+def _sets(table: pa.Table, scheme: Scheme, prints: Prints) -> list[np.ndarray]:
+    """Shingle sets of the whole texts."""
+    data, off = utf8(table["text"].combine_chunks())
+    sets: list[np.ndarray] = []
+    for s, e in steps(off):
+        h, n = shingle_sets(data[off[s] : off[e]], off[s : e + 1] - off[s], scheme.words, prints)
+        sets += np.split(h, np.cumsum(n)[:-1])
+    return sets
 
-    A family is cut into blocks of about `block` documents, of which every two
-    meet in a task. There, documents that links connect already are compared no
-    more, and only the links that connect are returned; all others are compared.
-    """
-    code = byte_codes(fold=True)
+
+def block_links(scheme: Scheme):
+    """(label, lo, hi) and rows (side, id, comp, text) to links that connect: of two blocks (sides), or of one (lo = hi)."""
+    prints = Prints(scheme.seed + 1)
 
     def met(key: tuple, table: pa.Table) -> pa.Table:
         side, ids = table["side"].to_numpy(), table["id"].to_numpy()
         same = key[1].as_py() == key[2].as_py()
-        data, off = utf8(table["text"].combine_chunks())
-        sets: list[np.ndarray] = []
-        for s, e in steps(off):
-            h, n = shingle_sets(data[off[s] : off[e]], off[s : e + 1] - off[s], scheme.words, code)
-            sets += np.split(h, np.cumsum(n)[:-1])
+        sets = _sets(table, scheme, prints)
         size = np.array([len(x) for x in sets])
         # shingles that stand in several sets, as bits; for very long texts the sets themselves are intersected
         _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -359,6 +378,8 @@ def confirmed(members: DataFrame, rows: DataFrame, scheme: Scheme, block: int =
             row, col = row[keep], place[at[keep]]
             np.bitwise_or.at(bits, (row, col >> 3), (1 << (col & 7)).astype(np.uint8))
         forest = Forest()
+        for a, b in zip(ids.tolist(), table["comp"].to_pylist(), strict=True):
+            forest.tie(a, b)
         order = np.argsort(ids, kind="stable")
         for i, p in enumerate(order.tolist()):
             other = order[i + 1 :]
@@ -378,34 +399,92 @@ def confirmed(members: DataFrame, rows: DataFrame, scheme: Scheme, block: int =
                 forest.join(int(ids[p]), int(ids[q]))
         return forest.table()
 
-    blocks = members.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(blocks, "label").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = rows.join(placed.hint("shuffle_hash"), "id")
-    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
-    return pairs.select("label", "lo", "hi", "side", "id", "text").groupBy("label", "lo", "hi").applyInArrow(met, PAIR).distinct()
+    return met
+
+
+def star_links(scheme: Scheme):
+    """(centre, part) and rows (id, text) to links of the centre with the others."""
+    prints = Prints(scheme.seed + 1)
+
+    def met(key: tuple, table: pa.Table) -> pa.Table:
+        ids, sets, centre = table["id"].to_numpy(), _sets(table, scheme, prints), key[0].as_py()
+        forest = Forest()
+        for p in np.flatnonzero(ids == centre).tolist():
+            for q in np.flatnonzero(ids != centre).tolist():
+                x, y = len(sets[p]), len(sets[q])
+                if 100 * min(x, y) < scheme.percent * max(x, y) or not y:
+                    continue
+                common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if 100 * common >= scheme.percent * (x + y - common):
+                    forest.join(centre, int(ids[q]))
+        return forest.table()
+
+    return met
+
+
+def confirmed(near: DataFrame, weights: DataFrame, rows: DataFrame, scheme: Scheme, block: int = 512, shingles: int = 400_000) -> DataFrame:
+    """Links (a, b) within the families that pairs `near` make, on the full shingle sets of the whole texts (rows: id, text).
+
+    weights: id and n, its shingles. A block has about `block` documents or `shingles` shingles at most (or one document).
+    """
+    by_block = lambda count, total: F.greatest(F.ceil(count / block), F.ceil(total / shingles)).cast("int")
+    placed = components(near).join(weights, "id")
+    sizes = placed.groupBy("label").agg(by_block(F.count("*"), F.sum("n")).alias("blocks"))
+    placed = cut(placed.join(sizes, "label"))
+    large = placed.where("blocks > 1").select("id", "label", "n")
+    some = not large.isEmpty()
+    if some:  # several joins need the texts of the families, so these are taken out of all texts once
+        rows = stored(rows.join(placed.select("id"), "id", "left_semi"))
+    texts = lambda members: rows.join(members.hint("shuffle_hash"), "id")
+    small = placed.where("blocks = 1").select("id", "label", F.lit(0).alias("side"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.col("id").alias("comp"))
+    links = texts(small).groupBy("label", "lo", "hi").applyInArrow(block_links(scheme), PAIR)
+    if not some:
+        return links
+    # the pairs that made a large family, a star at a time
+    pairs = near.join(large.select(F.col("id").alias("b"), "n"), "b")
+    parts = pairs.groupBy("a").agg(by_block(F.count("*"), F.sum("n")).alias("parts"))
+    far = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
+    stars = far.unionByName(far.select("a", "part").distinct().withColumn("id", F.col("a")))
+    linked = cut(texts(stars).groupBy("a", "part").applyInArrow(star_links(scheme), PAIR).distinct())
+    # all but the largest component of a family meets everything, in blocks
+    comp = components(linked).withColumnRenamed("label", "comp")
+    large = large.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mains = large.groupBy("label", "comp").agg(F.count("*").alias("m")).groupBy("label").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("main"))
+    large = cut(large.join(mains, "label").withColumn("rest", (F.col("comp") != F.col("main")).cast("int")).drop("main"))
+    rest = large.groupBy("label").agg(*[by_block(F.sum(F.when(F.col("rest") == r, 1).otherwise(0)), F.sum(F.when(F.col("rest") == r, F.col("n")).otherwise(0))).alias(c) for r, c in ((1, "r_blocks"), (0, "m_blocks"))])
+    own = large.join(rest.where("r_blocks > 0"), "label")
+    place = F.xxhash64("id")
+    side = F.when(F.col("rest") == 1, F.pmod(place, F.col("r_blocks"))).otherwise(F.col("r_blocks") + F.pmod(place, F.col("m_blocks"))).cast("int")
+    last = F.when(F.col("rest") == 1, F.col("r_blocks") + F.col("m_blocks") - 1).otherwise(F.col("r_blocks") - 1)
+    own = own.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    own = own.select("id", "label", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "comp")
+    more = texts(own).groupBy("label", "lo", "hi").applyInArrow(block_links(scheme), PAIR)
+    return links.unionByName(linked).unionByName(more)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and label (smallest id reachable) of every id in links (a, b), by alternating large and small stars."""
+    """id and label (smallest id reachable) of every id in links (a, b), by alternating large and small stars.
+
+    Edges (u, v) go from the larger to the smaller id. The least neighbour of each
+    u is aggregated before the shuffle and written, so both sides of the large join
+    are plain exchanges, which AQE splits where one id is the key of many edges. It
+    ends when every u has one edge, and no v has any: then all edges are stars.
+    """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        # large star: larger neighbours go to the smallest of the neighbourhood
-        near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: smaller neighbours and the node itself go to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = cut(new)
-        mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark(new) == mark(edges):
+        # large star: an edge's larger end goes to the smallest neighbour of the other end
+        low = cut(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        large = cut(edges.join(low.select("w", "m"), F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")))
+        if (low.agg(F.max("n")).first()[0] or 0) <= 1 and large.where("moved").isEmpty():
             break
-        edges = new
+        # small star: smaller neighbours and the node itself go to the smallest
+        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(low.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(small).distinct())
     return edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id").union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None, entries_each: int = 40_000, hot_from: int = 5000) -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None, entries_each: int = 40_000, hot_from: int = 5000, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept of each row."""
     scheme = scheme or Scheme()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -419,7 +498,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     near = chosen.select("id", "n", "a", "b", "sig").mapInArrow(deal(scheme, buckets, hot), "bucket int, blob binary").groupBy("bucket").applyInArrow(bucket_pairs(scheme), PAIR)
     if len(hot):
         near = near.unionByName(hot_pairs(chosen, scheme, hot))
-    label = components(confirmed(components(near), rows, scheme))
+    weights = chosen.groupBy("id").agg(F.sum("n").alias("n"))
+    label = components(confirmed(cut(near.distinct()), weights, rows, scheme, block))
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("h", F.coalesce("label", "rep").alias("label"))
     out = sigs.select("id", "n", "h").join(named, "h", "left").withColumn("label", F.coalesce("label", "id"))
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
