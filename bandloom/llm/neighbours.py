@@ -8,7 +8,9 @@ visited in that order. The number of leaves to visit is calibrated: sample
 vectors are searched in the sample by brute force, and visits are widened until
 the mean share of true neighbours in the visited leaves reaches `recall`. Leaves
 are fitted for half the square root of all rows each, 8 at least and 512 at most;
-beyond what the sample can place (16 sample vectors a leaf), leaves grow.
+beyond what the sample can place (64 sample vectors a leaf), leaves grow. Where the
+sample is not the whole table, a quarter of it is kept from the fit, and visits are
+calibrated on that quarter alone.
 
 A query goes on beyond that number while its leaves hold fewer than k sample
 rows. The sample rows in its leaves give each query a distance within which k
@@ -162,9 +164,14 @@ def fit_tree(rows: DataFrame, *, k: int, sample: int, recall: float, fan: int =
     order = np.lexsort((ids, *x.T[::-1]))  # the same tree whatever the order of the rows
     x, ids = x[order], ids[order]
     each = min(512, max(8, math.isqrt(total) // 2))
-    leaf = max(min(16, each), len(x) * each // total)
-    tree = Tree.fit(x, leaf, fan, seed)
-    tree.calibrate(x, k, recall, probes, seed)
+    if len(x) == total or len(x) < 256:  # the sample is all there is
+        tree = Tree.fit(x, max(min(16, each), len(x) * each // total), fan, seed)
+        tree.calibrate(x, k, recall, probes, seed)
+        return dim, tree, ids, x
+    # visits are calibrated on vectors that the tree has not seen, as it has not seen most rows
+    unseen = np.random.default_rng(seed + 2).random(len(x)) < 0.25
+    tree = Tree.fit(x[~unseen], max(64, int((~unseen).sum()) * each // total), fan, seed)
+    tree.calibrate(x[unseen], k, recall, probes, seed)
     return dim, tree, ids, x
 
 
@@ -182,7 +189,7 @@ def within(q: np.ndarray, qid: np.ndarray, walk: list[list[int]], x: np.ndarray,
     return out
 
 
-def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, sample: int = 8192, recall: float = 0.98, seed: int = 5) -> DataFrame:
+def nearest(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, sample: int = 8192, recall: float = 0.95, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance): the k nearest rows found of each row whose id is divisible by `every`."""
     spark = df.sparkSession
     rows = clean(df, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
