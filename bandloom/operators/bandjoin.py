@@ -38,6 +38,7 @@ from ..errors import JoinError
 from ..functions.bands import Band, BandQuery
 from ..storage import written
 from .buckets import bucket_of, literal_bounds
+from .dealing import dealt, in_blocks
 from .histogram import boundaries, frequencies, widened
 
 STRATEGIES = ("auto", "grid", "cells", "naive")
@@ -212,10 +213,19 @@ def band_join_rows(s: DataFrame, t: DataFrame, s_value: str, t_value: str, query
     return inner if kind == "inner" else inner.unionByName(_without(s, t, s_value, t_value, q, width), allowMissingColumns=True)
 
 
-def theta_join_values(s: DataFrame, t: DataFrame, predicate, *, counted: bool = False) -> DataFrame:
-    """Any predicate on two columns, over compressed values (a nested loop): s, t, mult."""
+def theta_join_values(s: DataFrame, t: DataFrame, predicate, *, keys=None, counted: bool = False) -> DataFrame:
+    """Any predicate on two columns, over compressed values: s, t, mult.
+
+    keys: a function of s and one of t whose values are equal wherever the predicate
+    holds; the join then probes these keys. Without them all pairs are compared, in
+    blocks of bounded size.
+    """
     a, b = _sides(*(x if counted else frequency(x) for x in (s, t)))
-    return a.join(b, predicate(F.col("s"), F.col("t"))).select("s", "t", (F.col("s_freq") * F.col("t_freq")).alias("mult"))
+    if keys is None:
+        left, right, on = in_blocks(a, b)
+    else:
+        left, right, on = dealt(a.withColumn("_key", keys[0](F.col("s"))), b.withColumn("_key", keys[1](F.col("t"))), ["_key"])
+    return left.join(right, on).where(predicate(F.col("s"), F.col("t"))).select("s", "t", (F.col("s_freq") * F.col("t_freq")).alias("mult"))
 
 
 def totals(pairs: DataFrame) -> DataFrame:

@@ -115,7 +115,9 @@ def band_join_per_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("theta_join_custom", f"WITH s AS ({_side_sql('event_sec', 0)}), t AS ({_side_sql('event_sec', 1)}) SELECT s.v AS s, t.v AS t, s.n * t.n AS mult FROM s JOIN t ON (s.v + t.v) % 1000 = 0")
 def theta_join_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.theta_join_values(*pair(spark, sf_dir, "event_sec"), lambda s, t: (s + t) % 1000 == 0)
+    # the sum is divisible where the remainders of s and of -t agree
+    rest = lambda x: F.pmod(x, F.lit(1000))
+    return J.theta_join_values(*pair(spark, sf_dir, "event_sec"), lambda s, t: (s + t) % 1000 == 0, keys=(rest, lambda t: rest(1000 - rest(t))))
 
 
 def _payload(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -315,3 +315,32 @@ def test_limits_of_epcc_compare_cells_with_the_cap(spark, monkeypatch):
         monkeypatch.setattr(queries, "_made", lambda spark, sf_dir, policy, cap=cap: replace(made, cap=cap))
         row = queries.QUERIES["partition_limits_epcc"](spark, "").first()
         assert row["over_cap"] == (cells > cap).sum() and (cap != made.cap or row["over_cap"] == 0)
+
+
+def test_theta_joins_probe_keys_and_deal_out_all_pairs(spark):
+    """With keys there is no nested loop, without them the pairs are spread over tasks; results are those of the predicate."""
+    from bandloom import queries
+
+    rng = random.Random(3)
+    s, t = ([rng.randint(-3000, 3000) for _ in range(300)] for _ in range(2))
+    s += [-5000] * 3
+    want = {(x, y): s.count(x) * t.count(y) for x in set(s) for y in set(t) if (x + y) % 10 == 0}
+    rest = lambda x: F.pmod(x, F.lit(10))
+    both = lambda keys: J.theta_join_values(*frames(spark, s, t), lambda x, y: (x + y) % 10 == 0, keys=keys)
+    for out in (both(None), both((rest, lambda y: rest(10 - rest(y))))):
+        assert got(out) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert most_in_a_task(out) < 0.4
+    # one key for everything: it is cut into shares
+    out = both((lambda x: x * 0, lambda y: y * 0))
+    assert got(out) == want and most_in_a_task(out) < 0.4
+    plan = queries.QUERIES["theta_join_custom"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert got(J.theta_join_values(*frames(spark, [], [1]), lambda x, y: x == y, keys=(rest, rest))) == {}
+
+
+def most_in_a_task(out):
+    """The largest share of the rows that a task has made."""
+    n = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    return max(n) / sum(n)
