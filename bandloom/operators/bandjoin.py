@@ -127,7 +127,8 @@ def cells_join(s: DataFrame, t: DataFrame, sv: str, tv: str, query: BandQuery, b
     closed, opened = query.closed(), query.opened()
     parts = [grid_pairs(left, right, sv, tv, g, also=("t_bucket",)) for g in by_width(closed)]
     if opened:
-        parts.append(left.join(right, "t_bucket").where(BandQuery(opened).holds(F.col(sv), F.col(tv))))
+        one, two, keys = dealt(left, right, ["t_bucket"])
+        parts.append(one.join(two, keys).where(BandQuery(opened).holds(F.col(sv), F.col(tv))))
     return union_all([p.select(*columns) for p in parts])
 
 

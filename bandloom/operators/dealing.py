@@ -40,17 +40,21 @@ def shares(left: DataFrame, right: DataFrame, keys: list[str], both: bool = True
 
 
 def dealt(left: DataFrame, right: DataFrame, keys: list[str], *, spread: bool = True, both: bool = True) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides and the keys on which they meet.
+    """Both sides and the keys on which they meet; streams, which can't be counted beforehand, are left as they are.
 
     spread: cut keys with many pairs into shares (not needed where keys hold little); both: as in shares().
     """
+    if left.isStreaming or right.isStreaming:
+        return left, right, keys
     if spread:
         hot = F.broadcast(shares(left, right, keys, both))
         every = F.sequence(F.lit(0), F.col("_shares") - 1)
 
         def cut(df: DataFrame, own: Column) -> DataFrame:
             one = F.array(F.pmod(row_hash(df), F.col("_shares")).cast("int"))
-            share = F.when(F.col("_shares").isNull(), F.array(F.lit(0))).when(own, one).otherwise(every)
+            # rows without a key meet nothing; an outer join keeps them, so they are spread as well
+            none = F.when(F.col(keys[0]).isNull(), F.pmod(row_hash(df), F.lit(places(df.sparkSession)))).otherwise(0).cast("int")
+            share = F.when(F.col("_shares").isNull(), F.array(none)).when(own, one).otherwise(every)
             return df.join(hot, keys, "left").withColumn("_share", F.explode(share)).drop("_shares", "_by_left")
 
         left, right = cut(left, F.col("_by_left")), cut(right, ~F.col("_by_left"))

@@ -22,6 +22,7 @@ from ..errors import JoinError
 from ..functions.bands import BandQuery
 from .bandjoin import MOST_BUCKETS, by_width, frequency, grid_pairs, union_all
 from .buckets import bucket_of, literal_bounds
+from .dealing import dealt
 
 
 def routing_table(assignment: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def partitioned_join(s: DataFrame, t: DataFrame, query: BandQuery | str, histogr
     keys, merged = ("partition_id", "t_bucket"), q.merged()
     parts = [grid_pairs(a, b, "s", "t", g, also=keys) for g in by_width(merged.closed())]
     if opened := merged.opened():
-        parts.append(a.join(b, list(keys)).where(BandQuery(opened).holds(F.col("s"), F.col("t"))))
+        one, two, on = dealt(a, b, list(keys))
+        parts.append(one.join(two, on).where(BandQuery(opened).holds(F.col("s"), F.col("t"))))
     pairs = union_all([p.select("partition_id", "s", "s_freq", "t", "t_freq") for p in parts])
     product = (F.col("s_freq") * F.col("t_freq")).alias("mult")
     if mode == "per_band":

@@ -344,3 +344,15 @@ def most_in_a_task(out):
     """The largest share of the rows that a task has made."""
     n = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     return max(n) / sum(n)
+
+
+def test_open_bands_are_spread_over_tasks(spark):
+    s, t = frames(spark, range(1000), range(300))
+    out = J.band_join_values(s, t, "[900|]", buckets=64)
+    assert got(out) == {(x, y): 1 for x in range(900, 1000) for y in range(x - 899)}
+    assert most_in_a_task(out) < 0.3
+    # a single value on a side makes one bucket, and a plan joins its own open cells
+    out = J.band_join_values(*frames(spark, range(1000), [0] * 5), "[|900]")
+    assert got(out) == {(x, 0): 5 for x in range(901)} and most_in_a_task(out) < 0.3
+    out = Plan.of(rel.tagged(*frames(spark, range(600), range(600))), "[500|]", buckets=4).partitioned(2).join()
+    assert got(out) == {(x, y): 1 for x in range(500, 600) for y in range(x - 499)} and most_in_a_task(out) < 0.3
