@@ -17,8 +17,9 @@ residual predicate.
 
 Row joins use the same keys with Spark's own join kinds. For an open end a row of
 the left side has a partner if the smallest or largest value of the right side is
-one, so semi and anti joins need that one number. Sides are plain exchanges, whose
-hot keys AQE splits; salt= splits them by plan.
+one, so semi and anti joins need that one number. Their sides are plain exchanges,
+whose hot keys AQE splits. Inner and outer joins are dealt out by the pairs that keys
+hold (dealing.py); salt= splits keys beforehand.
 
 Values are compressed (one row per distinct value with its frequency) below the
 join wherever rows are not asked for. Bands that overlap or touch are merged
@@ -65,10 +66,11 @@ def by_width(bands: tuple[Band, ...]) -> list[tuple[Band, ...]]:
     return [tuple(g) for g in groups.values()]
 
 
-def grid_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, bands: tuple[Band, ...], width: int | None = None, salt: int = 1, kind: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+def grid_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, bands: tuple[Band, ...], width: int | None = None, salt: int = 1, kind: str = "inner", also: tuple[str, ...] = (), distinct: bool = True) -> DataFrame:
     """Rows that any of the disjoint closed bands joins, by one join: a row of t is repeated for every cell that a band reaches.
 
     also: further columns of equal names that must agree; they come from s.
+    distinct: a value has one row for each of `also`, so that a cell holds no more than its width.
     """
     w = width or max(map(width_of, bands))
     cell = lambda x: x - F.pmod(x, F.lit(w))  # noqa: E731  the cell's first value: exact for any BIGINT
@@ -80,6 +82,8 @@ def grid_pairs(s: DataFrame, t: DataFrame, sv: str, tv: str, bands: tuple[Band,
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*s.columns), F.lit(salt)).cast("int"))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         keys.append("_salt")
+    if kind in ("inner", "left_outer"):
+        left, right, keys = dealt(left, right, keys, spread=not distinct or w > WIDE, both=kind == "inner")
     a, b = left.alias("_l"), right.alias("_r")
     held = BandQuery(bands).holds(F.col(f"_l.{sv}"), F.col(f"_r.{tv}"))
     out = a.join(b, reduce(lambda x, y: x & y, [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys]) & held, kind)
@@ -91,6 +95,9 @@ def _sides(s: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s.select(F.col("value").alias("s"), F.col("freq").alias("s_freq")), t.select(F.col("value").alias("t"), F.col("freq").alias("t_freq"))
 
 
+#: A cell with more values than this may hold too many pairs for one task.
+WIDE = 4096
+
 #: Buckets a side of a join by cells: the table of candidate cells, at most their square, is broadcast.
 MOST_BUCKETS = 1024
 
@@ -164,7 +171,7 @@ def _join(s: DataFrame, t: DataFrame, q: BandQuery, strategy: str, buckets: int,
 
 def _parts(s: DataFrame, t: DataFrame, sv: str, tv: str, q: BandQuery, buckets: int, width: int | None, salt: int = 1, counted: bool = True) -> DataFrame:
     """Closed bands by the grid, open ones by cells."""
-    parts = [grid_pairs(s, t, sv, tv, g, width, salt) for g in by_width(q.closed())]
+    parts = [grid_pairs(s, t, sv, tv, g, width, salt, distinct=counted) for g in by_width(q.closed())]
     if opened := q.opened():
         parts.append(cells_join(s, t, sv, tv, BandQuery(opened), buckets, counted))
     return union_all(parts)
@@ -209,7 +216,7 @@ def band_join_rows(s: DataFrame, t: DataFrame, s_value: str, t_value: str, query
         raise JoinError(f"kind {kind!r} is not supported")
     groups = by_width(q.closed())
     if kind == "left_outer" and len(groups) == 1 and not q.opened():
-        return grid_pairs(s, t, s_value, t_value, groups[0], width, salt=1, kind="left_outer")
+        return grid_pairs(s, t, s_value, t_value, groups[0], width, salt=1, kind="left_outer", distinct=False)
     inner = _parts(s, t, s_value, t_value, q, buckets, width, salt, counted=False)
     return inner if kind == "inner" else inner.unionByName(_without(s, t, s_value, t_value, q, width), allowMissingColumns=True)
 

@@ -1,8 +1,8 @@
 """How the sides of a join are dealt out where its output is larger than its input.
 
 AQE sizes the partitions of a join by the bytes they read, and a join that makes
-thousands of rows from one would end up in a few long tasks. So the left side goes
-to a fixed number of partitions, and a key that holds more than a fair part of the
+thousands of rows from one would end up in a few long tasks. So both sides (either
+may be the one that is not broadcast) go to a fixed number of partitions, and a key that holds more than a fair part of the
 pairs is cut into shares: rows of its larger side are spread by a hash of the row,
 and its smaller side is repeated for each share.
 """
@@ -59,7 +59,8 @@ def dealt(left: DataFrame, right: DataFrame, keys: list[str], *, spread: bool =
 
         left, right = cut(left, F.col("_by_left")), cut(right, ~F.col("_by_left"))
         keys = [*keys, "_share"]
-    return left.repartition(places(left.sparkSession), *keys), right, keys
+    n = places(left.sparkSession)
+    return left.repartition(n, *keys), right.repartition(n, *keys), keys
 
 
 def in_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -70,4 +71,4 @@ def in_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame,
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = left.withColumn("_i", own(left)).withColumn("_j", every)
     right = right.withColumn("_j", own(right)).withColumn("_i", every)
-    return left.repartition(n, "_i", "_j"), right, ["_i", "_j"]
+    return left.repartition(n, "_i", "_j"), right.repartition(n, "_i", "_j"), ["_i", "_j"]

@@ -356,3 +356,35 @@ def test_open_bands_are_spread_over_tasks(spark):
     assert got(out) == {(x, 0): 5 for x in range(901)} and most_in_a_task(out) < 0.3
     out = Plan.of(rel.tagged(*frames(spark, range(600), range(600))), "[500|]", buckets=4).partitioned(2).join()
     assert got(out) == {(x, y): 1 for x in range(500, 600) for y in range(x - 499)} and most_in_a_task(out) < 0.3
+
+
+@pytest.mark.parametrize("kind", ["inner", "left_outer"])
+def test_row_joins_are_spread_over_tasks(spark, kind):
+    """Many cells, one hot value on either side, and rows without a value."""
+    rows = lambda n, value, names: spark.createDataFrame([(i, value(i)) for i in range(n)], names)
+    join = lambda s, t: J.band_join_rows(s, t, "v", "w", "[-3|3]", kind=kind)
+    plain = join(rows(800, lambda i: i, "a long, v long"), rows(400, lambda i: 2 * i, "b long, w long"))
+    met = sum(1 for x in range(800) for y in range(0, 800, 2) if abs(x - y) <= 3)
+    assert plain.count() == met and most_in_a_task(plain) < 0.3
+    hot = join(rows(400, lambda i: 7, "a long, v long"), rows(60, lambda i: 5 + i, "b long, w long"))
+    assert hot.count() == 400 * 6 and most_in_a_task(hot) < 0.3
+    if kind == "inner":
+        hot = join(rows(60, lambda i: 5 + i, "a long, v long"), rows(400, lambda i: 7, "b long, w long"))
+        assert hot.count() == 400 * 6 and most_in_a_task(hot) < 0.3
+    else:
+        null = join(rows(400, lambda i: None, "a long, v long"), rows(4, lambda i: 7, "b long, w long"))
+        assert null.count() == 400 and most_in_a_task(null) < 0.3
+
+
+def test_wide_bands_of_values_are_spread_over_tasks(spark):
+    s, t = frames(spark, range(0, 100000, 100), range(0, 10000, 1000))
+    out = J.band_join_values(s, t, "[0|100000]")
+    assert out.count() == sum(1000 - 10 * i for i in range(10)) and most_in_a_task(out) < 0.3
+
+
+def test_streams_are_not_counted_beforehand(spark):
+    from bandloom.operators.dealing import dealt
+
+    stream = spark.readStream.format("rate").load()
+    left, right, keys = dealt(spark.range(3).withColumnRenamed("id", "value"), stream, ["value"])
+    assert keys == ["value"] and right is stream
