@@ -388,3 +388,16 @@ def test_streams_are_not_counted_beforehand(spark):
     stream = spark.readStream.format("rate").load()
     left, right, keys = dealt(spark.range(3).withColumnRenamed("id", "value"), stream, ["value"])
     assert keys == ["value"] and right is stream
+
+
+def test_nested_loops_compare_neighbours_only(spark):
+    n = 20 * J.RUN
+    q = BandQuery.parse("[-1|1]_[5000|5001]")
+    s, t = (spark.range(n).select(F.col("id").alias(c), F.lit(1).cast("long").alias(f"{c}_freq")) for c in ("s", "t"))
+    a, b = J.runs(s, "s"), J.runs(t, "t")
+    assert a.agg(F.max(F.size("_rows")), F.sum(F.size("_rows"))).first()[1] == n and a.agg(F.max(F.size("_rows"))).first()[0] <= J.RUN
+    # all pairs would be the product
+    assert J.run_pairs(a, b, q).count() <= 6 * max(a.count(), b.count())
+    out = J.band_join_values(s.select(F.col("s").alias("value")), t.select(F.col("t").alias("value")), q, strategy="naive")
+    assert out.count() == n + 2 * (n - 1) + (n - 5000) + (n - 5001) and most_in_a_task(out) < 0.3
+    assert out.where("s - t not in (-1, 0, 1, 5000, 5001)").count() == 0
